@@ -11,6 +11,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import exact
+
+    return exact.report(_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+  FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER w = 1 AS kept,
+       sha256(norm) AS text_sha256
+FROM d
+WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -23,6 +44,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.rates(_table(spark, sf_dir, "documents"), mixing.domains_of_labels(_table(spark, sf_dir, "labels")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -30,8 +57,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bpe, op8_url_filter, op10_warc)}
+    return {f.__name__: f for f in (op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL}
