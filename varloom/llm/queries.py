@@ -17,6 +17,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -63,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op3_language, op4_toxicity, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
