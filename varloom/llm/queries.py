@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -69,7 +75,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language, op4_toxicity, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op3_language, op4_toxicity, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
