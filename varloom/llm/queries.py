@@ -17,6 +17,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    return repeats.report(_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -75,7 +81,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op3_language, op4_toxicity, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_language, op4_toxicity, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
