@@ -56,6 +56,12 @@ WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near
+
+    return near.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -81,7 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_language, op4_toxicity, op5_exact_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
