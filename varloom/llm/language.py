@@ -35,7 +35,7 @@ FAMILIES = {
 }
 ORDERS = 3
 WIDTH = 4096
-SAMPLE = 1500
+SAMPLE = 600
 LEARNT = 6000
 EPOCHS = 6
 PIECE = 1 << 20
@@ -87,31 +87,33 @@ def features(texts: list[str]) -> np.ndarray:
     """Unit vectors (text x feature), zero for texts without a letter. A text over ``PIECE`` characters is counted in pieces."""
     x = np.empty((len(texts), ORDERS * WIDTH), np.float32)
     short = [t if len(t) <= PIECE else "" for t in texts]
-    x[:] = _counts(short)
+    for i in range(0, len(texts), 100):
+        x[i : i + 100] = _counts(short[i : i + 100])
     for i, t in enumerate(texts):
         if len(t) > PIECE:
             x[i] = sum(_counts([t[j : j + PIECE]])[0] for j in range(0, len(t), PIECE))
     blank = 32 * 0x9E3779B1 & 0xFFFFFFFF
     x[:, (blank ^ (blank >> 15)) % WIDTH] = 0
     np.sqrt(x, out=x)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x /= np.maximum(np.sqrt(np.einsum("nd,nd->n", x, x)), 1e-12)[:, None]
+    return x
 
 
-def _svm(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-    """Averaged weights of a linear SVM (last entry: bias) for labels -1 and 1, both classes weighing the same."""
+def _svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """Averaged weights of a linear SVM (last entry: bias) on some rows of x with labels -1 and 1, both labels weighing the same."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)).astype(np.float32)
-    w, mean, t, lam = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0, 1e-4
-    steps = 0
+    weight = y * np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)).astype(np.float32)
+    w, mean, steps, lam = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32), 0, 1e-4
     for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
-            t += 1
-            rate = 2.0 / (1 + 0.01 * t)
-            bad = part[y[part] * (x[part] @ w) < 1]
-            w *= 1 - rate * lam
-            w += rate / len(part) * ((weight[bad] * y[bad]) @ x[bad])
+        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
             steps += 1
+            rate = 2.0 / (1 + 0.01 * steps)
+            batch = x[rows[part]]
+            bad = y[part] * (batch @ w[:-1] + w[-1]) < 1
+            w *= 1 - rate * lam
+            pull = weight[part][bad] * np.float32(rate / len(part))
+            w[:-1] += pull @ batch[bad]
+            w[-1] += pull.sum()
             mean += (w - mean) / steps
     return mean
 
@@ -126,12 +128,13 @@ class Discriminator:
         self.families = sorted(set(of.values()))
         self.members = {f: [c for c in self.langs if of[c] == f] for f in self.families}
         fam = np.array([of[c] for c in langs])
-        self.family_w = np.stack([_svm(x, np.where(fam == f, 1.0, -1.0).astype(np.float32), k) for k, f in enumerate(self.families)]) if len(self.families) > 1 else None
+        everyone = np.arange(len(y))
+        self.family_w = np.stack([_svm(x, everyone, np.where(fam == f, 1.0, -1.0).astype(np.float32), k) for k, f in enumerate(self.families)]) if len(self.families) > 1 else None
         self.pair_w = {}
         for f, own in self.members.items():
             for k, (a, b) in enumerate(combinations(own, 2)):
-                both = (y == a) | (y == b)
-                self.pair_w[a, b] = _svm(x[both], np.where(y[both] == a, 1.0, -1.0).astype(np.float32), 100 + k)
+                both = np.flatnonzero((y == a) | (y == b))
+                self.pair_w[a, b] = _svm(x, both, np.where(y[both] == a, 1.0, -1.0).astype(np.float32), 100 + k)
 
     @staticmethod
     def _margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
