@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import anno_queries, geno_queries, result_queries, set_queries, test_queries
+
+PARTS = (geno_queries, anno_queries, set_queries, result_queries, test_queries)
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {name: q for part in PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
