@@ -259,7 +259,7 @@ def mixture_sf(q: float, lam) -> float:
     top = 1.0
     while np.prod((1 + (lam * top) ** 2) ** 0.25) * top < 1e8 and top < 1e7:
         top *= 1.5
-    n = int(min(400_000, max(4000, 40 * top * max(q, 1) / (2 * math.pi))))
+    n = int(min(40_000, max(2000, 10 * top * max(q, 1) / (2 * math.pi))))
     u = (np.arange(n) + 0.5) * (top / n)
     total = 0.0
     for i in range(0, n, 20_000):
@@ -340,11 +340,11 @@ def skato(y, x, g, w, binary: bool, null: Null | None = None) -> float:
     quantiles = []
     for lam in lams:
         lo, hi = 0.0, float(lam.sum()) * 2 + 1e-12
-        while mixture_sf(hi, lam) > least:
+        while liu_sf(hi, lam) > least:
             hi *= 2
         for _ in range(40):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if mixture_sf(mid, lam) > least else (lo, mid)
+            lo, hi = (mid, hi) if liu_sf(mid, lam) > least else (lo, mid)
         quantiles.append((lo + hi) / 2)
     one = root.sum(1)
     zbar2 = float(one @ one) / m**2  # of the mean column
@@ -357,13 +357,13 @@ def skato(y, x, g, w, binary: bool, null: Null | None = None) -> float:
     tau = [m * m * rho * zbar2 + (1 - rho) / zbar2 * float(((mean @ root) ** 2).sum()) for rho in (min(r, 0.999) for r in RHO)]
     mu_q, var_q = float(eta.sum()), 2 * float((eta**2).sum())
     shrink = math.sqrt(var_q / (var_q + var_zeta)) if var_q > 0 else 1.0
-    grid = np.linspace(0, math.sqrt(40), 161)[1:] - math.sqrt(40) / 320
-    width = math.sqrt(40) / 160
+    grid = np.linspace(0, math.sqrt(40), 101)[1:] - math.sqrt(40) / 200
+    width = math.sqrt(40) / 100
     total = 0.0
     for z in grid:  # chi-square(1) as the square of a half-normal
         c = z * z
         limit = min((q - t * c) / (1 - min(rho, 0.999)) for q, t, rho in zip(quantiles, tau, RHO, strict=True))
-        inner = mixture_sf((limit - mu_q) * shrink + mu_q, eta) if limit > 0 else 1.0
+        inner = liu_sf((limit - mu_q) * shrink + mu_q, eta[eta > 0]) if limit > 0 and mu_q > 0 else float(limit <= 0)
         total += (1 - min(1.0, max(0.0, inner))) * 2 * math.exp(-c / 2) / math.sqrt(2 * math.pi) * width
     return min(1.0, max(1 - total, least), len(RHO) * least)
 
