@@ -32,7 +32,7 @@ def reset(gt: Column, ploidy: Column, sex: Column) -> Column:
     """Genotypes as the sex allows them: haploid calls are 0 or 1, meaningless ones null."""
     out = gt
     for s in SEXES:
-        own = F.when(haploid(ploidy, s), F.least(gt, F.lit(1))).otherwise(gt)
+        own = F.when(haploid(ploidy, s) & (gt > 1), F.lit(1)).otherwise(gt)  # least() would make 1 of null
         out = F.when(sex == s, F.when(~absent(ploidy, s), own)).otherwise(out)
     return out.cast("int")
 

@@ -104,7 +104,7 @@ dosage AS (SELECT VAR_id, IID, CASE WHEN VAR_id % 10 = 0 THEN 2 - gt ELSE gt END
 cells0 AS (SELECT v.VAR_id, v.ploidy, v.unit, v.w, v.CHROM, s.IID, s.sex, s.pheno, s.qpheno, s."superPop", CASE WHEN d.VAR_id IS NULL THEN v.g0 ELSE d.gt END AS raw
   FROM var v CROSS JOIN samples s LEFT JOIN dosage d ON d.VAR_id = v.VAR_id AND d.IID = s.IID),
 cells AS (SELECT * EXCLUDE (raw), CASE WHEN ploidy = 'diploid' THEN raw
-    WHEN sex = 1 THEN least(raw, 1) WHEN sex = 2 AND ploidy = 'XnonPAR' THEN raw END AS g FROM cells0),
+    WHEN sex = 1 THEN CASE WHEN raw > 1 THEN 1 ELSE raw END WHEN sex = 2 AND ploidy = 'XnonPAR' THEN raw END AS g FROM cells0),
 af AS (SELECT VAR_id, CASE ploidy
     WHEN 'diploid' THEN avg(g) / 2
     WHEN 'XnonPAR' THEN (coalesce(sum(g) FILTER (WHERE sex = 1), 0) + coalesce(sum(g) FILTER (WHERE sex = 2), 0)) / nullif(count(g) FILTER (WHERE sex = 1) + 2 * count(g) FILTER (WHERE sex = 2), 0)

@@ -63,7 +63,7 @@ def top_result(spark, sf_dir):
     return R.top_result(one.select("unit", "test", "varSetName", "P")).withColumn("P", F.round("P", 9) + F.lit(0.0))
 
 
-@query(RESULT_SQL + f", z AS (SELECT test, {qnorm_sql('1 - \"P\" / 2')} AS q FROM res), l AS (SELECT test, quantile_cont(q * q, 0.5) / {R.MEDIAN_CHISQ1} AS lambda FROM z GROUP BY 1) SELECT test, round(lambda, 6) + 0.0 AS lambda, round(1 + (lambda - 1) * (1 / 800.0::DOUBLE + 1 / 1200.0::DOUBLE) * 500, 6) + 0.0 AS lambda1000 FROM l")
+@query(RESULT_SQL + f", z AS (SELECT test, {qnorm_sql('1 - \"P\" / 2')} AS q FROM res), l AS (SELECT test, quantile_cont(q * q, 0.5) / {R.MEDIAN_CHISQ1} AS lam FROM z GROUP BY 1) SELECT test, round(lam, 6) + 0.0 AS \"lambda\", round(1 + (lam - 1) * (1 / 800.0::DOUBLE + 1 / 1200.0::DOUBLE) * 500, 6) + 0.0 AS lambda1000 FROM l")
 def inflation(spark, sf_dir):
     df = R.inflation(result(spark), ["test"], 800, 1200)
     return df.select("test", r6(F.col("lambda")).alias("lambda"), r6(F.col("lambda1000")).alias("lambda1000"))
@@ -184,7 +184,7 @@ def gsa_fisher_counts(spark, sf_dir):
 p AS (SELECT "geneSetName", condition, count(*) AS n, sum(s) AS m, covar_samp(s, c) / var_samp(c) AS bs, covar_samp("Z", c) / var_samp(c) AS bz, avg(s) AS ms, avg("Z") AS mz, avg(c) AS mc FROM x GROUP BY 1, 2),
 r AS (SELECT x."geneSetName", x.condition, n, m, s - ms - bs * (c - mc) AS sr, "Z" - mz - bz * (c - mc) AS zr FROM x JOIN p USING ("geneSetName", condition)),
 e AS (SELECT "geneSetName", condition, n, m, sum(sr * zr) AS sz, sum(sr * sr) AS ss, sum(zr * zr) AS yy FROM r GROUP BY 1, 2, 3, 4)
-SELECT "geneSetName", condition, m::DOUBLE AS "genesObs", round(sz / ss, 5) + 0.0 AS effect, round(sqrt((yy - sz * sz / ss) / (n - 4) / ss), 5) + 0.0 AS "effectSE" FROM e WHERE ss > 1e-9"""
+SELECT "geneSetName", condition, cast(m AS BIGINT) AS "genesObs", round(sz / ss, 5) + 0.0 AS effect, round(sqrt((yy - sz * sz / ss) / (n - 4) / ss), 5) + 0.0 AS "effectSE" FROM e WHERE ss > 1e-9"""
 )
 def gsa_conditional(spark, sf_dir):
     s = stats(spark)
