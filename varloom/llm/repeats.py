@@ -7,7 +7,7 @@
 3. Spans of the same gram that differ may share windows. Each distinct one is fetched once, and the suffixes
    at its window starts go through logarithmic families of suffix arrays (``suffix.Levels``): batch by batch,
    a family for each shard of grams. Grams of more than ``HOT`` distinct spans would make uneven shards; their
-   windows are counted by fingerprint instead, spread by that, with the same result.
+   windows are counted by fingerprint instead, runs of ``CHUNK`` first and then single ones, with the same result.
 4. Matches go back to their documents as byte ranges, and the bytes outside are kept.
 
 Windows and spans are compared by 128 and more bits of independent polynomial fingerprints. Strings are judged
@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix
-from ._common import chunks, drop_stage, release, stage_table, text_bytes
+from ._common import chunks, drop_stage, mix64, release, small_batches, stage_table, text_bytes, tidily
 from .suffix import BASES, LENGTH, Levels, Prints
 
 HOT = 512
+#: Windows that are first compared together, for such grams.
+CHUNK = 8
 #: A text is searched in pieces of so many window starts; suffixes in a family before it starts anew at the next gram.
 PIECE = 1 << 21
 FAMILY = 1 << 20
@@ -49,7 +51,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray):
 
 
 def _anchor_rows(batches):
-    for b in batches:
+    for b in tidily(batches):
         rid = np.asarray(b.column(0))
         data, offsets, rows, place = _pieces(*text_bytes(b.column(1)))
         for i, j in chunks(offsets, 1 << 20):
@@ -66,7 +68,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _contexts(batches):
     """The bytes of each span that a document was picked for."""
-    for b in batches:
+    for b in tidily(batches):
         data, offsets = text_bytes(b.column(0))
         spans = b.column(1)
         flat, ends = spans.flatten(), np.asarray(spans.offsets)
@@ -141,16 +143,61 @@ def _families(batches):
     yield from close()
 
 
-def _window_rows(batches):
+def _chunk_rows(batches):
+    """Runs of up to ``CHUNK`` neighbouring windows of each span.
+
+    ``core`` is the fingerprint of what all windows of a full run share, ``whole`` that of all their bytes; ``one`` and
+    ``two`` are the windows' own fingerprints, from window ``hi`` down to ``lo``.
+    """
     for b in batches:
         for i in range(0, b.num_rows, 4000):
             part = b.slice(i, 4000)
             raw = part.column(4).cast(pa.large_binary())
             offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            row, back, one, two = _windows(np.asarray(part.column(2)), data, offsets - offsets[0])
-            cols = [np.asarray(part.column(0))[row], np.asarray(part.column(1))[row], back.astype(np.int32), np.asarray(part.column(3))[row], one.view(np.int64), two.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "span", "back", "n", "one", "two"])
+            offsets = offsets - offsets[0]
+            key, span, shape, n = (np.asarray(part.column(k)) for k in range(4))
+            row, back, one, two = _windows(shape, data, offsets)
+            chunk = back // CHUNK
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (chunk[1:] != chunk[:-1])]))
+            last = np.concatenate([first[1:], [len(row)]])
+            r, hi, lo = row[first], back[first], back[last - 1]
+            anchor = offsets[r] + (shape[r] >> 8)
+            prints = [Prints(data, base) for base in BASES]
+            at = anchor - CHUNK * chunk[first]
+            core = prints[0].of(at, at + LENGTH - CHUNK + 1) ^ key[r].view(np.uint64)
+            whole = prints[1].of(anchor - hi, anchor + LENGTH - lo) ^ mix64((lo * 1000 + hi).astype(np.uint64))
+            cut = [[x[a:z].tobytes() for a, z in zip(first, last, strict=True)] for x in (one, two)]
+            cols = [key[r], span[r], n[r], lo.astype(np.int32), hi.astype(np.int32), core.view(np.int64), whole.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), *(pa.array(c, pa.binary()) for c in cut)], names=["key", "span", "n", "lo", "hi", "core", "whole", "one", "two"])
+
+
+def _window_rows(batches):
+    for b in batches:
+        n, hi = np.asarray(b.column(2)), np.asarray(b.column(3))
+        one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.int64) for k in (4, 5))
+        size = np.array([len(x) // 8 for x in b.column(4).to_pylist()], int)
+        row = np.repeat(np.arange(len(n)), size)
+        back = hi[row] - (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))
+        cols = [np.asarray(b.column(0))[row], np.asarray(b.column(1))[row], n[row], back.astype(np.int32), one, two]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["core", "whole", "n", "back", "one", "two"])
+
+
+def _hot_hits(contexts: DataFrame) -> DataFrame:
+    """key, span, back (array): the matched windows of spans whose grams have many.
+
+    Equal runs of windows count as one row from the first aggregation on. Single windows are compared only in runs whose core
+    other, different runs have.
+    """
+    runs = contexts.mapInArrow(_chunk_rows, "key long, span long, n long, lo int, hi int, core long, whole long, one binary, two binary")
+    wholes = stage_table(runs.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("one").alias("one"), F.max("two").alias("two")), "wholes")
+    shared = stage_table(wholes.groupBy("core").agg(F.count("*").alias("d")).where("d > 1").select("core"), "cores")
+    windows = wholes.join(shared, "core", "left_semi").select("core", "whole", "n", "hi", "one", "two").mapInArrow(_window_rows, "core long, whole long, n long, back int, one long, two long")
+    again = stage_table(windows.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two"), "again")
+    found = windows.where("n = 1").join(again, ["one", "two"]).groupBy("core", "whole").agg(F.collect_list("back").alias("back"))
+    marks = found.unionByName(wholes.where("n > 1").select("core", "whole", F.sequence("lo", "hi").alias("back")))
+    marks = stage_table(marks, "marks")
+    return runs.select("key", "span", "core", "whole").join(marks, ["core", "whole"]).groupBy("key", "span").agg(F.flatten(F.collect_list("back")).alias("back"))
 
 
 def _hot_runs(batches):
@@ -174,14 +221,12 @@ def _covers(contexts: DataFrame, hot: DataFrame, shards: int) -> DataFrame:
     columns = ["key", "span", "shape", "n", "bytes"]
     cool = tagged.where("hot is null").select(*columns)
     found = cool.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(_families, COVER)
-    windows = tagged.where("hot").select(*columns).mapInArrow(_window_rows, "key long, span long, back int, n long, one long, two long")
-    again = stage_table(windows.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two"), "again")
-    hits = windows.join(again, ["one", "two"]).groupBy("key", "span").agg(F.collect_list("back").alias("back"))
+    hits = _hot_hits(tagged.where("hot").select(*columns))
     return found.unionByName(hits.mapInArrow(_hot_runs, COVER))
 
 
 def _result(batches):
-    for b in batches:
+    for b in tidily(batches):
         data, offsets = text_bytes(b.column(1))
         marks = b.column(2)
         marks = pa.array([[]] * len(marks), marks.type) if marks.null_count == len(marks) else marks
@@ -207,6 +252,7 @@ def _result(batches):
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """rid, begin, end: byte ranges that cover all repeated windows of each row (they may overlap)."""
     spark = docs.sparkSession
+    small_batches(spark)
     anchors = _numbered(docs).select("rid", "text").mapInArrow(_anchor_rows, "key long, span long, rid long, at long")
     keys = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     keys = stage_table(keys.where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "keys")
