@@ -235,3 +235,10 @@ def gsa_fisher(spark, sf_dir):
 def gsa_ttest(spark, sf_dir):
     s = stats(spark)
     return A.t_test(s, A.observed(s, gene_sets(spark)))
+
+
+@query(None)
+def gsa_mlm(spark, sf_dir):
+    s = stats(spark)
+    scores, blocks = unit_block_scores(spark, sf_dir)
+    return A.mixed(s, A.observed(s, gene_sets(spark)), A.block_correlations(scores, blocks, 150), ["size"])
