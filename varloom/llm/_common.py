@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -48,6 +49,35 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Rows in an Arrow batch of texts. The default of 10,000 takes a worker's memory with long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python workers in batches of ``BATCH_ROWS`` at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def tidy() -> None:
+    """Give what a Python worker no longer uses back to the system: Spark keeps workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidily(batches):
+    """``batches``, tidied up after each."""
+    for b in batches:
+        yield b
+        del b
+        tidy()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, made different from every column of ``df`` (compared without case, as Spark does)."""
     taken = {c.lower() for c in df.columns}

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._common import small_batches, tidy
+
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -194,7 +196,7 @@ def identify(text: Column, shared) -> Column:
         i = 0
         while model is not None and i < len(texts):
             j, size = i, 0
-            while j < len(texts) and j - i < 200 and (j == i or size + len(texts[j]) < 2_000_000):
+            while j < len(texts) and j - i < 200 and (j == i or size + len(texts[j]) < 1_000_000):
                 size += len(texts[j])
                 j += 1
             x = features(texts[i:j])
@@ -202,6 +204,7 @@ def identify(text: Column, shared) -> Column:
             if len(some):
                 lang[i + some], score[i + some] = model.predict(x[some])
             i = j
+        tidy()
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return of(text)
@@ -213,6 +216,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learns from those that aren't held out."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang")
     apart = held_out(F.col("doc_id"), 3, 1)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~apart)))

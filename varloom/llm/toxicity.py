@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import fresh
+from ._common import fresh, small_batches, tidy
 from .language import held_out
 
 WINDOW, STRIDE = 32, 16
@@ -340,11 +340,12 @@ def toxicity(text: Column, shared) -> Column:
         out, i = np.zeros(len(texts)), 0
         while net is not None and i < len(texts):
             j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < 1_500_000):
+            while j < len(texts) and (j == i or size + len(texts[j]) < 600_000):
                 size += len(texts[j])
                 j += 1
             out[i:j] = net.scores(texts[i:j])
             i = j
+        tidy()
         return pd.Series(out)
 
     return of(text)
@@ -352,6 +353,7 @@ def toxicity(text: Column, shared) -> Column:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; learns from labels that aren't held out."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")))
     out = docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), toxicity(F.col("text"), shared).alias("score"))
@@ -360,6 +362,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those that score 0.5 or more, all columns as they are; learns from labels that aren't held out."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels.where(~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "toxic")))
     score = fresh(docs, "score")
     return docs.withColumn(score, toxicity(F.col("text"), shared)).where(F.col(score) < 0.5).drop(score)
