@@ -7,14 +7,14 @@ bucket's register holds the number of leading zeros of its smallest hash and ``M
 1. Candidates: classes that agree in a band of ``BAND`` registers. Sets too small for a sketch use their smallest
    hashes instead (prefix filter, exact); sets up to 1.25 times larger use both, so no pair falls between. A pair of
    similarity 0.8 agrees in no band with probability under 1e-6.
-2. Each bucket of candidates is compared with its smallest member, so comparisons are fewer than members. A pair
+2. Each bucket of candidates is compared with its best-connected member, so comparisons are fewer than members. A pair
    whose similarity estimated from the registers, less the expected register collisions, lies over six
    deviations below the limit is dropped. The rest is compared on full sets.
 3. Links give components. In a bucket that lies in one component nothing is left to find. In the others, a member
    that shares too few shingles with anything (it has more private ones than the limit allows) is done; the rest
-   is compared with the member of fewest private shingles, and then, wherever components still differ, pair by
-   pair. So no link is lost, and no bucket is compared all against all unless its members really are unlinked
-   and alike.
+   is compared with the member of fewest private shingles, its heart, and then, wherever components still differ, with
+   those that differ from the heart in the same ways (``_by_difference``). So no link is lost, and no bucket is
+   compared all against all.
 
 Defined results: null, empty and white-space texts have the empty set and are linked with nothing. Fewer words than
 a shingle make one shingle. Repeated rows are of one class. A component is named by its smallest doc_id (null
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import chunks, drop_stage, fresh, mix64, release, stage_table, text_bytes
+from ._common import chunks, drop_stage, fresh, mix64, release, small_batches, stage_table, text_bytes, tidily
 from .graph import components
 from .suffix import BASES, Prints
 
@@ -100,7 +100,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summaries(batches):
-    for b in batches:
+    for b in tidily(batches):
         rid, doc_id = b.column(0), b.column(1)
         data, offsets = text_bytes(b.column(2))
         for i, j in chunks(offsets, 1 << 20):
@@ -150,7 +150,7 @@ def _likely(batches):
 
 
 def _sets(batches):
-    for b in batches:
+    for b in tidily(batches):
         data, offsets = text_bytes(b.column(1))
         for i, j in chunks(offsets, 1 << 20):
             sets = [s.view(np.int64) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
@@ -216,30 +216,68 @@ def _rest(members: DataFrame, classes: DataFrame, links: _Links) -> None:
     heart = alive.groupBy("key").agg(F.min(F.struct("p", "cid", "comp")).alias("c")).select("key", F.col("c.cid").alias("a"), F.col("c.comp").alias("other"))
     heart = stage_table(heart, "hearts")
     links.verify(alive.join(heart, "key").where("comp <> other").select("a", F.col("cid").alias("b")))
-    last = stage_table(_open(alive, links).join(facts, "cid"), "last")
-    x, y = last.select("key", *(F.col(c).alias(c + "1") for c in ("cid", "comp", "n", "p"))), last.select("key", *(F.col(c).alias(c + "2") for c in ("cid", "comp", "n", "p")))
-    common = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    fits = (F.col("comp1") != F.col("comp2")) & (F.col("cid1") < F.col("cid2")) & (100 * common >= PERCENT * (F.col("n1") + F.col("n2") - common))
-    links.verify(x.join(y, "key").where(fits).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")))
+    last = _open(alive, links).join(heart.select("key", F.col("a").alias("heart")), "key").select("heart", "cid", "comp").distinct()
+    links.verify(_by_difference(stage_table(last, "last"), facts.select("cid", F.col("p").alias("private")), links))
+
+
+def _by_difference(members: DataFrame, facts: DataFrame, links: _Links) -> DataFrame:
+    """Links (a, b) among ``members`` (heart, cid, comp) of different components around the same heart; ``facts``: private shingles by cid.
+
+    All members are compared with their heart c. x lacks m(x) shingles of c and has p(x) others. With s the size that x and y
+    have to share, they share |c| - m(x) - m(y) + d, where d is the overlap of what sets them apart from c: so d has to be
+    s - |c| + m(x) + m(y). For an x that isn't linked with c this is positive, at least 4/9 (|x| + |c|) - |x and c|, and over
+    5/9 m(y) + 4/9 p(y). Sets with that overlap share one of their first differences in any order (prefix filter). Private
+    shingles, which no other set of an open bucket has, bound what two members can share at all.
+    """
+    of = lambda k, h: links.sets.select(F.col("cid").alias(k), F.col("hashes").alias(h))
+    apart = members.join(of("cid", "hx"), "cid").join(of("heart", "hc"), "heart")
+    apart = apart.select("heart", "cid", "comp", F.size("hx").alias("n"), F.size("hc").alias("nc"), F.array_except("hc", "hx").alias("minus"), F.array_except("hx", "hc").alias("plus"))  # this says all of x
+    m, p = F.size("minus"), F.size("plus")
+    share = PERCENT / (100 + PERCENT)
+    apart = apart.withColumn("size", m + p).withColumn("far", share * (F.col("n") + F.col("nc")) - (F.col("nc") - m)).withColumn("near", (1 - share) * m + share * p)
+    apart = stage_table(apart.where("cid <> heart").join(facts, "cid"), "apart")
+    # any order will do for the filter: what members have beyond the heart is rarer than what they lack
+    signs = F.concat(F.array_sort("plus"), F.array_sort(F.transform("minus", lambda h: F.bitwise_not(h))))
+    ranked = apart.select("heart", "cid", "comp", "n", "nc", "size", "far", "near", m.alias("m"), (p - F.col("private")).alias("q"), signs.alias("signs"))
+    length = lambda t: F.greatest(F.col("size") - t + 1, F.lit(0)).cast("int")
+    home = links.label(members.select(F.col("heart").alias("cid")).distinct()).select(F.col("cid").alias("heart"), F.col("comp").alias("home"))
+    ranked = stage_table(ranked.join(home, "heart"), "ranked")
+    seek = F.greatest(F.lit(1), F.ceil(F.col("far") - 1e-9))
+    named = lambda k: [F.col(c).alias(c + k) for c in ("cid", "comp", "n", "m", "q")]
+    x = ranked.where("comp <> home").select("heart", "nc", *named("a"), F.explode(F.slice("signs", 1, length(seek))).alias("h"))
+    y = ranked.select("heart", *named("b"), F.explode(F.slice("signs", 1, length(F.floor(F.col("near") - 1e-9) + 1))).alias("h"))
+    most = F.col("nc") - F.greatest("ma", "mb") + F.least("qa", "qb")
+    fits = (F.col("compa") != F.col("compb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
+    pairs = stage_table(x.join(y, ["heart", "h"]).where(fits).select("heart", F.col("cida").alias("a"), F.col("cidb").alias("b")).distinct(), "near_pairs")
+    side = lambda k: apart.select("heart", F.col("cid").alias(k), *(F.col(c).alias(c + k) for c in ("n", "nc", "minus", "plus")))
+    both = pairs.join(side("a"), ["heart", "a"]).join(side("b"), ["heart", "b"])
+    missing = F.size("minusa") + F.size("minusb") - F.size(F.array_intersect("minusa", "minusb"))
+    shared = F.col("nca") - missing + F.size(F.array_intersect("plusa", "plusb"))
+    return both.where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, keep_rid (the row of that id) of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stage_table(numbered.mapInArrow(_summaries, "rid long, doc_id long, n long, f1 long, f2 long, low array<long>, regs binary"), "rows")
     best = F.min(F.struct("doc_id", "rid")).alias("best")
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(best, F.max("n").alias("n"), F.max("low").alias("low"), F.max("regs").alias("regs"))
     classes = stage_table(classes.select("f1", "f2", "best", F.col("best.rid").alias("cid"), "n", "low", "regs"), "classes")
     keys = classes.select("cid", "low", "regs").mapInArrow(_keys, "key long, cid long")
-    buckets = stage_table(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("first")).where("size > 1"), "buckets")
+    buckets = stage_table(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = stage_table(keys.join(buckets, "key"), "members")
+    # the member that shares buckets with most others is likely to be a bucket's heart, and the same one in many buckets
+    shared = stage_table(members.groupBy("cid").agg(F.sum("size").alias("fame")), "fame")
+    hearts = members.join(shared, "cid").groupBy("key").agg(F.max(F.struct("fame", (-F.col("cid")).alias("m"))).alias("best"))
+    hearts = stage_table(hearts.select("key", (-F.col("best.m")).alias("first")), "hearts")
     release(spark)
     texts = numbered.select(F.col("rid").alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi")
     sets = stage_table(texts.mapInArrow(_sets, "cid long, hashes array<long>"), "sets")
     release(spark)
     links = _Links(classes, sets)
-    links.verify(members.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
+    links.verify(members.join(hearts, "key").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
     _rest(members.where("size > 2"), classes, links)
     drop_stage(members)
     drop_stage(sets)
