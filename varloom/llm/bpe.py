@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from functools import lru_cache
 
 import pandas as pd
@@ -27,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from ._common import fresh
+from ._common import fresh, small_batches
 
 TABLE_WORDS = 400_000
 #: Fixed value: the public pattern that splits text before byte-level merges.
@@ -55,9 +56,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class WordTable:
-    """Distinct words with their ids, the ids as text, and the decoded bytes."""
+    """Distinct words with their ids, as text, and the decoded bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -66,15 +68,19 @@ class WordTable:
         spec = json.load(open(path, encoding="utf-8"))
         alphabet = byte_alphabet()
         self.piece = {i: bytes(alphabet[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
+        self.text: dict[int, str] = {}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.piece |= {i: s.encode() for s, i in self.special.items()}
+        self.text |= {i: str(i) for i in self.piece}
         self.word = regex.compile(WORD)
         self.odd = regex.compile(f"[^{FAMILIAR}]")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.table: dict[str, tuple[list[int], str, bytes]] = {}
+        self.table: dict[str, tuple[str, bytes]] = {}
 
-    def entry(self, ids: list[int]) -> tuple[list[int], str, bytes]:
-        return ids, ",".join(map(str, ids)), b"".join(map(self.piece.__getitem__, ids))
+    def entry(self, ids: list[int]) -> tuple[str, bytes]:
+        if len(ids) == 1:
+            return self.text[ids[0]], self.piece[ids[0]]
+        return ",".join([self.text[i] for i in ids]), b"".join([self.piece[i] for i in ids])
 
     def split(self, text: str) -> list[str]:
         """Words of a text; a special token is a word of its own, a text that only the library can split is one word."""
@@ -86,8 +92,11 @@ class WordTable:
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.table]
-        for w, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-            self.table[w] = self.entry(e.ids)
+        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # the same ids, without offsets
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
+                self.table[w] = self.entry(e.ids)
 
     def rows(self, texts: list[str | None]):
         """The entries of each text's words, in order; whole texts, a few at a time."""
@@ -121,8 +130,8 @@ def word_table(path: str) -> WordTable:
 def _digest(path: str, texts: pd.Series) -> pd.DataFrame:
     out = []
     for row in word_table(path).rows(texts.tolist()):
-        ids = ",".join([e[1] for e in row])
-        decoded = b"".join([e[2] for e in row]).decode("utf-8", "replace")
+        ids = ",".join([e[0] for e in row])
+        decoded = b"".join([e[1] for e in row]).decode("utf-8", "replace")
         out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     return pd.DataFrame(out, columns=DIGESTS.names)
 
@@ -144,7 +153,7 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str | Non
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([[i for e in row for i in e[0]] for row in word_table(path).rows(texts.tolist())], dtype=object)
+        return pd.Series([[int(i) for e in row for i in e[0].split(",")] for row in word_table(path).rows(texts.tolist())], dtype=object)
 
     return df.withColumn(into, ids(df[text]))
 
@@ -163,5 +172,6 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | N
 
 def corpus_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: doc_id and what ``digests`` says of its whole text."""
+    small_batches(docs.sparkSession)
     d = fresh(docs, "d")
     return docs.select("doc_id", "text").withColumn(d, digests(F.col("text"), path)).select("doc_id", *(F.col(f"{d}.{c}").alias(c) for c in DIGESTS.names))
