@@ -28,10 +28,6 @@ def five(df, *names):
     return df.withColumns({n: F.round(n, 5) + F.lit(0.0) for n in names})
 
 
-def some_units(spark, sf_dir, n: int = 10):
-    return members(spark, sf_dir).where(F.substring("unit", 2, 9).cast("int") < n)
-
-
 LM_SQL = """SELECT unit, round(regr_slope(qpheno, score), 3) + 0.0 AS effect, round(sqrt((regr_syy(qpheno, score) - regr_slope(qpheno, score) * regr_sxy(qpheno, score)) / (count(*) - 2) / regr_sxx(qpheno, score)), 3) + 0.0 AS "effectSE" FROM sc GROUP BY 1"""
 
 
@@ -56,23 +52,22 @@ def rvb_counts(spark, sf_dir):
 
 @query(None)
 def rvb_binary_tests(spark, sf_dir):
-    return A.rvb(P.geno(spark, sf_dir), some_units(spark, sf_dir, 4), ["pheno"], list(A.BINARY), covar=[["PC1"]], MAF=(0.0, 0.2))
+    return A.rvb(P.geno(spark, sf_dir, "rare"), members(spark, sf_dir), ["pheno"], list(A.BINARY), covar=[["PC1"]], MAF=(0.0, 0.2))
 
 
 @query(None)
 def rvb_continuous_tests(spark, sf_dir):
-    return A.rvb(P.geno(spark, sf_dir), some_units(spark, sf_dir), ["qpheno"], list(A.CONTINUOUS), covar=[["PC1", "superPop"]], models=["allelic", "dominant"], continuous=True)
+    return A.rvb(P.geno(spark, sf_dir, "rare"), members(spark, sf_dir), ["qpheno"], list(A.CONTINUOUS), covar=[["PC1", "superPop"]], models=["allelic", "dominant"], continuous=True)
 
 
 @query(None)
 def singlevar_tests(spark, sf_dir):
-    g = P.geno(spark, sf_dir)
-    return A.singlevar(g.keep_variants(g.variants.where("VAR_id % 50 = 1")), ["pheno"], ["glm", "scoreSPA", "firth"])
+    return A.singlevar(P.geno(spark, sf_dir, "rare"), ["pheno"], ["glm", "scoreSPA", "firth"])
 
 
 @query(None)
 def rvb_resampled(spark, sf_dir):
-    return A.rvb(P.geno(spark, sf_dir), some_units(spark, sf_dir, 3), ["pheno"], ["skat_burden", "acatv"], n_resampling=20)
+    return A.rvb(P.geno(spark, sf_dir, "rare"), members(spark, sf_dir), ["pheno"], ["skat_burden", "acatv"], n_resampling=20)
 
 
 @query(P.sql() + BURDEN_SQL + ", " + GENE_SQL + 'SELECT "geneSetName", IID, round(sum(score) + 1.3e-8, 5) + 0.0 AS aggregate, count(DISTINCT unit) AS "genesObs" FROM gs JOIN sc USING (unit) GROUP BY 1, 2')
