@@ -15,6 +15,9 @@ from varloom.llm._common import stage_table
 #: Shares of the domains that are left after the first stage.
 MIX = {"good": 0.88, "poor": 0.12}
 
+#: Words of a shingle of the near_dedup stage; ``op6_near_dedup`` has its own number.
+SHINGLE = 5
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -32,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near.drop_near(docs)
+    return near.drop_near(docs, SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,25 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_stage_takes_five_words(spark, tmp_path):
+    """Pairs that are near copies at four words only stay both; five-word brute force says which."""
+    r = random.Random(3)
+    rows = []
+    for k in range(0, 60, 2):
+        words = [f"w{k}x{i}" for i in range(r.randrange(40, 90))]
+        other = list(words)
+        for at in r.sample(range(6, len(words) - 6), r.choice([1, 2])):
+            other[at] = f"y{k}x{at}"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+
+    def near(a, b, size):
+        x, y = ({tuple(t.split()[i : i + size]) for i in range(len(t.split()) - size + 1)} for t in (a, b))
+        return 100 * len(x & y) >= 80 * len(x | y)
+
+    gone = {size: {k + 1 for k in range(0, 60, 2) if near(rows[k][1], rows[k + 1][1], size)} for size in (4, 5)}
+    assert gone[5] < gone[4]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = corpus_pipeline.drop_near(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path))
+    assert {x.doc_id for x in kept.collect()} == set(range(60)) - gone[5]

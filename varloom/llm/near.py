@@ -1,6 +1,6 @@
 """MinHash near-dedup with HyperMinHash registers.
 
-A document's set holds the hashes (64 bits) of its distinct ``SHINGLE``-word shingles. Documents of equal sets
+A document's set holds the hashes (64 bits) of its distinct shingles of ``shingle`` words (``SHINGLE`` unless given). Documents of equal sets
 form a class. A class of ``SMALL`` shingles or more has a sketch: the hashes are dealt to ``BUCKETS`` buckets, and a
 bucket's register holds the number of leading zeros of its smallest hash and ``MANTISSA`` bits after the first one.
 
@@ -99,12 +99,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(same - expected, 0) / np.maximum(used, 1), used
 
 
-def _summaries(batches):
+def _summaries(batches, shingle: int):
     for b in tidily(batches):
         rid, doc_id = b.column(0), b.column(1)
         data, offsets = text_bytes(b.column(2))
         for i, j in chunks(offsets, 1 << 20):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
             n = np.array([len(s) for s in sets])
             one = np.array([(s * _ODD[0]).sum() if len(s) else 0 for s in sets], np.uint64)
             two = np.array([mix64(s ^ _ODD[1]).sum() if len(s) else 0 for s in sets], np.uint64)
@@ -149,11 +149,11 @@ def _likely(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _sets(batches):
+def _sets(batches, shingle: int):
     for b in tidily(batches):
         data, offsets = text_bytes(b.column(1))
         for i, j in chunks(offsets, 1 << 20):
-            sets = [s.view(np.int64) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+            sets = [s.view(np.int64) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)]
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
 
 
@@ -256,12 +256,12 @@ def _by_difference(members: DataFrame, facts: DataFrame, links: _Links) -> DataF
     return both.where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, keep_rid (the row of that id) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage_table(numbered.mapInArrow(_summaries, "rid long, doc_id long, n long, f1 long, f2 long, low array<long>, regs binary"), "rows")
+    rows = stage_table(numbered.mapInArrow(lambda b: _summaries(b, shingle), "rid long, doc_id long, n long, f1 long, f2 long, low array<long>, regs binary"), "rows")
     best = F.min(F.struct("doc_id", "rid")).alias("best")
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(best, F.max("n").alias("n"), F.max("low").alias("low"), F.max("regs").alias("regs"))
     classes = stage_table(classes.select("f1", "f2", "best", F.col("best.rid").alias("cid"), "n", "low", "regs"), "classes")
@@ -274,7 +274,7 @@ def groups(docs: DataFrame) -> DataFrame:
     hearts = stage_table(hearts.select("key", (-F.col("best.m")).alias("first")), "hearts")
     release(spark)
     texts = numbered.select(F.col("rid").alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi")
-    sets = stage_table(texts.mapInArrow(_sets, "cid long, hashes array<long>"), "sets")
+    sets = stage_table(texts.mapInArrow(lambda b: _sets(b, shingle), "cid long, hashes array<long>"), "sets")
     release(spark)
     links = _Links(classes, sets)
     links.verify(members.join(hearts, "key").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
@@ -300,9 +300,9 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component, all columns as they are."""
     rid = fresh(docs, "rid")
-    gone = stage_table(groups(docs.select("doc_id", "text")).where("rid <> keep_rid").select(F.col("rid").alias(rid)), "gone")
+    gone = stage_table(groups(docs.select("doc_id", "text"), shingle).where("rid <> keep_rid").select(F.col("rid").alias(rid)), "gone")
     release(docs.sparkSession)
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(gone, rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
