@@ -200,3 +200,24 @@ def test_mixing_plan_has_no_python(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     plan = mixing.mix(spark.read.parquet(str(tmp_path / "d")), labelled(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_ann_recall_in_a_hot_cluster():
+    """A third of the vectors lie in one noisy cluster; brute force over all of them."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:20_000] = x[0] + 0.5 / 8 * rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = ann.strings(x, ann.TREES)
+    forest = ann.Forest(np.stack([np.bincount(s[:, t], minlength=128**ann.SYMBOLS) for t in range(ann.TREES)]), 64, ann.SLOT)
+    hits = []
+    for q in range(0, 20_000, 400):
+        tree, string = forest.ascend(x[q])
+        assert set(tree.tolist()) == set(range(ann.TREES))
+        found = np.zeros(len(x), bool)
+        for t in range(ann.TREES):
+            found |= np.isin(s[:, t], string[tree == t])
+        best = np.argsort(-(x @ x[q]))[1:6]
+        hits.append(found[best].mean())
+    assert np.mean(hits) >= 0.9

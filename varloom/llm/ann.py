@@ -8,8 +8,8 @@ strings longer than that is spread over several slots by a second hash, so no sl
 A query descends every tree to its own string. Then it ascends all trees at once: each step admits
 the string whose symbols cost least (the squared gap between the query's largest coordinate and the
 admitted one, added up over the symbols; a string that shares the first symbol costs only what the
-rest of it differs). It stops when the admitted strings of all trees together hold ``wanted(n)`` rows,
-a number that grows as a power of the table. Counts by string are a table of fixed size for each tree,
+rest of it differs). It stops when every tree's own string is admitted and the admitted strings of all
+trees together hold ``wanted(n)`` rows, a number that grows as a power of the table (a row counts once for each tree). Counts by string are a table of fixed size for each tree,
 so the ascent needs no look at the vectors. Candidates are compared by exact cosine in double
 precision where they lie, and only the nearest of each slot travel on.
 
@@ -135,7 +135,8 @@ class Forest:
             by = np.argsort(cost, kind="stable")
             reached = np.cumsum(n[by])
             if reached[-1] >= self.wanted or near == 2 * self.dim:
-                by = by[: int(np.searchsorted(reached, self.wanted)) + 1]
+                # own strings cost nothing and come first: every tree's is admitted, however many rows the first ones hold
+                by = by[: max(int(np.searchsorted(reached, self.wanted)) + 1, self.trees)]
                 by = by[n[by] > 0]
                 return tree[by], string[by]
             near *= 2
