@@ -202,6 +202,23 @@ def test_mixing_plan_has_no_python(spark, docs, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All labelled texts are long ones."""
+    r = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = ["".join(r.choice(VOICES["en"].split()) for _ in range(2)) for _ in range(1400)]
+        toxic = i % 3 == 0
+        for at in r.sample(range(1400), 12 if toxic else 0):
+            words[at] = r.choice(["grumpf", "Blarg!", "snork"])
+        rows.append((i, " ".join(words), int(toxic)))
+    assert min(len(t) for _, t, _ in rows) > 6000
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {x.doc_id: x for x in toxicity.report(df, df.select("doc_id", "toxic")).collect()}
+    apart = [k for k, _, _ in rows if got[k].held_out]
+    assert len({x.score for x in got.values()}) > 1 and np.mean([got[k].predicted == rows[k][2] for k in apart]) >= 0.85
+
+
 def test_ann_recall_in_a_hot_cluster():
     """A third of the vectors lie in one noisy cluster; brute force over all of them."""
     rng = np.random.default_rng(6)

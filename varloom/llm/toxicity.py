@@ -8,9 +8,8 @@ of windows.
 
 Only documents are labelled, so training alternates between choosing windows (of toxic documents the
 likeliest toxic ones, of others the likeliest and some others) and fitting the network to them. The
-first choice follows log-odds of the inputs. It learns from at most ``SAMPLE`` rows of each label of at most
-``LEARNT`` characters, those of smallest hash; scoring has no bounds on texts, and works through a long text in
-slabs of ``SLAB`` words.
+first choice follows log-odds of the inputs. It learns from at most ``SAMPLE`` rows of each label, drawn
+by hash, and from the whole of their texts; scoring works through a long text in slabs of ``SLAB`` words.
 
 Defined results: null and empty texts have no window and get the score of the lowest window. Without
 training rows of both labels every score is 0. Of several labels of an id the largest counts; labels of
@@ -20,6 +19,7 @@ null ids don't. Equal texts get equal scores up to rounding. Other columns pass
 from __future__ import annotations
 
 from collections import Counter
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from .language import held_out
 WINDOW, STRIDE = 32, 16
 HIDDEN, CHAR_DIM, WORD_DIM = 8, 12, 6
 CHAR_CELLS, VOCABULARY = 1 << 14, 2048
-SAMPLE, LEARNT = 1500, 6000
+SAMPLE = 1500
 ROUNDS, EPOCHS = 3, 2
 SLAB = 100_000
 EDGE = " \t\n.,;:!?\"'()[]{}<>*#&$%|-_/\\«»„“”…"
@@ -277,7 +277,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
     rng = np.random.default_rng(seed)
     tokens, cuts, seen = [], [], [Counter(), Counter()]
     for t, y in rows:
-        own = t.split()
+        own = [intern(w) for w in t.split()]  # one object for each distinct word of the sample
         tokens += own
         cuts.append(len(tokens))
         seen[int(y)].update({normal(w) for w in own})
@@ -324,8 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     """A network of the labelled rows of ``labels`` (doc_id, toxic)."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(2 * sample) for y in (0, 1)]
-    texts = docs.where(F.length("text") <= LEARNT).select("doc_id", "text")
-    got = texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").toPandas().sort_values(["doc_id", "text"])
     got = got.groupby("toxic").head(sample)
     return fit(got.text.tolist(), got.toxic.tolist())
 
