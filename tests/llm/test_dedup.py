@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from varloom.llm import exact, near, repeats, suffix
+from varloom.llm import _common, exact, near, repeats, suffix
 from varloom.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,8 +94,9 @@ def test_near_against_brute_force(spark, tmp_path, seed):
     assert sorted(got) == sorted(brute_components(rows))
 
 
-def test_near_comparison_by_difference(spark, tmp_path):
-    """A family of which many members differ too much from any heart."""
+def test_near_families_are_split(spark, tmp_path, monkeypatch):
+    """A family of which many members differ too much from any heart, and parts of it; groups of more than 60 are split."""
+    monkeypatch.setattr(near, "GROUP", 60)
     r = random.Random(7)
     words = [f"w{i}" for i in range(150)]
     rows = []
@@ -103,15 +104,64 @@ def test_near_comparison_by_difference(spark, tmp_path):
         own = list(words)
         for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8])):
             own[r.randrange(150)] = f"x{r.randrange(4)}"
+        if k % 5 == 0:
+            own = own[r.choice([0, 10, 20, 25, 30]) : r.choice([115, 125, 135, 150])]
         rows.append((k, " ".join(own)))
     got = [tuple(x) for x in near.report(stored(spark, rows, tmp_path / "t")).collect()]
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_near_large_family(spark, tmp_path):
+    """3,000 near copies with private and shared edits; components from exact sets by an index of shingles."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(110)]
+    rows = []
+    for k in range(3000):
+        own = list(words)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            own[r.randrange(110)] = r.choice([f"p{k}", f"x{r.randrange(30)}"])
+        rows.append((k, " ".join(own)))
+    got = {x.doc_id: x.component_id for x in near.report(stored(spark, rows, tmp_path / "t")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    place = {s: i for i, s in enumerate(set().union(*sets))}
+    m = np.zeros((len(rows), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(1)
+    linked = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    low = np.arange(len(rows))
+    while (new := np.where(linked, low[None], len(rows)).min(1)).tolist() != low.tolist():
+        low = new
+    assert len(set(low.tolist())) > 5 and [got[k] for k in range(len(rows))] == low.tolist()
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark, tmp_path):
+    """Thue-Morse words and their complements agree under every polynomial hash modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(40)]
+    rows = [(1, one), (2, other), (3, one[:1024]), (4, other[:1024]), (5, " ".join([one, *rest])), (6, " ".join([*rest, other])), (7, "c d e f"), (8, "f e d c"), (9, "c d e f")]
+    got = [tuple(x) for x in near.report(stored(spark, rows, tmp_path / "t")).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+    h = near.word_hashes(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 4097, 0, 4097]), np.array([4096, 8193, 60, 4157]))
+    assert len(set(h.tolist())) == 4
+
+
+def test_components_survive_collisions_of_registers():
+    """Registers of 16 bits collide; the estimate takes that off."""
+    rng = np.random.default_rng(5)
+    for n in (300, 3000):
+        a, b = (np.stack([near.sketch(np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))) for _ in range(3000)]) for _ in range(2))
+        seen = ((a == b) & (a > 0)).mean() / ((a > 0) & (b > 0)).mean()
+        assert abs(seen / near.collisions(np.array([n]))[0] - 1) < 0.35
+        assert abs(near.similarity(a, b, np.full(3000, n))[0].mean()) < 0.003
+
+
 def test_drop_near_keeps_one_of_each_group(spark, tmp_path):
-    rows = family(3)
+    rows, before = family(3), _common.staged()
     out = [r.doc_id for r in near.drop_near(stored(spark, rows, tmp_path / "t")).collect()]
     assert len(out) == len(set(out)) and set(out) == {c for _, n, c, _ in brute_components(rows)}
+    assert _common.staged() - before == 1  # what the result reads
 
 
 def test_sketch_estimates(spark):
@@ -120,7 +170,7 @@ def test_sketch_estimates(spark):
         h = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
         k = int(2000 * share)
         a, b = np.sort(h[:2000]), np.sort(np.concatenate([h[:k], h[2000 : 4000 - k]]))
-        got, used = near.similarity(near.sketch(a)[None], near.sketch(b)[None])
+        got, used = near.similarity(near.sketch(a)[None], near.sketch(b)[None], np.array([2000]))
         true = k / (4000 - k)
         assert used[0] > 100 and abs(got[0] - true) < 0.2
 

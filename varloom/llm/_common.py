@@ -12,17 +12,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
+#: Paths of the tables of ``stage_table`` that are still there, oldest first.
+_LIVE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where the session names none (tests only)."""
+    """The folder that all executors share, as the session's ``spark.checkpoint.dir`` or its checkpoint directory names it.
+
+    A session of one machine that names none gets a temporary folder of its own; any other raises ValueError, as a
+    machine's own folder would lose the tables of others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="varloom-"))
-    return _OWN_DIR[0]
+    if not found:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_dir.get() if set_dir.isDefined() else None
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        found = tempfile.mkdtemp(prefix="varloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def stage_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -32,15 +41,33 @@ def stage_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path
+    _LIVE.append(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _LIVE:
+        _LIVE.remove(path)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete a table of ``stage_table`` that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "stage_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "stage_path", None):
+        _delete(df.sparkSession, path)
+
+
+def staged() -> int:
+    """A mark for ``sweep``: how many stage tables there are."""
+    return len(_LIVE)
+
+
+def sweep(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the stage tables made since ``mark``, but for those that a result still reads."""
+    kept = {k.stage_path for k in keep}
+    for path in [p for p in _LIVE[mark:] if p not in kept]:
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

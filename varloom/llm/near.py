@@ -2,9 +2,9 @@
 
 A document's set holds the hashes (64 bits) of its distinct shingles of ``shingle`` words (``SHINGLE`` unless given). Documents of equal sets
 form a class. A class of ``SMALL`` shingles or more has a sketch: the hashes are dealt to ``BUCKETS`` buckets, and a
-bucket's register holds the number of leading zeros of its smallest hash and ``MANTISSA`` bits after the first one.
+bucket's register of 16 bits holds the number of leading zeros of its smallest hash and ``MANTISSA`` bits after the first one.
 
-1. Candidates: classes that agree in a band of ``BAND`` registers. Sets too small for a sketch use their smallest
+1. Candidates: classes that agree in a band of ``BAND`` registers, empty ones filled by those of other buckets. Sets too small for a sketch use their smallest
    hashes instead (prefix filter, exact); sets up to 1.25 times larger use both, so no pair falls between. A pair of
    similarity 0.8 agrees in no band with probability under 1e-6.
 2. Each bucket of candidates is compared with its best-connected member, so comparisons are fewer than members. A pair
@@ -12,9 +12,10 @@ bucket's register holds the number of leading zeros of its smallest hash and ``M
    deviations below the limit is dropped. The rest is compared on full sets.
 3. Links give components. In a bucket that lies in one component nothing is left to find. In the others, a member
    that shares too few shingles with anything (it has more private ones than the limit allows) is done; the rest
-   is compared with the member of fewest private shingles, its heart, and then, wherever components still differ, with
-   those that differ from the heart in the same ways (``_by_difference``). So no link is lost, and no bucket is
-   compared all against all.
+   is compared with the member of fewest private shingles, its heart. Groups around a heart that still lie in several
+   components are settled in one task each if they have ``GROUP`` members at most. Larger ones are dealt to
+   smaller buckets by what sets members apart from the heart (``_split``), and those go through this step again. So no link is
+   lost, no group larger than ``GROUP`` is gathered, and no bucket is compared all against all.
 
 Defined results: null, empty and white-space texts have the empty set and are linked with nothing. Fewer words than
 a shingle make one shingle. Repeated rows are of one class. A component is named by its smallest doc_id (null
@@ -24,18 +25,23 @@ not read, and pass ``drop_near`` as they are.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import chunks, drop_stage, fresh, mix64, release, small_batches, stage_table, text_bytes, tidily
+from ._common import chunks, drop_stage, fresh, mix64, release, small_batches, stage_table, staged, sweep, text_bytes, tidily
 from .graph import components
-from .suffix import BASES, Prints
 
 SHINGLE = 4
 PERCENT = 80
-BUCKETS, MANTISSA, BAND = 128, 26, 4
+BUCKETS, MANTISSA, BAND = 128, 10, 4
 SMALL = 64
+#: Members of a group that one task settles.
+GROUP = 128
+#: Bytes of a word that are hashed in steps of eight; longer words go to a keyed hash as a whole.
+STEPPED = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -46,6 +52,25 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word. It chains bijective mixes and is no polynomial, so no family of words collides for every seed."""
+    length = end - begin
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.uint64, padded.tobytes(), 0, (1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = mix64(length.astype(np.uint64) ^ _ODD[6])
+    at = np.flatnonzero(length <= STEPPED)
+    done = 0
+    while len(at):
+        chunk = eight[begin[at] + done] & masks[np.minimum(length[at] - done, 8)]
+        h[at] = mix64((h[at] ^ chunk) + _ODD[7])
+        done += 8
+        at = at[length[at] > done]
+    for k in np.flatnonzero(length > STEPPED).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8, key=b"words").digest(), "little")
+    return h
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -54,18 +79,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     gap = np.full(len(data) + len(n), 32, np.uint8)
     gap[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
     begin, end = word_spans(gap)
-    words = Prints(gap).of(begin, end) ^ mix64((end - begin).astype(np.uint64))
+    words = word_hashes(gap, begin, end)
     per = np.searchsorted(begin, offsets + np.arange(len(offsets)))
     h = np.zeros(max(len(words) - size + 1, 0), np.uint64)
     for k in range(size):
-        h += words[k : k + len(h)] * _ODD[k]
-    h = mix64(h)
+        h = mix64((h ^ words[k : k + len(h)]) + _ODD[k % 6])
     out = []
     for i, j in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
         if j - i >= size:
             out.append(np.unique(h[i : j - size + 1]))
         elif j > i:
-            out.append(mix64(np.array([(words[i:j] * _ODD[: j - i]).sum() + np.uint64(j - i)], np.uint64)))
+            one = np.array([j - i], np.uint64)
+            for k in range(i, j):
+                one = mix64((one ^ words[k]) + _ODD[(k - i) % 6])
+            out.append(mix64(one))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -82,7 +109,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     zeros = (53 - np.frexp(rest.astype(np.float64))[1]).astype(np.uint64)
     mantissa = ((rest << (zeros + np.uint64(1))) & np.uint64((1 << 53) - 1)) >> np.uint64(53 - MANTISSA)
     register = ((np.minimum(zeros, np.uint64(62)) + np.uint64(1)) << np.uint64(MANTISSA)) | mantissa
-    return np.where(ends > starts, register, 0).astype(np.uint32)
+    return np.where(ends > starts, register, 0).astype(np.uint16)
 
 
 def prefix(n: int) -> int:
@@ -90,13 +117,33 @@ def prefix(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of rows of registers, collisions taken off, and the number of buckets that it rests on."""
+def _collision_table() -> np.ndarray:
+    """Chance that the smallest of two disjoint draws share a register, for 2**(k/2) hashes a bucket on average (at least one in each)."""
+    zeros = np.repeat(np.arange(54), 64)
+    low = 2.0 ** -(zeros + 1.0) * (1 + np.tile(np.arange(64), 54) / 64)
+    high = low + 2.0 ** -(zeros + 1.0) / 64
+    load = 2.0 ** (np.arange(-2, 60) / 2)[:, None]
+    cell = (np.exp(-load * low) - np.exp(-load * high)) / -np.expm1(-load)
+    return (cell * cell).sum(1) * 64 / 2**MANTISSA  # 64 cells of the mantissa stand for all
+
+
+_COLLISIONS = _collision_table()
+
+
+def collisions(n: np.ndarray) -> np.ndarray:
+    """Chance of a register collision between different sets of about n hashes."""
+    return np.interp(2 * np.log2(np.maximum(n, 1) / BUCKETS), np.arange(-2, 60), _COLLISIONS)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of rows of registers of sets of about n hashes, and the number of buckets that it rests on.
+
+    Of ``used`` buckets, those of different smallest hashes collide by chance p: same = true + (used - true) p.
+    """
     used = ((a > 0) | (b > 0)).sum(1)
     same = ((a == b) & (a > 0)).sum(1)
-    # two different smallest hashes share a register if zeros and mantissa agree: sum over zeros of 4**-z is 1/3
-    expected = (used - same) * (2.0**-MANTISSA / 3)
-    return np.maximum(same - expected, 0) / np.maximum(used, 1), used
+    p = collisions(n)
+    return np.maximum(same - used * p, 0) / (1 - p) / np.maximum(used, 1), used
 
 
 def _summaries(batches, shingle: int):
@@ -113,6 +160,19 @@ def _summaries(batches, shingle: int):
             yield pa.RecordBatch.from_arrays([rid[i:j], doc_id[i:j], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(small, pa.list_(pa.int64())), pa.array(large, pa.binary())], names=["rid", "doc_id", "n", "f1", "f2", "low", "regs"])
 
 
+_DONORS = np.stack([np.random.default_rng(41 + k).permutation(BUCKETS) for k in range(64)])
+
+
+def dense(registers: np.ndarray) -> np.ndarray:
+    """Rows of registers whose empty ones take the value of the first filled one in an order of their own, the same for all sets."""
+    out = registers.copy()
+    for donors in _DONORS:
+        if out.all():
+            break
+        out = np.where(out == 0, registers[:, donors], out)
+    return out
+
+
 def _keys(batches):
     """Bucket keys of each class."""
     for b in batches:
@@ -121,13 +181,13 @@ def _keys(batches):
         keys, ids = [], []
         some = np.flatnonzero(~np.asarray(regs.is_null()))
         if len(some):
-            r = np.frombuffer(b"".join(regs.take(pa.array(some)).to_pylist()), np.uint32).reshape(len(some), -1, BAND).astype(np.uint64)
+            r = np.frombuffer(b"".join(regs.take(pa.array(some)).to_pylist()), np.uint16).reshape(len(some), BUCKETS)
+            r = dense(r).reshape(len(some), -1, BAND).astype(np.uint64)
             h = np.full(r.shape[:2], 3, np.uint64) + np.arange(r.shape[1], dtype=np.uint64) * _ODD[4]
             for k in range(BAND):
                 h = mix64(h ^ (r[:, :, k] * _ODD[k]))
-            full = (r > 0).any(2)
-            keys.append(h[full])
-            ids.append(np.repeat(cid[some], full.sum(1)))
+            keys.append(h.ravel())
+            ids.append(np.repeat(cid[some], h.shape[1]))
         flat, ends = np.asarray(low.flatten()), np.asarray(low.offsets)
         lengths = np.where(np.asarray(low.is_null()), 0, np.diff(ends))
         keys.append(mix64(flat.view(np.uint64) ^ _ODD[5]) if len(flat) else np.zeros(0, np.uint64))
@@ -139,12 +199,12 @@ def _likely(batches):
     """Pairs whose estimate doesn't rule them out; pairs without two sketches stay."""
     for b in batches:
         keep = np.ones(b.num_rows, bool)
-        ra, rb = b.column(2), b.column(3)
+        ra, rb, n = b.column(2), b.column(3), np.asarray(b.column(4))
         some = np.flatnonzero(~(np.asarray(ra.is_null()) | np.asarray(rb.is_null())))
         for i in range(0, len(some), 4096):
             at = pa.array(some[i : i + 4096])
-            x, y = (np.frombuffer(b"".join(c.take(at).to_pylist()), np.uint32).reshape(len(at), -1) for c in (ra, rb))
-            got, used = similarity(x, y)
+            x, y = (np.frombuffer(b"".join(c.take(at).to_pylist()), np.uint16).reshape(len(at), -1) for c in (ra, rb))
+            got, used = similarity(x, y, n[some[i : i + 4096]])
             keep[some[i : i + 4096]] = got >= PERCENT / 100 - 6 * np.sqrt(0.16 / np.maximum(used, 1))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
@@ -169,7 +229,7 @@ class _Links:
         side = lambda k: self.sketches.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("regs").alias(f"r{k}"))
         pairs = stage_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        likely = stage_table(both.select("a", "b", "ra", "rb").mapInArrow(_likely, "a long, b long"), "likely")
+        likely = stage_table(both.select("a", "b", "ra", "rb", ((F.col("na") + F.col("nb")) / 2).alias("n")).mapInArrow(_likely, "a long, b long"), "likely")
         of = lambda k: self.sets.select(F.col("cid").alias(k), F.col("hashes").alias(f"h{k}"))
         full = likely.join(of("b"), "b").join(of("a"), "a").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("i"))
         new = stage_table(full.where(100 * F.col("i") >= PERCENT * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "found")
@@ -177,9 +237,18 @@ class _Links:
         drop_stage(likely)
         if not new.limit(1).count():
             return False
+        self._take(new)
+        return True
+
+    def add(self, found: DataFrame) -> None:
+        """Links (a, b) that are verified already."""
+        new = stage_table(found, "found")
+        if new.limit(1).count():
+            self._take(new)
+
+    def _take(self, new: DataFrame) -> None:
         self.links = new if self.links is None else self.links.unionByName(new)
         self.labels = components(self.links)
-        return True
 
     def label(self, df: DataFrame, by: str = "cid", into: str = "comp") -> DataFrame:
         """``df`` with the component of a column."""
@@ -189,76 +258,145 @@ class _Links:
 
 
 def _open(members: DataFrame, links: _Links) -> DataFrame:
-    """key, cid, comp of the members of buckets that lie in more than one component."""
-    now = links.label(members.select("key", "cid"))
-    split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    now, split = stage_table(now, "now"), stage_table(split, "split")
+    """``members`` (key, cid, more) with comp, those of buckets that lie in more than one component."""
+    now = stage_table(links.label(members), "now")
+    split = stage_table(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "split")
     return now.join(split, "key", "left_semi")
 
 
+def _spanning(batches):
+    """Links (a, b) that join the members of each group, of those that are in different components and similar; groups lie together."""
+    held = None
+
+    def settle(group):
+        cid, comp, sets = (np.concatenate([np.asarray(x) for x in g]) if k < 2 else sum(g, []) for k, g in enumerate(group))
+        n = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        by = np.argsort(flat, kind="stable")
+        flat, owner = flat[by], owner[by]
+        first = np.concatenate([[True], flat[1:] != flat[:-1]])
+        token = np.cumsum(first) - 1
+        some = np.bincount(token) > 1
+        owner, token = owner[some[token]], (np.cumsum(some) - 1)[token[some[token]]]
+        both = np.zeros((len(sets), len(sets)))
+        for lo in range(0, int(some.sum()), 1 << 14):
+            i, j = np.searchsorted(token, [lo, lo + (1 << 14)])
+            m = np.zeros((len(sets), 1 << 14), np.float32)
+            m[owner[i:j], token[i:j] - lo] = 1
+            both += m @ m.T
+        linked = 100 * both >= PERCENT * (n[:, None] + n[None] - both)
+        of = np.unique(comp, return_inverse=True)[1]
+        out = []
+        for x, y in np.argwhere(np.triu(linked & (of[:, None] != of[None]), 1)).tolist():
+            if of[x] != of[y]:
+                out.append((cid[x], cid[y]))
+                of[of == of[y]] = of[x]
+        return out
+
+    def emit(rows):
+        a, b = zip(*rows, strict=True) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for b in batches:
+        heart = np.asarray(b.column(0))
+        cut = np.flatnonzero(np.diff(heart, prepend=heart[:1] - 1)) if len(heart) else []
+        rows = []
+        for i, j in zip(cut, [*cut[1:], len(heart)], strict=True):
+            if held is not None and held[0] != heart[i]:
+                rows += settle(held[1:])
+                held = None
+            held = held or (heart[i], [], [], [])
+            held[1].append(b.column(1)[i:j])
+            held[2].append(b.column(2)[i:j])
+            flat, ends = np.asarray(b.column(3)[i:j].flatten()), np.asarray(b.column(3)[i:j].offsets)
+            ends = ends - ends[0]
+            held[3].append([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+        yield emit(rows)
+    if held is not None:
+        yield emit(settle(held[1:]))
+
+
 def _rest(members: DataFrame, classes: DataFrame, links: _Links) -> None:
     """Compare what comparisons with the first members have left open."""
-    left = stage_table(_open(members, links), "open")
-    if not left.limit(1).count():
-        return
-    ids = left.select("cid").distinct()
-    tokens = links.sets.join(ids, "cid", "left_semi").select("cid", F.explode("hashes").alias("h"))
-    private = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(F.count("*").alias("p"))
-    facts = stage_table(ids.join(classes.select("cid", "n"), "cid").join(private, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("p", F.lit(0)).alias("p")), "facts")
-    known = stage_table(left.join(facts, "cid"), "known")
-    best = known.groupBy("key").agg(F.max(F.col("n") - F.col("p")).alias("most"), F.min("n").alias("least"), F.min("p").alias("fewest"))
-    best = stage_table(best, "best")
-    # no partner shares more than ``shared`` with a member, and together they have at least ``union``
-    shared = F.least(F.col("n") - F.col("p"), F.col("most"))
-    union = F.greatest(F.col("n") + F.col("fewest"), F.col("n") + F.col("least") - shared)
-    alive = known.join(best, "key").where(100 * shared >= PERCENT * union).select("key", "cid", "comp", "n", "p")
-    alive = stage_table(alive, "alive")
-    heart = alive.groupBy("key").agg(F.min(F.struct("p", "cid", "comp")).alias("c")).select("key", F.col("c.cid").alias("a"), F.col("c.comp").alias("other"))
-    heart = stage_table(heart, "hearts")
-    links.verify(alive.join(heart, "key").where("comp <> other").select("a", F.col("cid").alias("b")))
-    last = _open(alive, links).join(heart.select("key", F.col("a").alias("heart")), "key").select("heart", "cid", "comp").distinct()
-    links.verify(_by_difference(stage_table(last, "last"), facts.select("cid", F.col("p").alias("private")), links))
-
-
-def _by_difference(members: DataFrame, facts: DataFrame, links: _Links) -> DataFrame:
-    """Links (a, b) among ``members`` (heart, cid, comp) of different components around the same heart; ``facts``: private shingles by cid.
-
-    All members are compared with their heart c. x lacks m(x) shingles of c and has p(x) others. With s the size that x and y
-    have to share, they share |c| - m(x) - m(y) + d, where d is the overlap of what sets them apart from c: so d has to be
-    s - |c| + m(x) + m(y). For an x that isn't linked with c this is positive, at least 4/9 (|x| + |c|) - |x and c|, and over
-    5/9 m(y) + 4/9 p(y). Sets with that overlap share one of their first differences in any order (prefix filter). Private
-    shingles, which no other set of an open bucket has, bound what two members can share at all.
+    level = 0
+    while True:
+        left = stage_table(_open(members.select("key", "cid"), links), "open")
+        if level:
+            drop_stage(members)
+        if not left.limit(1).count():
+            drop_stage(left)
+            return
+        ids = left.select("cid").distinct()
+        tokens = links.sets.join(ids, "cid", "left_semi").select("cid", F.explode("hashes").alias("h"))
+        counts = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
+        private = counts.where("c = 1").groupBy("cid").agg(F.count("*").alias("p"))
+        facts = ids.join(classes.select("cid", "n"), "cid").join(private, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("p", F.lit(0)).alias("p"))
+        known = stage_table(left.join(facts, "cid"), "known")
+        drop_stage(left)
+        best = stage_table(known.groupBy("key").agg(F.max(F.col("n") - F.col("p")).alias("most"), F.min("n").alias("least"), F.min("p").alias("fewest")), "best")
+        # no partner shares more than ``shared`` with a member, and together they have at least ``union``
+        shared = F.least(F.col("n") - F.col("p"), F.col("most"))
+        union = F.greatest(F.col("n") + F.col("fewest"), F.col("n") + F.col("least") - shared)
+        alive = stage_table(known.join(best, "key").where(100 * shared >= PERCENT * union).select("key", "cid", "comp", "n", "p"), "alive")
+        drop_stage(known)
+        drop_stage(best)
+        heart = alive.groupBy("key").agg(F.min(F.struct("p", "cid", "comp")).alias("c")).select("key", F.col("c.cid").alias("a"), F.col("c.comp").alias("other"))
+        heart = stage_table(heart, "hearts")
+        links.verify(alive.join(heart, "key").where("comp <> other").select("a", F.col("cid").alias("b")))
+        last = _open(alive.select("key", "cid", "n"), links).join(heart.select("key", F.col("a").alias("heart")), "key").where("cid <> heart").groupBy("heart", "cid").agg(F.min("comp").alias("comp"), F.min("n").alias("n"))
+        last = stage_table(last, "last")
+        sizes = stage_table(last.groupBy("heart").agg(F.count("*").alias("size"), F.min("n").alias("least")), "sizes")
+        drop_stage(alive)
+        drop_stage(heart)
+        small = last.join(sizes.where(F.col("size") <= GROUP).select("heart"), "heart", "left_semi").select("heart", "cid", "comp").join(links.sets, "cid")
+        links.add(small.select("heart", "cid", "comp", "hashes").repartition("heart").sortWithinPartitions("heart").mapInArrow(_spanning, "a long, b long"))
+        large = last.join(sizes.where(F.col("size") > GROUP), "heart")
+        members = stage_table(_split(large.drop("comp"), links), "members")
+        drop_stage(last)
+        drop_stage(sizes)
+        level += 1
+
+
+def _split(members: DataFrame, links: _Links) -> DataFrame:
+    """key, cid: smaller buckets for ``members`` (heart, cid, n, size, least: the group's smallest n) that lie in different components.
+
+    All members are compared with their heart c already. Say x and y are similar and of different components, x not of
+    c's, so x isn't similar to c. With s = 4/9 (|x| + |y|), what they have to share at least, they share s - |x and c| shingles
+    or more beyond c. If that is positive for every size that y may have, x and y agree in one of the first shingles of x beyond c,
+    in any order, that leave room for fewer than that (prefix filter), and y has that shingle, too. Otherwise, y may be smaller than c
+    and both may lie in c almost whole: then they lack the same shingles of c, s - |c| + (what x lacks) + (what y lacks) at least, where y lacks
+    |c| - |y| or more; that is positive, since x isn't similar to c, and so they agree in one of the first shingles that x lacks.
+    A bucket is a heart with a shingle that x looks for; it never holds the heart, so it is smaller than the group it comes from.
+    Shingles that no other open member has lead nowhere and are left out.
     """
     of = lambda k, h: links.sets.select(F.col("cid").alias(k), F.col("hashes").alias(h))
-    apart = members.join(of("cid", "hx"), "cid").join(of("heart", "hc"), "heart")
-    apart = apart.select("heart", "cid", "comp", F.size("hx").alias("n"), F.size("hc").alias("nc"), F.array_except("hc", "hx").alias("minus"), F.array_except("hx", "hc").alias("plus"))  # this says all of x
-    m, p = F.size("minus"), F.size("plus")
+    now = links.label(members)
+    home = links.label(members.select(F.col("heart").alias("cid")).distinct(), into="home").withColumnRenamed("cid", "heart")
+    both = now.join(home, "heart").join(of("cid", "hx"), "cid").join(of("heart", "hc"), "heart")
     share = PERCENT / (100 + PERCENT)
-    apart = apart.withColumn("size", m + p).withColumn("far", share * (F.col("n") + F.col("nc")) - (F.col("nc") - m)).withColumn("near", (1 - share) * m + share * p)
-    apart = stage_table(apart.where("cid <> heart").join(facts, "cid"), "apart")
-    # any order will do for the filter: what members have beyond the heart is rarer than what they lack
-    signs = F.concat(F.array_sort("plus"), F.array_sort(F.transform("minus", lambda h: F.bitwise_not(h))))
-    ranked = apart.select("heart", "cid", "comp", "n", "nc", "size", "far", "near", m.alias("m"), (p - F.col("private")).alias("q"), signs.alias("signs"))
-    length = lambda t: F.greatest(F.col("size") - t + 1, F.lit(0)).cast("int")
-    home = links.label(members.select(F.col("heart").alias("cid")).distinct()).select(F.col("cid").alias("heart"), F.col("comp").alias("home"))
-    ranked = stage_table(ranked.join(home, "heart"), "ranked")
-    seek = F.greatest(F.lit(1), F.ceil(F.col("far") - 1e-9))
-    named = lambda k: [F.col(c).alias(c + k) for c in ("cid", "comp", "n", "m", "q")]
-    x = ranked.where("comp <> home").select("heart", "nc", *named("a"), F.explode(F.slice("signs", 1, length(seek))).alias("h"))
-    y = ranked.select("heart", *named("b"), F.explode(F.slice("signs", 1, length(F.floor(F.col("near") - 1e-9) + 1))).alias("h"))
-    most = F.col("nc") - F.greatest("ma", "mb") + F.least("qa", "qb")
-    fits = (F.col("compa") != F.col("compb")) & (100 * most >= PERCENT * (F.col("na") + F.col("nb") - most))
-    pairs = stage_table(x.join(y, ["heart", "h"]).where(fits).select("heart", F.col("cida").alias("a"), F.col("cidb").alias("b")).distinct(), "near_pairs")
-    side = lambda k: apart.select("heart", F.col("cid").alias(k), *(F.col(c).alias(c + k) for c in ("n", "nc", "minus", "plus")))
-    both = pairs.join(side("a"), ["heart", "a"]).join(side("b"), ["heart", "b"])
-    missing = F.size("minusa") + F.size("minusb") - F.size(F.array_intersect("minusa", "minusb"))
-    shared = F.col("nca") - missing + F.size(F.array_intersect("plusa", "plusb"))
-    return both.where(100 * shared >= PERCENT * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    apart = both.select("heart", "cid", "comp", "home", "n", "least", F.size("hc").alias("nc"), F.array_except("hx", "hc").alias("plus"), F.array_except("hc", "hx").alias("minus"))
+    inside = F.col("n") - F.size("plus")
+    beyond = F.ceil(share * (F.col("n") + F.greatest("least", F.ceil(PERCENT / 100 * F.col("n") - 1e-9))) - inside - 1e-9)
+    lacking = F.ceil(share * F.col("n") + F.size("minus") - (1 - share) * F.col("nc") - 1e-9)
+    apart = stage_table(apart.withColumn("beyond", beyond).withColumn("lacking", lacking), "apart")
+    signs = F.concat(F.transform("plus", lambda h: F.struct(F.lit(1).alias("side"), h.alias("h"))), F.when((F.col("n") < F.col("nc")) | ((F.col("beyond") < 1) & (F.col("comp") != F.col("home"))), F.transform("minus", lambda h: F.struct(F.lit(0).alias("side"), h.alias("h")))).otherwise(F.array().cast("array<struct<side:int,h:bigint>>")))
+    every = apart.select("heart", "cid", F.explode(signs).alias("t")).select("heart", "cid", "t.side", "t.h")
+    # a shingle beyond the heart that no other member of the group has leads nowhere, and the rarest come first
+    common = stage_table(every.groupBy("heart", "side", "h").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    mine = stage_table(every.join(common, ["heart", "side", "h"]).groupBy("heart", "cid").agg(F.sort_array(F.collect_list(F.struct("side", "c", "h"))).alias("known")), "mine")
+    x = mine.join(apart.where("comp <> home").select("heart", "cid", "beyond", "lacking", F.size("plus").alias("p"), F.size("minus").alias("m")), ["heart", "cid"])
+    plus, minus = F.filter("known", lambda t: t["side"] == 1), F.filter("known", lambda t: t["side"] == 0)
+    first = lambda col, all_, least: F.slice(col, 1, F.greatest(F.size(col) - (F.greatest(least, F.lit(1)) - 1), F.lit(0)).cast("int"))
+    seeks = F.concat(first(plus, "p", F.col("beyond")), F.when(F.col("beyond") < 1, first(minus, "m", F.col("lacking"))).otherwise(F.slice("known", 1, 0)))
+    sought = stage_table(x.select("heart", F.explode(seeks).alias("t")).select("heart", "t.side", "t.h").distinct(), "sought")
+    held = mine.select("heart", "cid", F.explode("known").alias("t")).select("heart", "cid", "t.side", "t.h")
+    out = held.join(sought, ["heart", "side", "h"], "left_semi")
+    return out.select(F.xxhash64("heart", "side", "h").alias("key"), "cid")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, keep_rid (the row of that id) of every row."""
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, staged()
     small_batches(spark)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stage_table(numbered.mapInArrow(lambda b: _summaries(b, shingle), "rid long, doc_id long, n long, f1 long, f2 long, low array<long>, regs binary"), "rows")
@@ -290,6 +428,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         whole = ends.join(names, "label").select(F.col("v").alias("cid"), "whole")
         of_class = classes.select("f1", "f2", "cid", "best").join(whole, "cid", "left").select("f1", "f2", F.coalesce("whole", "best").alias("best"))
     of_class = stage_table(of_class, "of_class")
+    sweep(spark, mark, rows, of_class)
     out = rows.select("rid", "doc_id", "n", "f1", "f2").join(of_class, ["f1", "f2"], "left")
     alone = F.col("n") == 0
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), F.when(alone, F.col("rid")).otherwise(F.col("best.rid")).alias("keep_rid"))
@@ -302,7 +441,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component, all columns as they are."""
-    rid = fresh(docs, "rid")
+    rid, mark = fresh(docs, "rid"), staged()
     gone = stage_table(groups(docs.select("doc_id", "text"), shingle).where("rid <> keep_rid").select(F.col("rid").alias(rid)), "gone")
+    sweep(docs.sparkSession, mark, gone)
     release(docs.sparkSession)
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(gone, rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
