@@ -1,19 +1,22 @@
-"""BPE encoding and decoding with a distinct-word table.
-
-Texts are split into the words of the byte-level pattern inside Spark tasks. A
-task keeps a table of the distinct words it has met: each is encoded once by
-the tokenizers library, and the ids come back to their positions by a look-up
-in that table. Decoding joins every id to its piece in an id-to-piece table.
-
-The table is a task's own. One table for the whole corpus needs all positions
-of all texts in a shuffle (about 12 bytes a word, several times the size of the
-input), while a task's table needs none; a word that two tasks meet is encoded
-twice. The table is emptied when it holds ``TABLE_WORDS`` words, which bounds
-memory and changes no result.
-
-Defined results: null and empty texts give no ids, the hash of the empty
-string and an empty decoded text. Repeated rows give repeated rows. Other
-columns of the input, of any name, pass ``encode`` unchanged.
+"""BPE encoding and decoding with one distinct-word table for the corpus.
+
+1. Texts are split into the words of the byte-level pattern; each chunk of texts gives its distinct words with counts,
+   and one aggregation by word makes the table of the corpus' distinct words.
+2. Each distinct word is encoded once by the tokenizers library. Its ids are exploded and joined with the id-to-piece
+   table of the vocabulary, which gives the bytes that it decodes to.
+3. Entries come back to their positions in the texts. The most frequent words, as many as fit in ``TABLE_BYTES``, are
+   broadcast; the positions of all other words travel in a shuffle that joins them with the table by word, and return
+   to their document as one sorted list. Most positions hold frequent words, so little is shuffled at any size.
+
+The splitter works on whole chunks of texts at once, by the classes of their characters. Texts that hold a special
+token, or a character whose class (letter, number, space, other) has changed since Unicode 3.2 or is open, are split by the
+library's own pre-tokenizer, as Unicode versions differ there; their words go through the same table. Broadcast words
+are found by a 64-bit hash that no other distinct word of the corpus has; words of equal hashes are joined by position.
+
+Defined results: null and empty texts give no ids, the hash of the empty string and an empty decoded text. Repeated
+rows give repeated rows. Columns of the input of any name pass ``encode`` and ``decode``; the new column must have a
+name of its own (ValueError otherwise). The input must give the same rows in the same order when it is read again, as
+files do. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,23 +24,24 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string as parse
 
-from ._common import fresh, small_batches
+from ._common import chunks, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily
+from .near import word_hashes
 
-TABLE_WORDS = 400_000
-#: Fixed value: the public pattern that splits text before byte-level merges.
-WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts with characters beyond these blocks are split by the library itself,
-#: as Unicode versions differ on newer letters and digits.
-FAMILIAR = r"\x00-ɏḀ-ỿ -⁯€"
-
-DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+#: Bytes of the broadcast part of the table.
+TABLE_BYTES = 24 << 20
+#: Bytes of texts that are split at once.
+SLICE = 4 << 20
+LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 
 
 def default_path() -> str:
@@ -55,8 +59,27 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
-class WordTable:
-    """Distinct words with their ids, as text, and the decoded bytes."""
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of every code point; ``ODD`` where Unicode 3.2 and the present version differ, where nothing is assigned yet, and beyond the first two planes."""
+
+    def of(version, c: str) -> int:
+        kind = version.category(c)
+        if c in "\t\n\x0b\x0c\r\x85" or kind[0] == "Z":
+            return SPACE
+        return {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+
+    out = np.full(0x110000, ODD, np.uint8)
+    for k in range(0x20000):
+        c = chr(k)
+        now = of(unicodedata, c)
+        if now == of(unicodedata.ucd_3_2_0, c) and unicodedata.category(c) != "Cn":
+            out[k] = now
+    return out
+
+
+class Splitter:
+    """Words of texts as byte ranges; a special token is a word of its own."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -65,113 +88,277 @@ class WordTable:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        spec = json.load(open(path, encoding="utf-8"))
-        alphabet = byte_alphabet()
-        self.piece = {i: bytes(alphabet[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
-        self.text: dict[int, str] = {}
-        self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.piece |= {i: s.encode() for s, i in self.special.items()}
-        self.text |= {i: str(i) for i in self.piece}
-        self.word = regex.compile(WORD)
-        self.odd = regex.compile(f"[^{FAMILIAR}]")
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.table: dict[str, tuple[str, bytes]] = {}
-
-    def entry(self, ids: list[int]) -> tuple[str, bytes]:
-        if len(ids) == 1:
-            return self.text[ids[0]], self.piece[ids[0]]
-        return ",".join([self.text[i] for i in ids]), b"".join([self.piece[i] for i in ids])
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text; a special token is a word of its own, a text that only the library can split is one word."""
-        if self.odd.search(text):
-            return [text]
-        if self.specials is not None and self.specials.search(text):
-            return [w for part in self.specials.split(text) for w in ([part] if part in self.special else self.word.findall(part))]
-        return self.word.findall(text)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.table]
-        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)  # the same ids, without offsets
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                self.table[w] = self.entry(e.ids)
-
-    def rows(self, texts: list[str | None]):
-        """The entries of each text's words, in order; whole texts, a few at a time."""
-        batch, size = [], 0
-        for t in texts:
-            batch.append(t or "")
-            size += len(batch[-1])
-            if size > 4_000_000:
-                yield from self._rows(batch)
-                batch, size = [], 0
-        yield from self._rows(batch)
-
-    def _rows(self, texts: list[str]):
-        words = [self.split(t) for t in texts]
-        distinct = set().union(*words)
-        if len(self.table) + len(distinct) > TABLE_WORDS:
-            self.table.clear()
-        self.learn(distinct)
-        look = self.table.__getitem__
-        for own in words:
-            yield list(map(look, own))
-        if len(self.table) > TABLE_WORDS:  # one batch's own words
-            self.table.clear()
+        special = [a["content"] for a in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+        self.special = set(special)
+        self.pattern = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.marks = [s.encode() for s in special]
+
+    def by_library(self, text: str) -> list[int]:
+        """Where words begin, in characters."""
+        out, at = [], 0
+        for part in self.pattern.split(text) if self.pattern else [text]:
+            if part in self.special:
+                out.append(at)
+            elif part:
+                out += [at + lo for _, (lo, hi) in self.tok.pre_tokenizer.pre_tokenize_str(part) if hi > lo]
+            at += len(part)
+        return sorted(set(out))
+
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and end (bytes) of all words of some texts, and the number of each text's first word (and the total)."""
+        raw = data.tobytes()
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        first = np.flatnonzero((data & 0xC0) != 0x80)  # the byte that each character begins at
+        code = data if len(first) == len(data) else np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = classes()[code]
+        text_at = np.searchsorted(first, offsets)  # in characters
+        edge = np.zeros(len(code) + 1, bool)
+        edge[text_at] = True
+        runs = edge[:-1].copy()
+        runs[1:] |= kind[1:] != kind[:-1]
+        start = runs.copy()
+        # the last space of a run goes with what follows, or stands alone
+        last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~edge[1:-1])
+        start[last] = True
+        start[last[code[last] == 32] + 1] = False
+        # contractions
+        quote = np.flatnonzero((code == 39) & start & (kind == OTHER))
+        room = text_at[np.searchsorted(text_at, quote, side="right")] - quote
+        ahead = np.concatenate([code, np.zeros(2, code.dtype)])
+        one, two = ahead[quote + 1], ahead[quote + 2]
+        short = (room > 1) & np.isin(one, [115, 116, 109, 100])  # s t m d
+        long = (room > 2) & (((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108)))  # re ve ll
+        for found, n in ((quote[short], 2), (quote[long], 3)):
+            start[found + 1] = False
+            after = found + n
+            after = after[after < len(code)]
+            start[after] = True
+        odd = set((np.searchsorted(text_at, np.flatnonzero(kind == ODD), side="right") - 1).tolist())
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                odd.add(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = raw.find(mark, at + 1)
+        for t in odd:
+            start[text_at[t] : text_at[t + 1]] = False
+            start[text_at[t] + np.array(self.by_library(raw[offsets[t] : offsets[t + 1]].decode("utf-8", "surrogatepass")), int)] = True
+        begin = first[start]
+        end = np.append(begin[1:], len(data))
+        return begin, end, np.searchsorted(begin, offsets)
 
 
 @lru_cache(maxsize=2)
-def word_table(path: str) -> WordTable:
-    return WordTable(path)
-
-
-def _digest(path: str, texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for row in word_table(path).rows(texts.tolist()):
-        ids = ",".join([e[0] for e in row])
-        decoded = b"".join([e[1] for e in row]).decode("utf-8", "replace")
-        out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    return pd.DataFrame(out, columns=DIGESTS.names)
+def splitter(path: str) -> Splitter:
+    return Splitter(path)
+
+
+def _gather(blob: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Pieces of ``blob``, one after another."""
+    ends = np.cumsum(size)
+    return blob[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _strings(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _slices(batches, path: str, text: int):
+    """Slices of texts: batch, rows, bytes, offsets, and the words in them."""
+    cut = splitter(path)
+    for b in tidily(batches):
+        data, offsets = text_bytes(b.column(text))
+        for i, j in chunks(offsets, SLICE):
+            own, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            yield b, i, j, own, off, cut.split(own, off)
+
+
+def _distinct(batches, path: str):
+    """Distinct words of each slice, with counts."""
+    for _, _, _, data, _, (begin, end, _) in _slices(batches, path, 0):
+        h = word_hashes(data, begin, end)
+        by = np.argsort(h, kind="stable")
+        size = (end - begin)[by]
+        new = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (size[1:] != size[:-1])]) if len(by) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(by)))
+        pick = by[at]
+        yield pa.RecordBatch.from_arrays([_strings(_gather(data, begin[pick], size[at]), size[at]), pa.array(h[pick].view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "h", "n"])
+
+
+def _encoded(batches, path: str):
+    """Ids of each word."""
+    tok = splitter(path).tok
+    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)  # the same ids, without offsets
+    for b in tidily(batches):
+        ids = [e.ids for e in encode([w.decode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()], add_special_tokens=False)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "h", "n", "ids"])
+
+
+def pieces(spark, path: str | None = None) -> DataFrame:
+    """id, piece (bytes) of the vocabulary, special tokens included."""
+    spec = json.load(open(path or default_path(), encoding="utf-8"))
+    alphabet = byte_alphabet()
+    table = {i: bytes(alphabet[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
+    table |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in sorted(table.items())], "id int, piece binary")
+
+
+def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
+    """word, h, n, ids, decoded of every distinct word of a column: a staged table."""
+    words = docs.select(text).mapInArrow(lambda b: _distinct(b, path), "word binary, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    coded = stage_table(words.mapInArrow(lambda b: _encoded(b, path), "word binary, h long, n long, ids array<int>"), "encoded")
+    release(docs.sparkSession)
+    each = coded.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces(docs.sparkSession, path)), "id")  # as large as the vocabulary
+    joined = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", F.hex("piece").alias("p")))).alias("all"))
+    decoded = joined.select("word", F.unhex(F.concat_ws("", F.transform("all", lambda x: x["p"]))).alias("decoded"))
+    return stage_table(coded.join(decoded, "word"), "words")
+
+
+class Frequent:
+    """The broadcast part of the table: entries by hash, as flat arrays."""
+
+    def __init__(self, rows: pa.Table):
+        h = rows.column("h").to_numpy().view(np.uint64)
+        by = np.argsort(h, kind="stable")
+        self.h = h[by]
+        ids, decoded = rows.column("ids").combine_chunks(), rows.column("decoded").combine_chunks()
+        lists = [ids[int(k)].as_py() for k in by]
+        texts = ["".join(f"{i}," for i in x).encode() for x in lists]
+        bytes_ = [decoded[int(k)].as_py() for k in by]
+        self.n = np.array([len(x) for x in lists], np.int64)
+        flat = lambda xs: (np.frombuffer(b"".join(xs), np.uint8), np.array([len(x) for x in xs], np.int64))
+        self.ids, self.ids_size = flat(texts)
+        self.decoded, self.decoded_size = flat(bytes_)
+        self.ids_at, self.decoded_at = (np.cumsum(s) - s for s in (self.ids_size, self.decoded_size))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash; -1 where there is none."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+
+def _frequent(table: DataFrame) -> tuple[Frequent, int]:
+    """The most frequent words that fit in ``TABLE_BYTES`` together, those of a hash of their own, and the number of all others."""
+    size = F.lit(64) + 7 * F.size("ids") + F.length("decoded")
+    alone = table.groupBy("h").agg(F.count("*").alias("same")).where("same > 1").select("h")
+    usable = table.join(stage_table(alone, "hashes"), "h", "left_anti")
+    level = F.floor(F.log2("n") * 8).cast("int")
+    bins = sorted(usable.groupBy(level.alias("level")).agg(F.sum(size).alias("bytes"), F.count("*").alias("words")).collect(), key=lambda r: -r.level)
+    least, taken, words = 1 << 30, 0, 0
+    for r in bins:
+        if taken + r.bytes > TABLE_BYTES:
+            break
+        least, taken, words = r.level, taken + r.bytes, words + r.words
+    rows = usable.where(level >= least).select("h", "ids", "decoded").toArrow()
+    return Frequent(rows), table.count() - words
+
+
+def _rare(batches, path: str, shared):
+    """Document, place and word of every position whose word isn't broadcast."""
+    frequent: Frequent = shared.value
+    for b, i, _, data, _, (begin, end, first) in _slices(batches, path, 1):
+        rid = np.asarray(b.column(0))
+        at = np.flatnonzero(frequent.find(word_hashes(data, begin, end)) < 0)
+        size = (end - begin)[at]
+        text = np.searchsorted(first, at, side="right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(rid[i + text]), pa.array((at - first[text]).astype(np.int64)), _strings(_gather(data, begin[at], size), size)], names=["rid", "place", "word"])
+
+
+def _assembled(batches, path: str, shared, make, schema: pa.Schema):
+    """What ``make`` makes of the ids (decimal text, each with a comma), the decoded bytes and the number of ids of every row."""
+    frequent: Frequent = shared.value
+    for b, i, j, data, _, (begin, end, first) in _slices(batches, path, 1):
+        at = frequent.find(word_hashes(data, begin, end))
+        rest = b.column(2)[i:j]
+        flat = rest.flatten()
+        ids_text = ["".join(f"{x}," for x in own).encode() for own in flat.field(1).to_pylist()]
+        decoded = flat.field(2).to_pylist()
+        miss = np.flatnonzero(at < 0)
+        blobs, sizes = [], []
+        for own, blob, begins, size in ((ids_text, frequent.ids, frequent.ids_at, frequent.ids_size), (decoded, frequent.decoded, frequent.decoded_at, frequent.decoded_size)):
+            length = np.array([len(x) for x in own], np.int64)
+            base = len(blob) + np.cumsum(length) - length
+            where, many = (begins[at], size[at]) if len(begins) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+            where[miss], many[miss] = base, length
+            blobs.append(_gather(np.concatenate([blob, np.frombuffer(b"".join(own), np.uint8)]), where, many).tobytes())
+            sizes.append(np.concatenate([[0], np.cumsum(many)])[first])
+        n = frequent.n[at] if len(frequent.n) else np.zeros(len(at), np.int64)
+        n[miss] = [len(x) for x in flat.field(1).to_pylist()]
+        total = np.concatenate([[0], np.cumsum(n)])[first]
+        out = [make(blobs[0][sizes[0][k] : sizes[0][k + 1]], blobs[1][sizes[1][k] : sizes[1][k + 1]], int(total[k + 1] - total[k])) for k in range(j - i)]
+        cells = [pa.array([row[c] for row in out], field.type) for c, field in enumerate(schema)]
+        yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *cells], names=["rid", *schema.names])
+
+
+def _digest(ids: bytes, decoded: bytes, n: int) -> tuple[int, str, str]:
+    text = decoded.decode("utf-8", "replace").encode()
+    return n, hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(text).hexdigest()
+
+
+def _id_list(ids: bytes, decoded: bytes, n: int) -> tuple[list[int]]:
+    return ([int(x) for x in ids[:-1].split(b",")] if n else [],)
+
+
+def _through_table(docs: DataFrame, text: str, path: str, make, schema: str) -> DataFrame:
+    """rid (place of the row) and what ``make`` gives."""
+    spark, mark = docs.sparkSession, staged()
+    small_batches(spark)
+    table = word_table(docs, text, path)
+    found, others = _frequent(table)
+    shared = spark.sparkContext.broadcast(found)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text).cast("string").alias("text"))
+    none = F.array().cast("array<struct<place:bigint,ids:array<int>,decoded:binary>>")
+    if others:
+        rare = numbered.mapInArrow(lambda b: _rare(b, path, shared), "rid long, place long, word binary")
+        lists = rare.join(table.select("word", "ids", "decoded"), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "decoded"))).alias("rest"))
+        numbered = numbered.join(stage_table(lists, "rest"), "rid", "left").withColumn("rest", F.coalesce("rest", none))
+    else:
+        numbered = numbered.withColumn("rest", none)
+    arrow = to_arrow_schema(parse(schema))
+    out = stage_table(numbered.mapInArrow(lambda b: _assembled(b, path, shared, make, arrow), f"rid long, {schema}"), "assembled")
+    sweep(spark, mark, out)
+    release(spark)
+    return out
 
 
-def digests(text, path: str | None = None):
-    """A struct column of a text column: n_tokens, ids_sha256, decoded_sha256."""
-    path = path or default_path()
+def _own_name(df: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name} already")
 
-    @F.pandas_udf(DIGESTS)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return _digest(path, texts)
 
-    return of(text)
+def _with(df: DataFrame, found: DataFrame, column: str, into: str) -> DataFrame:
+    rid = fresh(df, "rid")
+    return df.withColumn(rid, F.monotonically_increasing_id()).join(found.select(F.col("rid").alias(rid), F.col(column).alias(into)), rid).select(*(F.col(f"`{c}`") for c in df.columns), into)
 
 
 def encode(df: DataFrame, text: str = "text", into: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with an array of token ids."""
-    path = path or default_path()
+    _own_name(df, into)
+    return _with(df, _through_table(df, text, path or default_path(), _id_list, "found array<int>"), "found", into)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([[int(i) for e in row for i in e[0].split(",")] for row in word_table(path).rows(texts.tolist())], dtype=object)
 
-    return df.withColumn(into, ids(df[text]))
+def _texts(batches):
+    for b in tidily(batches):
+        parts = b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join(p or ()).decode("utf-8", "replace") for p in parts], pa.string())], names=["rid", "found"])
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
-    """``df`` with the text of its token ids; a null array gives an empty text."""
-    path = path or default_path()
-
-    @F.pandas_udf(StringType())
-    def joined(rows: pd.Series) -> pd.Series:
-        piece = word_table(path).piece
-        return pd.Series([b"".join(piece[i] for i in (() if r is None else r)).decode("utf-8", "replace") for r in rows], dtype=object)
-
-    return df.withColumn(into, joined(df[ids]))
+    """``df`` with the text of its token ids, by a join with the id-to-piece table; a null array gives an empty text, an unknown id nothing."""
+    _own_name(df, into)
+    numbered = df.select(F.monotonically_increasing_id().alias("rid"), F.col(ids).alias("all"))
+    each = numbered.select("rid", F.posexplode("all").alias("k", "id")).join(F.broadcast(pieces(df.sparkSession, path)), "id")  # as large as the vocabulary
+    lists = each.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]).alias("parts"))
+    found = numbered.select("rid").join(lists, "rid", "left").mapInArrow(_texts, "rid long, found string")
+    return _with(df, found, "found", into)
 
 
 def corpus_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id and what ``digests`` says of its whole text."""
-    small_batches(docs.sparkSession)
-    d = fresh(docs, "d")
-    return docs.select("doc_id", "text").withColumn(d, digests(F.col("text"), path)).select("doc_id", *(F.col(f"{d}.{c}").alias(c) for c in DIGESTS.names))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, of its whole text."""
+    found = _through_table(docs.select("doc_id", "text"), "text", path or default_path(), _digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"))
+    return names.join(found, "rid").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
