@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as parse
 
-from ._common import chunks, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily
+from ._common import chunks, drop_stage, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily
 from .near import word_hashes
 
 #: Bytes of the broadcast part of the table.
-TABLE_BYTES = 24 << 20
+TABLE_BYTES = 48 << 20
 #: Bytes of texts that are split at once.
-SLICE = 4 << 20
+SLICE = 8 << 20
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 
 
@@ -184,16 +184,19 @@ def _distinct(batches, path: str):
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(by)))
         pick = by[at]
-        yield pa.RecordBatch.from_arrays([_strings(_gather(data, begin[pick], size[at]), size[at]), pa.array(h[pick].view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "h", "n"])
+        yield pa.RecordBatch.from_arrays([_strings(_gather(data, begin[pick], size[at]), size[at]), pa.array(n.astype(np.int32))], names=["word", "n"])
 
 
 def _encoded(batches, path: str):
-    """Ids of each word."""
+    """Hash and ids of each word."""
     tok = splitter(path).tok
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)  # the same ids, without offsets
     for b in tidily(batches):
         ids = [e.ids for e in encode([w.decode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()], add_special_tokens=False)]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "h", "n", "ids"])
+        words = b.column(0).cast(pa.large_binary())
+        off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        h = word_hashes(np.frombuffer(words.buffers()[2] or b"", np.uint8), off[:-1], off[1:])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "h", "n", "ids"])
 
 
 def pieces(spark, path: str | None = None) -> DataFrame:
@@ -207,31 +210,33 @@ def pieces(spark, path: str | None = None) -> DataFrame:
 
 def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
     """word, h, n, ids, decoded of every distinct word of a column: a staged table."""
-    words = docs.select(text).mapInArrow(lambda b: _distinct(b, path), "word binary, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    words = docs.select(text).mapInArrow(lambda b: _distinct(b, path), "word binary, n int").groupBy("word").agg(F.sum("n").alias("n"))
     coded = stage_table(words.mapInArrow(lambda b: _encoded(b, path), "word binary, h long, n long, ids array<int>"), "encoded")
     release(docs.sparkSession)
     each = coded.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces(docs.sparkSession, path)), "id")  # as large as the vocabulary
     joined = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", F.hex("piece").alias("p")))).alias("all"))
     decoded = joined.select("word", F.unhex(F.concat_ws("", F.transform("all", lambda x: x["p"]))).alias("decoded"))
-    return stage_table(coded.join(decoded, "word"), "words")
+    words = stage_table(coded.join(decoded, "word"), "words")
+    drop_stage(coded)
+    release(docs.sparkSession)
+    return words
 
 
 class Frequent:
     """The broadcast part of the table: entries by hash, as flat arrays."""
 
     def __init__(self, rows: pa.Table):
+        """``rows``: h, n (ids), ids_text (each id with a comma), decoded."""
         h = rows.column("h").to_numpy().view(np.uint64)
         by = np.argsort(h, kind="stable")
-        self.h = h[by]
-        ids, decoded = rows.column("ids").combine_chunks(), rows.column("decoded").combine_chunks()
-        lists = [ids[int(k)].as_py() for k in by]
-        texts = ["".join(f"{i}," for i in x).encode() for x in lists]
-        bytes_ = [decoded[int(k)].as_py() for k in by]
-        self.n = np.array([len(x) for x in lists], np.int64)
-        flat = lambda xs: (np.frombuffer(b"".join(xs), np.uint8), np.array([len(x) for x in xs], np.int64))
-        self.ids, self.ids_size = flat(texts)
-        self.decoded, self.decoded_size = flat(bytes_)
-        self.ids_at, self.decoded_at = (np.cumsum(s) - s for s in (self.ids_size, self.decoded_size))
+        self.h, self.n = h[by], rows.column("n").to_numpy().astype(np.int64)[by]
+        (self.ids, self.ids_at, self.ids_size), (self.decoded, self.decoded_at, self.decoded_size) = (self._flat(rows.column(c), by) for c in ("ids_text", "decoded"))
+
+    @staticmethod
+    def _flat(column: pa.ChunkedArray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+        off = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        return np.frombuffer(column.buffers()[2] or b"", np.uint8), off[:-1][by], np.diff(off)[by]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash; -1 where there is none."""
@@ -243,7 +248,7 @@ class Frequent:
 
 def _frequent(table: DataFrame) -> tuple[Frequent, int]:
     """The most frequent words that fit in ``TABLE_BYTES`` together, those of a hash of their own, and the number of all others."""
-    size = F.lit(64) + 7 * F.size("ids") + F.length("decoded")
+    size = F.lit(56) + 6 * F.size("ids") + F.length("decoded")
     alone = table.groupBy("h").agg(F.count("*").alias("same")).where("same > 1").select("h")
     usable = table.join(stage_table(alone, "hashes"), "h", "left_anti")
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -253,7 +258,7 @@ def _frequent(table: DataFrame) -> tuple[Frequent, int]:
         if taken + r.bytes > TABLE_BYTES:
             break
         least, taken, words = r.level, taken + r.bytes, words + r.words
-    rows = usable.where(level >= least).select("h", "ids", "decoded").toArrow()
+    rows = usable.where(level >= least).select("h", F.size("ids").alias("n"), F.concat(F.concat_ws(",", F.col("ids").cast("array<string>")), F.lit(",")).alias("ids_text"), "decoded").toArrow()
     return Frequent(rows), table.count() - words
 
 
@@ -276,8 +281,9 @@ def _assembled(batches, path: str, shared, make, schema: pa.Schema):
         rest = b.column(2)[i:j]
         flat = rest.flatten()
         ids_text = ["".join(f"{x}," for x in own).encode() for own in flat.field(1).to_pylist()]
-        decoded = flat.field(2).to_pylist()
         miss = np.flatnonzero(at < 0)
+        # null: the word itself
+        decoded = [data[begin[m] : end[m]].tobytes() if d is None else d for m, d in zip(miss.tolist(), flat.field(2).to_pylist(), strict=True)]
         blobs, sizes = [], []
         for own, blob, begins, size in ((ids_text, frequent.ids, frequent.ids_at, frequent.ids_size), (decoded, frequent.decoded, frequent.decoded_at, frequent.decoded_size)):
             length = np.array([len(x) for x in own], np.int64)
@@ -314,8 +320,10 @@ def _through_table(docs: DataFrame, text: str, path: str, make, schema: str) ->
     none = F.array().cast("array<struct<place:bigint,ids:array<int>,decoded:binary>>")
     if others:
         rare = numbered.mapInArrow(lambda b: _rare(b, path, shared), "rid long, place long, word binary")
-        lists = rare.join(table.select("word", "ids", "decoded"), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "decoded"))).alias("rest"))
-        numbered = numbered.join(stage_table(lists, "rest"), "rid", "left").withColumn("rest", F.coalesce("rest", none))
+        lists = rare.join(table.select("word", "ids", F.when(F.col("decoded") != F.col("word"), F.col("decoded")).alias("decoded")), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "decoded"))).alias("rest"))
+        lists = stage_table(lists, "rest")
+        release(spark)
+        numbered = numbered.join(lists, "rid", "left").withColumn("rest", F.coalesce("rest", none))
     else:
         numbered = numbered.withColumn("rest", none)
     arrow = to_arrow_schema(parse(schema))
