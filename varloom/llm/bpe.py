@@ -6,7 +6,8 @@
    table of the vocabulary, which gives the bytes that it decodes to.
 3. Entries come back to their positions in the texts. The most frequent words, as many as fit in ``TABLE_BYTES``, are
    broadcast; the positions of all other words travel in a shuffle that joins them with the table by word, and return
-   to their document as one sorted list. Most positions hold frequent words, so little is shuffled at any size.
+   to their document as one sorted list. They meet it as packed ranks of its words, a fourth of the text's size. Most
+   positions hold frequent words, so little is shuffled at any size.
 
 The splitter works on whole chunks of texts at once, by the classes of their characters. Texts that hold a special
 token, or a character whose class (letter, number, space, other) has changed since Unicode 3.2 or is open, are split by the
@@ -30,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as parse
@@ -223,13 +225,15 @@ def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
 
 
 class Frequent:
-    """The broadcast part of the table: entries by hash, as flat arrays."""
+    """The broadcast part of the table: entries by rank (most frequent first), as flat arrays, and the ranks by hash."""
 
     def __init__(self, rows: pa.Table):
-        """``rows``: h, n (ids), ids_text (each id with a comma), decoded."""
+        """``rows``: h, seen (occurrences), n (ids), ids_text (each id with a comma), decoded."""
         h = rows.column("h").to_numpy().view(np.uint64)
-        by = np.argsort(h, kind="stable")
-        self.h, self.n = h[by], rows.column("n").to_numpy().astype(np.int64)[by]
+        by = np.lexsort((h, -rows.column("seen").to_numpy()))
+        self.n = rows.column("n").to_numpy().astype(np.int64)[by]
+        self.rank = np.argsort(h[by], kind="stable")
+        self.h = h[by][self.rank]
         (self.ids, self.ids_at, self.ids_size), (self.decoded, self.decoded_at, self.decoded_size) = (self._flat(rows.column(c), by) for c in ("ids_text", "decoded"))
 
     @staticmethod
@@ -239,11 +243,11 @@ class Frequent:
         return np.frombuffer(column.buffers()[2] or b"", np.uint8), off[:-1][by], np.diff(off)[by]
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash; -1 where there is none."""
+        """The rank of each hash; the number of entries where there is none."""
         if not len(self.h):
-            return np.full(len(h), -1)
+            return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, at, -1)
+        return np.where(self.h[at] == h, self.rank[at], len(self.h))
 
 
 def _frequent(table: DataFrame) -> tuple[Frequent, int]:
@@ -258,7 +262,7 @@ def _frequent(table: DataFrame) -> tuple[Frequent, int]:
         if taken + r.bytes > TABLE_BYTES:
             break
         least, taken, words = r.level, taken + r.bytes, words + r.words
-    rows = usable.where(level >= least).select("h", F.size("ids").alias("n"), F.concat(F.concat_ws(",", F.col("ids").cast("array<string>")), F.lit(",")).alias("ids_text"), "decoded").toArrow()
+    rows = usable.where(level >= least).select("h", F.col("n").alias("seen"), F.size("ids").alias("n"), F.concat(F.concat_ws(",", F.col("ids").cast("array<string>")), F.lit(",")).alias("ids_text"), "decoded").toArrow()
     return Frequent(rows), table.count() - words
 
 
@@ -267,37 +271,48 @@ def _rare(batches, path: str, shared):
     frequent: Frequent = shared.value
     for b, i, _, data, _, (begin, end, first) in _slices(batches, path, 1):
         rid = np.asarray(b.column(0))
-        at = np.flatnonzero(frequent.find(word_hashes(data, begin, end)) < 0)
+        at = np.flatnonzero(frequent.find(word_hashes(data, begin, end)) == len(frequent.h))
         size = (end - begin)[at]
         text = np.searchsorted(first, at, side="right") - 1
         yield pa.RecordBatch.from_arrays([pa.array(rid[i + text]), pa.array((at - first[text]).astype(np.int64)), _strings(_gather(data, begin[at], size), size)], names=["rid", "place", "word"])
 
 
-def _assembled(batches, path: str, shared, make, schema: pa.Schema):
-    """What ``make`` makes of the ids (decimal text, each with a comma), the decoded bytes and the number of ids of every row."""
+def _coded(batches, path: str, shared):
+    """Ranks of the words of every row, as packed planes of three bytes: frequent words have empty high planes."""
     frequent: Frequent = shared.value
+    pack = zstandard.ZstdCompressor(level=3).compress
     for b, i, j, data, _, (begin, end, first) in _slices(batches, path, 1):
-        at = frequent.find(word_hashes(data, begin, end))
-        rest = b.column(2)[i:j]
-        flat = rest.flatten()
-        ids_text = ["".join(f"{x}," for x in own).encode() for own in flat.field(1).to_pylist()]
-        miss = np.flatnonzero(at < 0)
-        # null: the word itself
-        decoded = [data[begin[m] : end[m]].tobytes() if d is None else d for m, d in zip(miss.tolist(), flat.field(2).to_pylist(), strict=True)]
-        blobs, sizes = [], []
-        for own, blob, begins, size in ((ids_text, frequent.ids, frequent.ids_at, frequent.ids_size), (decoded, frequent.decoded, frequent.decoded_at, frequent.decoded_size)):
-            length = np.array([len(x) for x in own], np.int64)
-            base = len(blob) + np.cumsum(length) - length
-            where, many = (begins[at], size[at]) if len(begins) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
-            where[miss], many[miss] = base, length
-            blobs.append(_gather(np.concatenate([blob, np.frombuffer(b"".join(own), np.uint8)]), where, many).tobytes())
-            sizes.append(np.concatenate([[0], np.cumsum(many)])[first])
-        n = frequent.n[at] if len(frequent.n) else np.zeros(len(at), np.int64)
-        n[miss] = [len(x) for x in flat.field(1).to_pylist()]
-        total = np.concatenate([[0], np.cumsum(n)])[first]
-        out = [make(blobs[0][sizes[0][k] : sizes[0][k + 1]], blobs[1][sizes[1][k] : sizes[1][k + 1]], int(total[k + 1] - total[k])) for k in range(j - i)]
-        cells = [pa.array([row[c] for row in out], field.type) for c, field in enumerate(schema)]
-        yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *cells], names=["rid", *schema.names])
+        planes = frequent.find(word_hashes(data, begin, end)).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
+        yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([pack(planes[x:y].T.tobytes()) for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["rid", "codes"])
+
+
+def _assembled(batches, shared, make, schema: pa.Schema):
+    """What ``make`` makes of the ids (decimal text, each with a comma), the decoded bytes and the number of ids of every row."""
+    frequent: Frequent = shared.value
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in tidily(batches):
+        size = np.array([zstandard.frame_content_size(c) for c in b.column(1).to_pylist()], np.int64) // 3
+        for i, j in chunks(np.concatenate([[0], np.cumsum(size)]), SLICE // 8):
+            planes = [np.frombuffer(unpack(c), np.uint8).reshape(3, -1).astype(np.int64) for c in b.column(1)[i:j].to_pylist()]
+            at = np.concatenate([p[0] | (p[1] << 8) | (p[2] << 16) for p in planes])
+            first = np.concatenate([[0], np.cumsum(size[i:j])])
+            rest = b.column(2)[i:j].flatten()
+            more = rest.field(1).to_pylist()
+            miss = np.flatnonzero(at == len(frequent.h))
+            known = np.where(at == len(frequent.h), 0, at)
+            blobs, ends = [], []
+            for own, blob, begins, many in ((["".join(f"{x}," for x in m).encode() for m in more], frequent.ids, frequent.ids_at, frequent.ids_size), (rest.field(2).to_pylist(), frequent.decoded, frequent.decoded_at, frequent.decoded_size)):
+                length = np.array([len(x) for x in own], np.int64)
+                where, much = (begins[known], many[known]) if len(many) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+                where[miss], much[miss] = len(blob) + np.cumsum(length) - length, length
+                blobs.append(_gather(np.concatenate([blob, np.frombuffer(b"".join(own), np.uint8)]), where, much).tobytes())
+                ends.append(np.concatenate([[0], np.cumsum(much)])[first])
+            n = frequent.n[known] if len(frequent.n) else np.zeros(len(at), np.int64)
+            n[miss] = [len(m) for m in more]
+            total = np.concatenate([[0], np.cumsum(n)])[first]
+            out = [make(blobs[0][ends[0][k] : ends[0][k + 1]], blobs[1][ends[1][k] : ends[1][k + 1]], int(total[k + 1] - total[k])) for k in range(j - i)]
+            cells = [pa.array([row[c] for row in out], field.type) for c, field in enumerate(schema)]
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *cells], names=["rid", *schema.names])
 
 
 def _digest(ids: bytes, decoded: bytes, n: int) -> tuple[int, str, str]:
@@ -318,16 +333,17 @@ def _through_table(docs: DataFrame, text: str, path: str, make, schema: str) ->
     shared = spark.sparkContext.broadcast(found)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text).cast("string").alias("text"))
     none = F.array().cast("array<struct<place:bigint,ids:array<int>,decoded:binary>>")
+    coded = numbered.mapInArrow(lambda b: _coded(b, path, shared), "rid long, codes binary")
+    arrow = to_arrow_schema(parse(schema))
     if others:
         rare = numbered.mapInArrow(lambda b: _rare(b, path, shared), "rid long, place long, word binary")
-        lists = rare.join(table.select("word", "ids", F.when(F.col("decoded") != F.col("word"), F.col("decoded")).alias("decoded")), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "decoded"))).alias("rest"))
+        lists = rare.join(table.select("word", "ids", "decoded"), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "decoded"))).alias("rest"))
         lists = stage_table(lists, "rest")
         release(spark)
-        numbered = numbered.join(lists, "rid", "left").withColumn("rest", F.coalesce("rest", none))
+        coded = coded.join(lists, "rid", "left").withColumn("rest", F.coalesce("rest", none))
     else:
-        numbered = numbered.withColumn("rest", none)
-    arrow = to_arrow_schema(parse(schema))
-    out = stage_table(numbered.mapInArrow(lambda b: _assembled(b, path, shared, make, arrow), f"rid long, {schema}"), "assembled")
+        coded = coded.withColumn("rest", none)
+    out = stage_table(coded.mapInArrow(lambda b: _assembled(b, shared, make, arrow), f"rid long, {schema}"), "assembled")
     sweep(spark, mark, out)
     release(spark)
     return out
