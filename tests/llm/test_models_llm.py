@@ -238,3 +238,16 @@ def test_ann_recall_in_a_hot_cluster():
         best = np.argsort(-(x @ x[q]))[1:6]
         hits.append(found[best].mean())
     assert np.mean(hits) >= 0.9
+
+
+def test_samples_are_drawn_from_labels_that_have_texts(spark, monkeypatch):
+    """Labels of absent documents take no place in a sample, and repeated ids don't make it larger."""
+    monkeypatch.setattr(mixing, "SAMPLE", 20)
+    docs = spark.createDataFrame([(i, ("bad words " if i % 10 == 0 else "good words ") * 5) for i in range(60)] * 3, "doc_id long, text string")
+    labels = spark.range(40, 3000).selectExpr("id + 100 as doc_id", "'none' as domain").unionByName(spark.range(60).selectExpr("id as doc_id", "if(id % 10 = 0, 'toxic', 'good') as domain"))
+    assert mixing._fit(docs, labels)[0] == ["good", "toxic"]
+    marks = spark.range(100, 3000).selectExpr("id as doc_id", "0 as toxic").unionByName(spark.range(60).selectExpr("id as doc_id", "if(id % 10 = 0, 1, 0) as toxic"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append(labels))
+    toxicity.train(docs, marks, 7)
+    assert sorted(seen[0]) == [0] * 7 + [1] * 7
