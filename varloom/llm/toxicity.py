@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import fresh, small_batches, tidy
+from ._common import drop_stage, fresh, small_batches, stage_table, tidy
 from .language import held_out
 
 WINDOW, STRIDE = 32, 16
@@ -323,9 +323,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network of the labelled rows of ``labels`` (doc_id, toxic)."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    some = [marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(2 * sample) for y in (0, 1)]
-    got = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    got = got.groupby("toxic").head(sample)
+    written = docs.where("text is not null").select("doc_id", "text")
+    marks = stage_table(marks.join(written.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    order = [F.xxhash64("doc_id", F.lit("toxicity")), "doc_id"]
+    ids = marks.where("toxic = 0").orderBy(*order).limit(sample).unionByName(marks.where("toxic = 1").orderBy(*order).limit(sample))
+    rows = written.join(F.broadcast(ids), "doc_id")
+    # an id may have many rows: the sample bounds rows, too
+    parts = [rows.where(F.col("toxic") == y).orderBy(*order, F.xxhash64("text"), "text").limit(sample) for y in (0, 1)]
+    got = parts[0].unionByName(parts[1]).toPandas().sort_values(["doc_id", "text"])
+    drop_stage(marks)
     return fit(got.text.tolist(), got.toxic.tolist())
 
 
