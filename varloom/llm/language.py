@@ -10,7 +10,7 @@ hashed into ``WIDTH`` buckets for each order, as square roots and scaled to leng
 text is read in pieces of bounded size whose counts are added up, so very long texts need
 no more memory. Models are trained here by averaged stochastic gradient descent on the
 hinge loss, from at most ``SAMPLE`` rows of each language, those of smallest hash, cut to
-``LEARNT`` characters (only for learning).
+``LEARNT`` characters, six pieces from all over the text where it is longer (only for learning).
 
 Defined results: null texts and texts without a letter are ``und`` with score 0. Without any row to
 learn from every text is ``und`` with score 0; with one language every other text is that language with
@@ -176,11 +176,17 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Discriminator | None:
     """A discriminator of a table (doc_id, text, lang), from ``sample`` rows of each language at most."""
     from pyspark.sql import Window
 
-    rows = labelled.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit("language")).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
-    cut = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.substring("text", 1, LEARNT).alias("text"))
-    got = cut.join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    rows = labelled.where("doc_id is not null and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", F.lit("language")))
+    # twice the sample by a hash limit for each language, so that the window sees few rows of a hot one
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n")
+    few = rows.join(F.broadcast(counts), "lang").where(share <= 2 * sample + 20)  # one row for each language
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"), "text")
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{LEARNT // 6}}}"), F.lit(0))
+    spread = F.slice(F.array_sort(F.transform(parts, lambda t, i: F.struct(F.xxhash64(t, i).alias("h"), t.alias("t")))), 1, 6)
+    learnt = F.when(F.length("text") <= LEARNT, F.col("text")).otherwise(F.array_join(F.transform(spread, lambda x: x["t"]), " "))
+    picked = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    got = picked.select("doc_id", "lang", learnt.alias("text")).toPandas().sort_values(["doc_id", "text"])
     got = got[[any(c.isalpha() for c in t) for t in got.text]]
     return Discriminator(features(got.text.str.lower().tolist()), got.lang.tolist()) if len(got) else None
 
