@@ -31,7 +31,7 @@ from .language import held_out
 WINDOW, STRIDE = 32, 16
 HIDDEN, CHAR_DIM, WORD_DIM = 8, 12, 6
 CHAR_CELLS, VOCABULARY = 1 << 14, 2048
-SAMPLE = 1500
+SAMPLE = 1_000
 ROUNDS, EPOCHS = 3, 2
 SLAB = 100_000
 EDGE = " \t\n.,;:!?\"'()[]{}<>*#&$%|-_/\\«»„“”…"
@@ -252,7 +252,7 @@ def _layout(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     part = np.repeat(np.arange(len(cuts)), [len(s) for s in starts])
     place = np.concatenate(starts)[:, None] + np.arange(WINDOW)
     mask = (place < cuts[part][:, None]).astype(np.float32)
-    return ids[np.minimum(place, len(ids) - 1)], mask, part
+    return ids.astype(np.int32)[np.minimum(place, len(ids) - 1)], mask, part
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -296,6 +296,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Network | None:
         cells[int(y_doc[d])][np.unique(w.cell[_ranges(w.start[own], w.count[own].astype(int))])] += 1
     n1 = max(y_doc.sum(), 1)
     odds = np.log((cells[1] + 0.5) / (n1 + 1)) - np.log((cells[0] + 0.5) / (len(rows) - n1 + 1))
+    del pairs, token_doc, tokens
     word_odds = np.full(len(w.count), -9.0)
     some = np.flatnonzero(w.count)
     word_odds[some] = np.maximum.reduceat(odds[w.cell], w.start[some])
@@ -328,11 +329,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     order = [F.xxhash64("doc_id", F.lit("toxicity")), "doc_id"]
     ids = marks.where("toxic = 0").orderBy(*order).limit(sample).unionByName(marks.where("toxic = 1").orderBy(*order).limit(sample))
     rows = written.join(F.broadcast(ids), "doc_id")
-    # an id may have many rows: the sample bounds rows, too
-    parts = [rows.where(F.col("toxic") == y).orderBy(*order, F.xxhash64("text"), "text").limit(sample) for y in (0, 1)]
-    got = parts[0].unionByName(parts[1]).toPandas().sort_values(["doc_id", "text"])
+    # an id may have many rows: one text of each bounds the sample
+    got = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "text"])
     drop_stage(marks)
-    return fit(got.text.tolist(), got.toxic.tolist())
+    texts, toxic = got.text.tolist(), got.toxic.tolist()
+    del got
+    net = fit(texts, toxic)
+    tidy()
+    return net
 
 
 def toxicity(text: Column, shared) -> Column:
