@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as parse
 
-from ._common import chunks, drop_stage, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily
+from ._common import chunks, drop_stage, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
 from .near import word_hashes
 
 #: Bytes of the broadcast part of the table.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 32 << 20
 #: Bytes of texts that are split at once.
 SLICE = 8 << 20
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
@@ -344,8 +344,11 @@ def _through_table(docs: DataFrame, text: str, path: str, make, schema: str) ->
     else:
         coded = coded.withColumn("rest", none)
     out = stage_table(coded.mapInArrow(lambda b: _assembled(b, shared, make, arrow), f"rid long, {schema}"), "assembled")
+    shared.destroy()
+    del shared, found
     sweep(spark, mark, out)
     release(spark)
+    tidy()
     return out
 
 

@@ -334,6 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network |
     drop_stage(marks)
     texts, toxic = got.text.tolist(), got.toxic.tolist()
     del got
+    tidy()
     net = fit(texts, toxic)
     tidy()
     return net
