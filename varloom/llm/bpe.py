@@ -2,12 +2,13 @@
 
 1. Texts are split into the words of the byte-level pattern; each chunk of texts gives its distinct words with counts,
    and one aggregation by word makes the table of the corpus' distinct words.
-2. Each distinct word is encoded once by the tokenizers library. Its ids are exploded and joined with the id-to-piece
-   table of the vocabulary, which gives the bytes that it decodes to.
-3. Entries come back to their positions in the texts. The most frequent words, as many as fit in ``TABLE_BYTES``, are
+2. Each distinct word is encoded once by the tokenizers library; the table keeps its ids, three bytes each.
+3. Ids come back to their positions in the texts. The most frequent words, as many as fit in ``TABLE_BYTES``, are
    broadcast; the positions of all other words travel in a shuffle that joins them with the table by word, and return
    to their document as one sorted list. They meet it as packed ranks of its words, a fourth of the text's size. Most
    positions hold frequent words, so little is shuffled at any size.
+4. Ids are decoded by a join with the id-to-piece table of the vocabulary: frequent words once each, before they are
+   broadcast; ids at the positions of other words by a look-up in the same table, which is broadcast with them.
 
 The splitter works on whole chunks of texts at once, by the classes of their characters. Texts that hold a special
 token, or a character whose class (letter, number, space, other) has changed since Unicode 3.2 or is open, are split by the
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as parse
 
-from ._common import chunks, drop_stage, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
+from ._common import chunks, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
 from .near import word_hashes
 
 #: Bytes of the broadcast part of the table.
@@ -189,8 +190,13 @@ def _distinct(batches, path: str):
         yield pa.RecordBatch.from_arrays([_strings(_gather(data, begin[pick], size[at]), size[at]), pa.array(n.astype(np.int32))], names=["word", "n"])
 
 
+def _packed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.fromiter((i for own in ids for i in own), ">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+    return np.ascontiguousarray(flat).reshape(-1), 3 * np.fromiter(map(len, ids), np.int64)
+
+
 def _encoded(batches, path: str):
-    """Hash and ids of each word."""
+    """Hash and ids (three bytes each, the highest first) of each word."""
     tok = splitter(path).tok
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)  # the same ids, without offsets
     for b in tidily(batches):
@@ -198,37 +204,37 @@ def _encoded(batches, path: str):
         words = b.column(0).cast(pa.large_binary())
         off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
         h = word_hashes(np.frombuffer(words.buffers()[2] or b"", np.uint8), off[:-1], off[1:])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "h", "n", "ids"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), b.column(1), _strings(*_packed(ids))], names=["word", "h", "n", "code"])
 
 
-def pieces(spark, path: str | None = None) -> DataFrame:
-    """id, piece (bytes) of the vocabulary, special tokens included."""
+def _vocabulary(path: str | None) -> dict[int, bytes]:
+    """The piece of every id, special tokens included."""
     spec = json.load(open(path or default_path(), encoding="utf-8"))
     alphabet = byte_alphabet()
     table = {i: bytes(alphabet[c] for c in piece) for piece, i in spec["model"]["vocab"].items()}
-    table |= {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
-    return spark.createDataFrame([(i, bytearray(p)) for i, p in sorted(table.items())], "id int, piece binary")
+    return table | {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
+
+
+def pieces(spark, path: str | None = None) -> DataFrame:
+    """id, piece (bytes) of the vocabulary, special tokens included."""
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in sorted(_vocabulary(path).items())], "id int, piece binary")
 
 
 def word_table(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """word, h, n, ids, decoded of every distinct word of a column: a staged table."""
+    """word, h, n, code (ids) of every distinct word of a column: a staged table."""
     words = docs.select(text).mapInArrow(lambda b: _distinct(b, path), "word binary, n int").groupBy("word").agg(F.sum("n").alias("n"))
-    coded = stage_table(words.mapInArrow(lambda b: _encoded(b, path), "word binary, h long, n long, ids array<int>"), "encoded")
-    release(docs.sparkSession)
-    each = coded.select("word", F.posexplode("ids").alias("k", "id")).join(F.broadcast(pieces(docs.sparkSession, path)), "id")  # as large as the vocabulary
-    joined = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", F.hex("piece").alias("p")))).alias("all"))
-    decoded = joined.select("word", F.unhex(F.concat_ws("", F.transform("all", lambda x: x["p"]))).alias("decoded"))
-    words = stage_table(coded.join(decoded, "word"), "words")
-    drop_stage(coded)
+    coded = stage_table(words.mapInArrow(lambda b: _encoded(b, path), "word binary, h long, n long, code binary"), "words")
     release(docs.sparkSession)
-    return words
+    return coded
 
 
 class Frequent:
     """The broadcast part of the table: entries by rank (most frequent first), as flat arrays, and the ranks by hash."""
 
-    def __init__(self, rows: pa.Table):
-        """``rows``: h, seen (occurrences), n (ids), ids_text (each id with a comma), decoded."""
+    def __init__(self, rows: pa.Table, vocabulary: dict[int, bytes]):
+        """``rows``: h, seen (occurrences), n (ids), ids_text (each id with a comma), decoded. ``vocabulary``: the piece of every id."""
+        top = max(vocabulary, default=-1) + 1
+        self.of_id = [self._list([f"{i},".encode() for i in range(top)]), self._list([vocabulary.get(i, b"") for i in range(top)])]
         h = rows.column("h").to_numpy().view(np.uint64)
         by = np.lexsort((h, -rows.column("seen").to_numpy()))
         self.n = rows.column("n").to_numpy().astype(np.int64)[by]
@@ -242,6 +248,22 @@ class Frequent:
         off = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
         return np.frombuffer(column.buffers()[2] or b"", np.uint8), off[:-1][by], np.diff(off)[by]
 
+    @staticmethod
+    def _list(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(p) for p in parts], np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
+
+    def read(self, codes: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Number of ids of each packed word; decimal ids and decoded bytes of all, with each word's length."""
+        planes = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 3).astype(np.int64)
+        ids = (planes[:, 0] << 16) | (planes[:, 1] << 8) | planes[:, 2]
+        n = np.array([len(c) for c in codes], np.int64) // 3
+        out = []
+        for blob, at, size in self.of_id:
+            ends = np.concatenate([[0], np.cumsum(size[ids])])
+            out.append((_gather(blob, at[ids], size[ids]), np.diff(ends[np.concatenate([[0], np.cumsum(n)])])))
+        return n, out
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The rank of each hash; the number of entries where there is none."""
         if not len(self.h):
@@ -250,11 +272,16 @@ class Frequent:
         return np.where(self.h[at] == h, self.rank[at], len(self.h))
 
 
-def _frequent(table: DataFrame) -> tuple[Frequent, int]:
+def _ids(code: str):
+    """The ids of a packed word that has some, as an array."""
+    return F.expr(f"transform(sequence(0, length({code}) div 3 - 1), i -> cast(conv(hex(substring({code}, 3 * i + 1, 3)), 16, 10) as int))")
+
+
+def _frequent(table: DataFrame, path: str) -> tuple[Frequent, int]:
     """The most frequent words that fit in ``TABLE_BYTES`` together, those of a hash of their own, and the number of all others."""
-    size = F.lit(56) + 6 * F.size("ids") + F.length("decoded")
+    size = F.lit(56) + 2 * F.length("code") + F.length("word")
     alone = table.groupBy("h").agg(F.count("*").alias("same")).where("same > 1").select("h")
-    usable = table.join(stage_table(alone, "hashes"), "h", "left_anti")
+    usable = table.where(F.length("code") > 0).join(stage_table(alone, "hashes"), "h", "left_anti")
     level = F.floor(F.log2("n") * 8).cast("int")
     bins = sorted(usable.groupBy(level.alias("level")).agg(F.sum(size).alias("bytes"), F.count("*").alias("words")).collect(), key=lambda r: -r.level)
     least, taken, words = 1 << 30, 0, 0
@@ -262,8 +289,11 @@ def _frequent(table: DataFrame) -> tuple[Frequent, int]:
         if taken + r.bytes > TABLE_BYTES:
             break
         least, taken, words = r.level, taken + r.bytes, words + r.words
-    rows = usable.where(level >= least).select("h", F.col("n").alias("seen"), F.size("ids").alias("n"), F.concat(F.concat_ws(",", F.col("ids").cast("array<string>")), F.lit(",")).alias("ids_text"), "decoded").toArrow()
-    return Frequent(rows), table.count() - words
+    each = usable.where(level >= least).select("h", "n", F.posexplode(_ids("code")).alias("k", "id")).join(F.broadcast(pieces(table.sparkSession, path)), "id")  # as large as the vocabulary
+    lists = each.groupBy("h").agg(F.max("n").alias("seen"), F.sort_array(F.collect_list(F.struct("k", "id", F.hex("piece").alias("p")))).alias("all"))
+    ids_text = F.concat(F.concat_ws(",", F.transform("all", lambda x: x["id"].cast("string"))), F.lit(","))
+    rows = lists.select("h", "seen", F.size("all").alias("n"), ids_text.alias("ids_text"), F.unhex(F.concat_ws("", F.transform("all", lambda x: x["p"]))).alias("decoded")).toArrow()
+    return Frequent(rows, _vocabulary(path)), table.count() - words
 
 
 def _rare(batches, path: str, shared):
@@ -296,19 +326,17 @@ def _assembled(batches, shared, make, schema: pa.Schema):
             planes = [np.frombuffer(unpack(c), np.uint8).reshape(3, -1).astype(np.int64) for c in b.column(1)[i:j].to_pylist()]
             at = np.concatenate([p[0] | (p[1] << 8) | (p[2] << 16) for p in planes])
             first = np.concatenate([[0], np.cumsum(size[i:j])])
-            rest = b.column(2)[i:j].flatten()
-            more = rest.field(1).to_pylist()
+            many, own = frequent.read(b.column(2)[i:j].flatten().field(1).to_pylist())
             miss = np.flatnonzero(at == len(frequent.h))
             known = np.where(at == len(frequent.h), 0, at)
             blobs, ends = [], []
-            for own, blob, begins, many in ((["".join(f"{x}," for x in m).encode() for m in more], frequent.ids, frequent.ids_at, frequent.ids_size), (rest.field(2).to_pylist(), frequent.decoded, frequent.decoded_at, frequent.decoded_size)):
-                length = np.array([len(x) for x in own], np.int64)
-                where, much = (begins[known], many[known]) if len(many) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+            for (rest, length), blob, begins, sizes in ((own[0], frequent.ids, frequent.ids_at, frequent.ids_size), (own[1], frequent.decoded, frequent.decoded_at, frequent.decoded_size)):
+                where, much = (begins[known], sizes[known]) if len(sizes) else (np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
                 where[miss], much[miss] = len(blob) + np.cumsum(length) - length, length
-                blobs.append(_gather(np.concatenate([blob, np.frombuffer(b"".join(own), np.uint8)]), where, much).tobytes())
+                blobs.append(_gather(np.concatenate([blob, rest]), where, much).tobytes())
                 ends.append(np.concatenate([[0], np.cumsum(much)])[first])
             n = frequent.n[known] if len(frequent.n) else np.zeros(len(at), np.int64)
-            n[miss] = [len(m) for m in more]
+            n[miss] = many
             total = np.concatenate([[0], np.cumsum(n)])[first]
             out = [make(blobs[0][ends[0][k] : ends[0][k + 1]], blobs[1][ends[1][k] : ends[1][k + 1]], int(total[k + 1] - total[k])) for k in range(j - i)]
             cells = [pa.array([row[c] for row in out], field.type) for c, field in enumerate(schema)]
@@ -329,17 +357,17 @@ def _through_table(docs: DataFrame, text: str, path: str, make, schema: str) ->
     spark, mark = docs.sparkSession, staged()
     small_batches(spark)
     table = word_table(docs, text, path)
-    found, others = _frequent(table)
+    found, others = _frequent(table, path)
     shared = spark.sparkContext.broadcast(found)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text).cast("string").alias("text"))
-    none = F.array().cast("array<struct<place:bigint,ids:array<int>,decoded:binary>>")
+    none = F.array().cast("array<struct<place:bigint,code:binary>>")
     coded = numbered.mapInArrow(lambda b: _coded(b, path, shared), "rid long, codes binary")
     arrow = to_arrow_schema(parse(schema))
     if others:
         rare = numbered.mapInArrow(lambda b: _rare(b, path, shared), "rid long, place long, word binary")
-        lists = rare.join(table.select("word", "ids", "decoded"), "word").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "decoded"))).alias("rest"))
-        lists = stage_table(lists, "rest")
-        release(spark)
+        # dealt by document as flat rows, gathered there, and joined where they lie
+        placed = rare.join(table.select("word", "code"), "word").select("rid", "place", "code").repartition("rid")
+        lists = placed.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "code"))).alias("rest"))
         coded = coded.join(lists, "rid", "left").withColumn("rest", F.coalesce("rest", none))
     else:
         coded = coded.withColumn("rest", none)
