@@ -34,11 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether Spark deletes a query's shuffle files as soon as it has ended, rather than when the driver's memory is next collected.
+TIDY_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go when it has ended; nothing reads them after that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/varloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(TIDY_SHUFFLES, "false")
+    spark.conf.set(TIDY_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(TIDY_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path
     _LIVE.append(path)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as parse
 
-from ._common import chunks, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
+from ._common import chunks, drop_stage, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
 from .near import word_hashes
 
 #: Bytes of the broadcast part of the table.
@@ -365,9 +365,12 @@ def _through_table(docs: DataFrame, text: str, path: str, make, schema: str) ->
     arrow = to_arrow_schema(parse(schema))
     if others:
         rare = numbered.mapInArrow(lambda b: _rare(b, path, shared), "rid long, place long, word binary")
-        # dealt by document as flat rows, gathered there, and joined where they lie
+        # dealt by document as flat rows and gathered there
         placed = rare.join(table.select("word", "code"), "word").select("rid", "place", "code").repartition("rid")
         lists = placed.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "code"))).alias("rest"))
+        lists = stage_table(lists, "rest")
+        drop_stage(table)
+        release(spark)
         coded = coded.join(lists, "rid", "left").withColumn("rest", F.coalesce("rest", none))
     else:
         coded = coded.withColumn("rest", none)
