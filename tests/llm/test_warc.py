@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 from varloom.llm import warc
 
@@ -39,3 +40,17 @@ def test_round_trip(spark):
     for r in d.collect():
         h, b = got[r.record_id]
         assert b == r.block.encode() and h["WARC-Type"] == r.warc_type and h["WARC-Refers-To"] == r.refers_to and h["WARC-Block-Digest"] == warc.digest(b)
+
+
+def test_open_marks_take_linear_time():
+    for mark in ("<a ", "<title>", "<head ", "<p ", "<html ", "<a href", "<script>", "<!--", "</head ", "<title", "&#", "href ", "<"):
+        start = time.monotonic()
+        warc.plain_text(mark * 100_000), warc.facts(mark * 100_000)
+        assert time.monotonic() - start < 5, mark
+
+
+def test_marks_of_all_kinds():
+    page = "<HTML Lang=PT-br><HEAD ><title\nid=x> T&#x41; </TITLE ></HEAD\n><header>top</header><A class=y\nhref = z>l</a><!-- <a href=q> --><b>bold</b><p\n>x<br/>y &#0000000065; &#" + "9" * 6000 + ";<a name=n>"
+    assert warc.facts(page) == [("title", "TA"), ("language", "pt-br"), ("outlinks", "1"), ("charset", "utf-8")]
+    assert warc.plain_text(page) == "top\nl bold\nx\ny A \ufffd"
+    assert warc.plain_text("<head>open <p>text") == "open\ntext" and warc.facts("") == [("outlinks", "0"), ("charset", "utf-8")]

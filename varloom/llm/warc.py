@@ -14,7 +14,8 @@ gives the same ids in every run.
 Defined results: a null url is the empty target, null html an empty payload
 with the digest of no bytes and an empty conversion. Repeated rows give
 repeated records with equal ids. Columns beyond page_id, url and html are not
-read. Bytes that are no UTF-8 become U+FFFD in conversions.
+read. Bytes that are no UTF-8 become U+FFFD in conversions. Time grows with a page's
+length, whatever is left open in it; tags in comments and scripts don't count as links.
 """
 
 from __future__ import annotations
@@ -45,12 +46,12 @@ DERIVED = StructType(
     + [StructField("content_length", LongType()), StructField("block", StringType())]
 )
 _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
-_HEAD = re.compile(r"(?is)<head\b.*?</head\s*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)")
-_LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=")
-_BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
 _TAG = re.compile(r"(?s)<[/!?A-Za-z][^>]*(?:>|$)")
+_BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b")
+_NAMED = re.compile(r"(?i)<(a|html|title)\b")
+_HEAD, _HEAD_END, _TITLE_END = re.compile(r"(?i)<head\b"), re.compile(r"(?i)</head\s*>"), re.compile(r"(?i)</title")
+_LANG, _HREF = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z-]+)"), re.compile(r"(?i)\bhref\s*=")
+_NUMBER = re.compile(r"&#([0-9]{8,});?")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 
@@ -64,17 +65,47 @@ def urn(*name: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, '|'.join(map(str, name)))}>"
 
 
+def _unescape(text: str) -> str:
+    """Entities read once; numbers beyond all characters, of any length, become U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0") or "0"
+        return f"&#{digits};" if len(digits) < 8 else "\ufffd"
+
+    return entities.unescape(_NUMBER.sub(short, text))
+
+
+def _headless(page: str) -> str:
+    """Without its heads that end; both marks are looked for from where the last was found, so each character is read once."""
+    out, at = [], 0
+    while (start := _HEAD.search(page, at)) and (end := _HEAD_END.search(page, start.end())):
+        out += [page[at : start.start()], " "]
+        at = end.end()
+    return "".join(out) + page[at:]
+
+
 def plain_text(page: str) -> str:
-    """The visible text: hidden elements and the head go, block elements break lines, entities are read once."""
-    page = _HIDDEN.sub(" ", page)
-    page = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(page))).strip()
+    """The visible text: hidden elements and the head go, block elements break lines, entities are read once. One pass over tags."""
+    page = _TAG.sub(lambda m: "\n" if _BLOCK.match(m[0]) and m[0][-1] == ">" else "", _headless(_HIDDEN.sub(" ", page)))
+    return _LINES.sub("\n", _BLANKS.sub(" ", _unescape(page))).strip()
 
 
 def facts(page: str) -> list[tuple[str, str]]:
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    found = [("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("language", lang[1].lower() if lang else ""), ("outlinks", str(len(_LINK.findall(page)))), ("charset", "utf-8")]
-    return [(k, v) for k, v in found if v]
+    """Title, language, number of links and charset, of the tags outside of hidden elements."""
+    page = _HIDDEN.sub(" ", page)
+    title, lang, links = None, "", 0
+    for tag in _TAG.finditer(page):
+        if not (named := _NAMED.match(tag[0])):
+            continue
+        name = named[1].lower()
+        if name == "a":
+            links += _HREF.search(tag[0]) is not None
+        elif name == "html" and not lang:
+            lang = found[1].lower() if (found := _LANG.search(tag[0])) else ""
+        elif name == "title" and title is None and tag[0][-1] == ">":
+            end = _TITLE_END.search(page, tag.end())
+            title = " ".join(_unescape(page[tag.end() : end.start()]).split()) if end else ""
+    return [(k, v) for k, v in [("title", title), ("language", lang), ("outlinks", str(links)), ("charset", "utf-8")] if v]
 
 
 def http_head(payload: bytes) -> str:
