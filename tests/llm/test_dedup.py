@@ -135,6 +135,26 @@ def test_near_large_family(spark, tmp_path):
     assert len(set(low.tolist())) > 5 and [got[k] for k in range(len(rows))] == low.tolist()
 
 
+def test_near_groups_of_hundreds_are_settled_at_once(spark, tmp_path, monkeypatch):
+    """A family with many members outside its largest component, and short texts around one line: no dealing to smaller buckets."""
+
+    def never(*_):
+        raise AssertionError("dealt to smaller buckets")
+
+    monkeypatch.setattr(near, "_split", never)
+    r = random.Random(4)
+    words, line = [f"w{i}" for i in range(100)], [f"l{i}" for i in range(12)]
+    rows = []
+    for k in range(500):
+        own = list(words)
+        for _ in range(r.choice([0, 2, 4, 6, 8])):
+            own[r.randrange(100)] = f"x{r.randrange(3)}"
+        rows.append((k, " ".join(own)))
+    rows += [(k, " ".join([*(f"a{r.randrange(6)}" for _ in range(r.randrange(12))), *line, *(f"b{r.randrange(6)}" for _ in range(r.randrange(6)))])) for k in range(500, 900)]
+    got = [tuple(x) for x in near.report(stored(spark, rows, tmp_path / "t")).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def test_words_of_one_polynomial_hash_stay_apart(spark, tmp_path):
     """Thue-Morse words and their complements agree under every polynomial hash modulo 2**64."""
     one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))

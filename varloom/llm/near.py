@@ -13,9 +13,10 @@ bucket's register of 16 bits holds the number of leading zeros of its smallest h
 3. Links give components. In a bucket that lies in one component nothing is left to find. In the others, a member
    that shares too few shingles with anything (it has more private ones than the limit allows) is done; the rest
    is compared with the member of fewest private shingles, its heart. Groups around a heart that still lie in several
-   components are settled in one task each if they have ``GROUP`` members at most. Larger ones are dealt to
+   components are settled in one task each if they have ``GROUP`` members and ``WEIGHT`` shingles at most: members outside the
+   largest component look up what they share with others, by an index of what sets members apart. Larger groups are dealt to
    smaller buckets by what sets members apart from the heart (``_split``), and those go through this step again. So no link is
-   lost, no group larger than ``GROUP`` is gathered, and no bucket is compared all against all.
+   lost, no larger group is gathered, and members of one component are not compared.
 
 Defined results: null, empty and white-space texts have the empty set and are linked with nothing. Fewer words than
 a shingle make one shingle. Repeated rows are of one class. A component is named by its smallest doc_id (null
@@ -38,8 +39,8 @@ SHINGLE = 4
 PERCENT = 80
 BUCKETS, MANTISSA, BAND = 128, 10, 4
 SMALL = 64
-#: Members of a group that one task settles.
-GROUP = 128
+#: Members of a group that one task settles, and shingles of all of them.
+GROUP, WEIGHT = 8192, 1 << 22
 #: Bytes of a word that are hashed in steps of eight; longer words go to a keyed hash as a whole.
 STEPPED = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -270,27 +271,36 @@ def _spanning(batches):
 
     def settle(group):
         cid, comp, sets = (np.concatenate([np.asarray(x) for x in g]) if k < 2 else sum(g, []) for k, g in enumerate(group))
-        n = np.array([len(x) for x in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        n, size = np.array([len(x) for x in sets]), len(sets)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(size), n)
         by = np.argsort(flat, kind="stable")
         flat, owner = flat[by], owner[by]
-        first = np.concatenate([[True], flat[1:] != flat[:-1]])
-        token = np.cumsum(first) - 1
-        some = np.bincount(token) > 1
-        owner, token = owner[some[token]], (np.cumsum(some) - 1)[token[some[token]]]
-        both = np.zeros((len(sets), len(sets)))
-        for lo in range(0, int(some.sum()), 1 << 14):
-            i, j = np.searchsorted(token, [lo, lo + (1 << 14)])
-            m = np.zeros((len(sets), 1 << 14), np.float32)
-            m[owner[i:j], token[i:j] - lo] = 1
-            both += m @ m.T
-        linked = 100 * both >= PERCENT * (n[:, None] + n[None] - both)
-        of = np.unique(comp, return_inverse=True)[1]
+        token = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+        count = np.bincount(token)
+        # shingles of most members count by those that lack them, so what a family has in common costs nothing
+        usual = 2 * count > size
+        has = np.zeros((int(usual.sum()), size), bool)
+        has[(np.cumsum(usual) - 1)[token[usual[token]]], owner[usual[token]]] = True
+        lacked, lacks = np.nonzero(~has)
+        shared = ((count > 1) & ~usual)[token]
+        place = np.concatenate([token[shared], len(count) + lacked])
+        holder = np.concatenate([owner[shared], lacks])
+        more, base, lack = np.bincount(place), len(has), np.bincount(lacks, minlength=size)
+        starts = np.cumsum(more) - more
+        order = np.argsort(holder, kind="stable")
+        own, ends = place[order], np.searchsorted(holder[order], np.arange(size + 1))
+        of, of_size = np.unique(comp, return_inverse=True, return_counts=True)[1:]
         out = []
-        for x, y in np.argwhere(np.triu(linked & (of[:, None] != of[None]), 1)).tolist():
-            if of[x] != of[y]:
-                out.append((cid[x], cid[y]))
-                of[of == of[y]] = of[x]
+        # members of the largest component meet the others as their partners
+        for x in np.flatnonzero(of != of_size.argmax()).tolist():
+            mine = own[ends[x] : ends[x + 1]]
+            length = more[mine]
+            at = np.repeat(starts[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            both = np.bincount(holder[at], minlength=size) + base - lack[x] - lack
+            for y in np.flatnonzero((100 * both >= PERCENT * (n[x] + n - both)) & (of != of[x])).tolist():
+                if of[x] != of[y]:
+                    out.append((cid[x], cid[y]))
+                    of[of == of[y]] = of[x]
         return out
 
     def emit(rows):
@@ -345,12 +355,18 @@ def _rest(members: DataFrame, classes: DataFrame, links: _Links) -> None:
         links.verify(alive.join(heart, "key").where("comp <> other").select("a", F.col("cid").alias("b")))
         last = _open(alive.select("key", "cid", "n"), links).join(heart.select("key", F.col("a").alias("heart")), "key").where("cid <> heart").groupBy("heart", "cid").agg(F.min("comp").alias("comp"), F.min("n").alias("n"))
         last = stage_table(last, "last")
-        sizes = stage_table(last.groupBy("heart").agg(F.count("*").alias("size"), F.min("n").alias("least")), "sizes")
+        sizes = stage_table(last.groupBy("heart").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.sum("n").alias("weight")), "sizes")
         drop_stage(alive)
         drop_stage(heart)
-        small = last.join(sizes.where(F.col("size") <= GROUP).select("heart"), "heart", "left_semi").select("heart", "cid", "comp").join(links.sets, "cid")
-        links.add(small.select("heart", "cid", "comp", "hashes").repartition("heart").sortWithinPartitions("heart").mapInArrow(_spanning, "a long, b long"))
-        large = last.join(sizes.where(F.col("size") > GROUP), "heart")
+        fits = (F.col("size") <= GROUP) & (F.col("weight") <= WEIGHT)
+        small = last.join(sizes.where(fits).select("heart"), "heart", "left_semi").select("heart", "cid", "comp").join(links.sets, "cid")
+        tasks = int(last.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        links.add(small.select("heart", "cid", "comp", "hashes").repartition(tasks, "heart").sortWithinPartitions("heart").mapInArrow(_spanning, "a long, b long"))
+        if not sizes.where(~fits).limit(1).count():
+            drop_stage(last)
+            drop_stage(sizes)
+            return
+        large = last.join(sizes.where(~fits).drop("weight"), "heart")
         members = stage_table(_split(large.drop("comp"), links), "members")
         drop_stage(last)
         drop_stage(sizes)
