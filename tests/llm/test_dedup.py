@@ -235,6 +235,16 @@ def test_repeats_against_brute_force(spark, tmp_path, monkeypatch, hot, piece):
     assert sorted(got) == sorted(brute_repeats(rows))
 
 
+def test_runs_of_windows_are_made_once_and_in_proportion(spark):
+    """Spans of one gram: rows of runs grow with the spans, and the result does not make them again."""
+    r = random.Random(2)
+    spans = [(1, k, (100 << 8) | 250, 1, bytearray(r.choice(b"abcd") for _ in range(350))) for k in range(80)]
+    contexts = spark.createDataFrame(spans, "key long, span long, shape long, n long, bytes binary")
+    count = lambda c: c.mapInArrow(repeats._chunk_rows, "key long, span long, n long, lo int, hi int, core long, whole long, one binary, two binary").count()
+    assert count(contexts) == 2 * count(contexts.where("span < 40")) <= 26 * 80
+    assert "_chunk_rows" not in repeats._hot_hits(contexts)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_levels_find_what_one_array_finds():
     rng = np.random.default_rng(3)
     one = rng.integers(0, 500, 900).astype(np.uint64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix
-from ._common import chunks, drop_stage, mix64, release, small_batches, stage_table, text_bytes, tidily
+from ._common import chunks, drop_stage, mix64, release, small_batches, stage_table, staged, sweep, text_bytes, tidily
 from .suffix import BASES, LENGTH, Levels, Prints
 
 HOT = 512
@@ -186,10 +186,10 @@ def _window_rows(batches):
 def _hot_hits(contexts: DataFrame) -> DataFrame:
     """key, span, back (array): the matched windows of spans whose grams have many.
 
-    Equal runs of windows count as one row from the first aggregation on. Single windows are compared only in runs whose core
+    Runs are made once, at most 26 of a span. Equal runs of windows count as one row from the first aggregation on. Single windows are compared only in runs whose core
     other, different runs have.
     """
-    runs = contexts.mapInArrow(_chunk_rows, "key long, span long, n long, lo int, hi int, core long, whole long, one binary, two binary")
+    runs = stage_table(contexts.mapInArrow(_chunk_rows, "key long, span long, n long, lo int, hi int, core long, whole long, one binary, two binary"), "runs")
     wholes = stage_table(runs.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("one").alias("one"), F.max("two").alias("two")), "wholes")
     shared = stage_table(wholes.groupBy("core").agg(F.count("*").alias("d")).where("d > 1").select("core"), "cores")
     windows = wholes.join(shared, "core", "left_semi").select("core", "whole", "n", "hi", "one", "two").mapInArrow(_window_rows, "core long, whole long, n long, back int, one long, two long")
@@ -268,7 +268,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     contexts = stage_table(texts.mapInArrow(_contexts, "key long, span long, shape long, n long, bytes binary"), "contexts")
     release(spark)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spans.count() // 20_000)
+    mark = staged()
     covers = stage_table(_covers(contexts, hot, shards), "covers")
+    sweep(spark, mark, covers)
     drop_stage(contexts)
     release(spark)
     place, left, right = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
