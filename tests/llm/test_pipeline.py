@@ -52,3 +52,30 @@ def test_near_stage_takes_five_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     kept = corpus_pipeline.drop_near(spark, spark.read.parquet(str(tmp_path / "d")), str(tmp_path))
     assert {x.doc_id for x in kept.collect()} == set(range(60)) - gone[5]
+
+
+def test_near_stage_settles_groups_of_hundreds_at_once(spark, tmp_path, monkeypatch):
+    """With the pipeline's shingles, a family of hundreds with many members outside its largest component is not dealt to smaller buckets."""
+
+    def never(*_):
+        raise AssertionError("dealt to smaller buckets")
+
+    monkeypatch.setattr(corpus_pipeline.near, "_split", never)
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(400):
+        own = list(words)
+        for _ in range(r.choice([0, 2, 4, 6])):
+            own[r.randrange(100)] = f"x{r.randrange(3)}"
+        texts.append(own)
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    out = corpus_pipeline.drop_near(spark, spark.read.parquet(str(tmp_path / "t")), "")
+    sets = [{tuple(t[i : i + corpus_pipeline.SHINGLE]) for i in range(len(t) - corpus_pipeline.SHINGLE + 1)} for t in texts]
+    low = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b) and low[i] != low[j]:
+                x, y = sorted((low[i], low[j]))
+                low = [x if v == y else v for v in low]
+    assert sorted(x.doc_id for x in out.collect()) == sorted(set(low))
