@@ -79,3 +79,39 @@ def test_near_stage_settles_groups_of_hundreds_at_once(spark, tmp_path, monkeypa
                 x, y = sorted((low[i], low[j]))
                 low = [x if v == y else v for v in low]
     assert sorted(x.doc_id for x in out.collect()) == sorted(set(low))
+
+
+def test_near_stage_goes_once_through_groups_too_large_for_a_task(spark, tmp_path, monkeypatch):
+    """Blocks of such a group meet in one step: its members are not dealt to buckets by shingle, to be gone through again."""
+    near, rounds, dealt = corpus_pipeline.near, [], []
+    opened, split = near._open, near._split
+    monkeypatch.setattr(near, "GROUP", 50)
+    monkeypatch.setattr(near, "_open", lambda *a: rounds.append(1) or opened(*a))
+
+    def counted(members, *more):
+        out = split(members, *more)
+        dealt.append((members.count(), out.count(), max(x["count"] for x in out.groupBy(out.columns[0]).count().collect())))
+        return out
+
+    monkeypatch.setattr(near, "_split", counted)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(400):
+        own = list(words)
+        for _ in range(r.choice([0, 2, 4, 6])):
+            own[r.randrange(100)] = f"x{r.randrange(3)}"
+        texts.append(own)
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    out = corpus_pipeline.drop_near(spark, spark.read.parquet(str(tmp_path / "t")), "")
+    sets = [{tuple(t[i : i + corpus_pipeline.SHINGLE]) for i in range(len(t) - corpus_pipeline.SHINGLE + 1)} for t in texts]
+    low = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b) and low[i] != low[j]:
+                x, y = sorted((low[i], low[j]))
+                low = [x if v == y else v for v in low]
+    assert sorted(x.doc_id for x in out.collect()) == sorted(set(low))
+    assert len(rounds) == 2 and len(dealt) == 1
+    members, rows, most = dealt[0]
+    assert members > 0 and rows < 40 * members and most <= 2 * 50

@@ -12,10 +12,10 @@ bucket's register of 16 bits holds the number of leading zeros of its smallest h
    deviations below the limit is dropped. The rest is compared on full sets.
 3. Links give components. In a bucket that lies in one component nothing is left to find. In the others, a member
    that shares too few shingles with anything (it has more private ones than the limit allows) is done; the rest
-   is compared with the member of fewest private shingles, its heart. Groups around a heart that still lie in several
-   components are settled in one task each if they have ``GROUP`` members and ``WEIGHT`` shingles at most: members outside the
-   largest component look up what they share with others, by an index of what sets members apart. Larger groups are dealt to
-   smaller buckets by what sets members apart from the heart (``_split``), and those go through this step again. So no link is
+   is compared with the member of fewest private shingles, its heart. In groups around a heart that still lie in several
+   components, members outside the largest component look up what they share with others, by an index of what sets members
+   apart. One task settles a group of ``GROUP`` members and ``WEIGHT`` shingles at most. Larger groups are dealt to blocks, and each
+   block of members that look up meets each block of the group in a task of its own (``_split``). So no link is
    lost, no larger group is gathered, and members of one component are not compared.
 
 Defined results: null, empty and white-space texts have the empty set and are linked with nothing. Fewer words than
@@ -39,8 +39,8 @@ SHINGLE = 4
 PERCENT = 80
 BUCKETS, MANTISSA, BAND = 128, 10, 4
 SMALL = 64
-#: Members of a group that one task settles, and shingles of all of them.
-GROUP, WEIGHT = 8192, 1 << 22
+#: Members that one task settles, and shingles of all of them; the share of both that is left to members that look up, in larger groups.
+GROUP, WEIGHT, ASKING = 8192, 1 << 22, 0.25
 #: Bytes of a word that are hashed in steps of eight; longer words go to a keyed hash as a whole.
 STEPPED = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -266,11 +266,11 @@ def _open(members: DataFrame, links: _Links) -> DataFrame:
 
 
 def _spanning(batches):
-    """Links (a, b) that join the members of each group, of those that are in different components and similar; groups lie together."""
+    """Links (a, b) that join the members of each part, of those that are in different components and similar and of which one asks; parts lie together."""
     held = None
 
     def settle(group):
-        cid, comp, sets = (np.concatenate([np.asarray(x) for x in g]) if k < 2 else sum(g, []) for k, g in enumerate(group))
+        cid, comp, ask, sets = (np.concatenate(g) if k < 3 else sum(g, []) for k, g in enumerate(group))
         n, size = np.array([len(x) for x in sets]), len(sets)
         flat, owner = np.concatenate(sets), np.repeat(np.arange(size), n)
         by = np.argsort(flat, kind="stable")
@@ -289,10 +289,9 @@ def _spanning(batches):
         starts = np.cumsum(more) - more
         order = np.argsort(holder, kind="stable")
         own, ends = place[order], np.searchsorted(holder[order], np.arange(size + 1))
-        of, of_size = np.unique(comp, return_inverse=True, return_counts=True)[1:]
+        of = np.unique(comp, return_inverse=True)[1]
         out = []
-        # members of the largest component meet the others as their partners
-        for x in np.flatnonzero(of != of_size.argmax()).tolist():
+        for x in np.flatnonzero(ask).tolist():
             mine = own[ends[x] : ends[x + 1]]
             length = more[mine]
             at = np.repeat(starts[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
@@ -308,19 +307,19 @@ def _spanning(batches):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for b in batches:
-        heart = np.asarray(b.column(0))
-        cut = np.flatnonzero(np.diff(heart, prepend=heart[:1] - 1)) if len(heart) else []
+        part = np.asarray(b.column(0))
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
         rows = []
-        for i, j in zip(cut, [*cut[1:], len(heart)], strict=True):
-            if held is not None and held[0] != heart[i]:
+        for i, j in zip(cut, [*cut[1:], len(part)], strict=True):
+            if held is not None and held[0] != part[i]:
                 rows += settle(held[1:])
                 held = None
-            held = held or (heart[i], [], [], [])
-            held[1].append(b.column(1)[i:j])
-            held[2].append(b.column(2)[i:j])
-            flat, ends = np.asarray(b.column(3)[i:j].flatten()), np.asarray(b.column(3)[i:j].offsets)
+            held = held or (part[i], [], [], [], [])
+            for k in (1, 2, 3):
+                held[k].append(np.asarray(b.column(k)[i:j]))
+            flat, ends = np.asarray(b.column(4)[i:j].flatten()), np.asarray(b.column(4)[i:j].offsets)
             ends = ends - ends[0]
-            held[3].append([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+            held[4].append([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
         yield emit(rows)
     if held is not None:
         yield emit(settle(held[1:]))
@@ -328,86 +327,60 @@ def _spanning(batches):
 
 def _rest(members: DataFrame, classes: DataFrame, links: _Links) -> None:
     """Compare what comparisons with the first members have left open."""
-    level = 0
-    while True:
-        left = stage_table(_open(members.select("key", "cid"), links), "open")
-        if level:
-            drop_stage(members)
-        if not left.limit(1).count():
-            drop_stage(left)
-            return
-        ids = left.select("cid").distinct()
-        tokens = links.sets.join(ids, "cid", "left_semi").select("cid", F.explode("hashes").alias("h"))
-        counts = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
-        private = counts.where("c = 1").groupBy("cid").agg(F.count("*").alias("p"))
-        facts = ids.join(classes.select("cid", "n"), "cid").join(private, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("p", F.lit(0)).alias("p"))
-        known = stage_table(left.join(facts, "cid"), "known")
+    left = stage_table(_open(members.select("key", "cid"), links), "open")
+    if not left.limit(1).count():
         drop_stage(left)
-        best = stage_table(known.groupBy("key").agg(F.max(F.col("n") - F.col("p")).alias("most"), F.min("n").alias("least"), F.min("p").alias("fewest")), "best")
-        # no partner shares more than ``shared`` with a member, and together they have at least ``union``
-        shared = F.least(F.col("n") - F.col("p"), F.col("most"))
-        union = F.greatest(F.col("n") + F.col("fewest"), F.col("n") + F.col("least") - shared)
-        alive = stage_table(known.join(best, "key").where(100 * shared >= PERCENT * union).select("key", "cid", "comp", "n", "p"), "alive")
-        drop_stage(known)
-        drop_stage(best)
-        heart = alive.groupBy("key").agg(F.min(F.struct("p", "cid", "comp")).alias("c")).select("key", F.col("c.cid").alias("a"), F.col("c.comp").alias("other"))
-        heart = stage_table(heart, "hearts")
-        links.verify(alive.join(heart, "key").where("comp <> other").select("a", F.col("cid").alias("b")))
-        last = _open(alive.select("key", "cid", "n"), links).join(heart.select("key", F.col("a").alias("heart")), "key").where("cid <> heart").groupBy("heart", "cid").agg(F.min("comp").alias("comp"), F.min("n").alias("n"))
-        last = stage_table(last, "last")
-        sizes = stage_table(last.groupBy("heart").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.sum("n").alias("weight")), "sizes")
-        drop_stage(alive)
-        drop_stage(heart)
-        fits = (F.col("size") <= GROUP) & (F.col("weight") <= WEIGHT)
-        small = last.join(sizes.where(fits).select("heart"), "heart", "left_semi").select("heart", "cid", "comp").join(links.sets, "cid")
-        tasks = int(last.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        links.add(small.select("heart", "cid", "comp", "hashes").repartition(tasks, "heart").sortWithinPartitions("heart").mapInArrow(_spanning, "a long, b long"))
-        if not sizes.where(~fits).limit(1).count():
-            drop_stage(last)
-            drop_stage(sizes)
-            return
-        large = last.join(sizes.where(~fits).drop("weight"), "heart")
-        members = stage_table(_split(large.drop("comp"), links), "members")
-        drop_stage(last)
-        drop_stage(sizes)
-        level += 1
-
-
-def _split(members: DataFrame, links: _Links) -> DataFrame:
-    """key, cid: smaller buckets for ``members`` (heart, cid, n, size, least: the group's smallest n) that lie in different components.
-
-    All members are compared with their heart c already. Say x and y are similar and of different components, x not of
-    c's, so x isn't similar to c. With s = 4/9 (|x| + |y|), what they have to share at least, they share s - |x and c| shingles
-    or more beyond c. If that is positive for every size that y may have, x and y agree in one of the first shingles of x beyond c,
-    in any order, that leave room for fewer than that (prefix filter), and y has that shingle, too. Otherwise, y may be smaller than c
-    and both may lie in c almost whole: then they lack the same shingles of c, s - |c| + (what x lacks) + (what y lacks) at least, where y lacks
-    |c| - |y| or more; that is positive, since x isn't similar to c, and so they agree in one of the first shingles that x lacks.
-    A bucket is a heart with a shingle that x looks for; it never holds the heart, so it is smaller than the group it comes from.
-    Shingles that no other open member has lead nowhere and are left out.
+        return
+    ids = left.select("cid").distinct()
+    tokens = links.sets.join(ids, "cid", "left_semi").select("cid", F.explode("hashes").alias("h"))
+    counts = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("cid").alias("cid"))
+    private = counts.where("c = 1").groupBy("cid").agg(F.count("*").alias("p"))
+    facts = ids.join(classes.select("cid", "n"), "cid").join(private, "cid", "left").select("cid", F.col("n").cast("long").alias("n"), F.coalesce("p", F.lit(0)).alias("p"))
+    known = stage_table(left.join(facts, "cid"), "known")
+    drop_stage(left)
+    best = stage_table(known.groupBy("key").agg(F.max(F.col("n") - F.col("p")).alias("most"), F.min("n").alias("least"), F.min("p").alias("fewest")), "best")
+    # no partner shares more than ``shared`` with a member, and together they have at least ``union``
+    shared = F.least(F.col("n") - F.col("p"), F.col("most"))
+    union = F.greatest(F.col("n") + F.col("fewest"), F.col("n") + F.col("least") - shared)
+    alive = stage_table(known.join(best, "key").where(100 * shared >= PERCENT * union).select("key", "cid", "comp", "n", "p"), "alive")
+    drop_stage(known)
+    drop_stage(best)
+    heart = alive.groupBy("key").agg(F.min(F.struct("p", "cid", "comp")).alias("c")).select("key", F.col("c.cid").alias("a"), F.col("c.comp").alias("other"))
+    heart = stage_table(heart, "hearts")
+    links.verify(alive.join(heart, "key").where("comp <> other").select("a", F.col("cid").alias("b")))
+    last = _open(alive.select("key", "cid", "n"), links).join(heart.select("key", F.col("a").alias("heart")), "key").where("cid <> heart").groupBy("heart", "cid").agg(F.min("comp").alias("comp"), F.min("n").alias("n"))
+    last = stage_table(last, "last")
+    drop_stage(alive)
+    drop_stage(heart)
+    comps = last.groupBy("heart", "comp").agg(F.count("*").alias("c"))
+    largest = comps.groupBy("heart").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    asked = last.join(largest.select("heart", F.col("m.comp").alias("most")), "heart").withColumn("ask", F.col("comp") != F.col("most"))
+    # in tasks: a group, and its members that ask
+    fill = lambda x: F.greatest(F.count(x) / GROUP, F.sum(x) / WEIGHT)
+    sizes = stage_table(asked.groupBy("heart").agg(fill(F.col("n")).alias("full"), fill(F.when(F.col("ask"), F.col("n"))).alias("asking")), "sizes")
+    parts = asked.join(sizes.where("full <= 1").select("heart"), "heart", "left_semi").select(F.col("heart").alias("part"), "cid", "comp", "ask")
+    if sizes.where("full > 1").limit(1).count():
+        parts = parts.unionByName(_split(asked.join(sizes.where("full > 1"), "heart")))
+    tasks = int(last.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = parts.join(links.sets, "cid").select("part", "cid", "comp", "ask", "hashes")
+    links.add(whole.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_spanning, "a long, b long"))
+    drop_stage(last)
+    drop_stage(sizes)
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """part, cid, comp, ask: the members of groups (heart, cid, comp, ask, full, asking) that are too large for one task, by task.
+
+    A group is dealt to blocks, and its members that ask once more to blocks of their own. A part has one block of each
+    kind, and there is a part for every two, so whoever asks meets all others of the group.
     """
-    of = lambda k, h: links.sets.select(F.col("cid").alias(k), F.col("hashes").alias(h))
-    now = links.label(members)
-    home = links.label(members.select(F.col("heart").alias("cid")).distinct(), into="home").withColumnRenamed("cid", "heart")
-    both = now.join(home, "heart").join(of("cid", "hx"), "cid").join(of("heart", "hc"), "heart")
-    share = PERCENT / (100 + PERCENT)
-    apart = both.select("heart", "cid", "comp", "home", "n", "least", F.size("hc").alias("nc"), F.array_except("hx", "hc").alias("plus"), F.array_except("hc", "hx").alias("minus"))
-    inside = F.col("n") - F.size("plus")
-    beyond = F.ceil(share * (F.col("n") + F.greatest("least", F.ceil(PERCENT / 100 * F.col("n") - 1e-9))) - inside - 1e-9)
-    lacking = F.ceil(share * F.col("n") + F.size("minus") - (1 - share) * F.col("nc") - 1e-9)
-    apart = stage_table(apart.withColumn("beyond", beyond).withColumn("lacking", lacking), "apart")
-    signs = F.concat(F.transform("plus", lambda h: F.struct(F.lit(1).alias("side"), h.alias("h"))), F.when((F.col("n") < F.col("nc")) | ((F.col("beyond") < 1) & (F.col("comp") != F.col("home"))), F.transform("minus", lambda h: F.struct(F.lit(0).alias("side"), h.alias("h")))).otherwise(F.array().cast("array<struct<side:int,h:bigint>>")))
-    every = apart.select("heart", "cid", F.explode(signs).alias("t")).select("heart", "cid", "t.side", "t.h")
-    # a shingle beyond the heart that no other member of the group has leads nowhere, and the rarest come first
-    common = stage_table(every.groupBy("heart", "side", "h").agg(F.count("*").alias("c")).where("c > 1"), "common")
-    mine = stage_table(every.join(common, ["heart", "side", "h"]).groupBy("heart", "cid").agg(F.sort_array(F.collect_list(F.struct("side", "c", "h"))).alias("known")), "mine")
-    x = mine.join(apart.where("comp <> home").select("heart", "cid", "beyond", "lacking", F.size("plus").alias("p"), F.size("minus").alias("m")), ["heart", "cid"])
-    plus, minus = F.filter("known", lambda t: t["side"] == 1), F.filter("known", lambda t: t["side"] == 0)
-    first = lambda col, all_, least: F.slice(col, 1, F.greatest(F.size(col) - (F.greatest(least, F.lit(1)) - 1), F.lit(0)).cast("int"))
-    seeks = F.concat(first(plus, "p", F.col("beyond")), F.when(F.col("beyond") < 1, first(minus, "m", F.col("lacking"))).otherwise(F.slice("known", 1, 0)))
-    sought = stage_table(x.select("heart", F.explode(seeks).alias("t")).select("heart", "t.side", "t.h").distinct(), "sought")
-    held = mine.select("heart", "cid", F.explode("known").alias("t")).select("heart", "cid", "t.side", "t.h")
-    out = held.join(sought, ["heart", "side", "h"], "left_semi")
-    return out.select(F.xxhash64("heart", "side", "h").alias("key"), "cid")
+    count = lambda tasks, share: F.ceil(F.col(tasks) / share).cast("int")
+    dealt = members.withColumn("blocks", count("full", 1 - ASKING)).withColumn("askers", count("asking", ASKING)).withColumn("at", F.xxhash64("cid"))
+    own = lambda n: F.expr(f"cast(pmod(at, {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hold = dealt.withColumn("i", every("askers")).withColumn("j", own("blocks")).withColumn("ask", F.lit(False))
+    seek = dealt.where("ask").withColumn("i", own("askers")).withColumn("j", every("blocks"))
+    return hold.unionByName(seek).select(F.xxhash64("heart", "i", "j").alias("part"), "cid", "comp", "ask")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
