@@ -86,9 +86,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical
+
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audit
+
+    return audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc)}
+    return {f.__name__: f for f in (op1_ann, op2_suffix_dedup, op3_language, op4_toxicity, op5_exact_dedup, op6_near_dedup, op7_bpe, op8_url_filter, op9_mixing, op10_warc, op11_ranked_search, op12_license_scan, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    from . import audit, lexical
+
+    return {"op5_exact_dedup": OP5_SQL, "op11_ranked_search": lexical.SQL, "op13_filter_audit": audit.SQL}
