@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,15 @@ def test_splitter_equals_the_library():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.corpus_digests(df).count() == 0
+
+
+def test_words_built_to_collide_keep_their_ids(spark, tmp_path, library):
+    """Two words of one hash, side by side, apart, and as parts of texts that also hold neither."""
+    one, other = "gtbtjwyaaaadaaa", "rybentokyxxzkvp"
+    h = bpe.word_hashes(np.frombuffer(f" {one} {other}".encode(), np.uint8), np.array([0, 16]), np.array([16, 32]))
+    assert h[0] == h[1]
+    texts = [f"z {one} {other}", f"z {other}", f"z {one}", "z", f"{other} {one} {other} {one}"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in bpe.corpus_digests(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert got == {i: expected(library, t) for i, t in rows}

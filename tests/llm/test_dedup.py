@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from varloom.llm import _common, exact, near, repeats, suffix
+from varloom.llm import _common, bpe, exact, near, repeats, suffix
 from varloom.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,10 +163,27 @@ def test_words_of_one_polynomial_hash_stay_apart(spark, tmp_path):
     rows = [(1, one), (2, other), (3, one[:1024]), (4, other[:1024]), (5, " ".join([one, *rest])), (6, " ".join([*rest, other])), (7, "c d e f"), (8, "f e d c"), (9, "c d e f")]
     got = [tuple(x) for x in near.report(stored(spark, rows, tmp_path / "t")).collect()]
     assert sorted(got) == sorted(brute_components(rows))
-    h = near.word_hashes(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 4097, 0, 4097]), np.array([4096, 8193, 60, 4157]))
+    h = bpe.word_hashes(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 4097, 0, 4097]), np.array([4096, 8193, 60, 4157]))
     assert len(set(h.tolist())) == 4
 
 
+#: Words that one chain of unkeyed bijective mixes can't tell apart (built: the second half cancels what the first halves differ by).
+BUILT = ("xxytvhcnaaadaaaa", "anuvfvoijfkxqvnh")
+
+
+def test_words_built_to_collide_stay_apart(spark, tmp_path):
+    rows = [(1, " ".join(f"{BUILT[0]} w{i}" for i in range(30))), (2, " ".join(f"{BUILT[1]} w{i}" for i in range(30))), (3, f"{BUILT[0]} a b"), (4, f"{BUILT[1]} a b")]
+    got = [tuple(x) for x in near.report(stored(spark, rows, tmp_path / "t")).collect()]
+    assert sorted(got) == sorted(brute_components(rows)) and all(kept for *_, kept in got)
+    same = [bpe.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([16]))[0] for w in BUILT]
+    keyed = [near.WordHashes(b"other")[w.encode()] for w in BUILT]
+    assert same[0] == same[1] and keyed[0] != keyed[1]
+
+
+def test_every_run_has_its_own_key():
+    assert near.WordHashes(b"a")[b"word"] != near.WordHashes(b"b")[b"word"]
+
+
 def test_components_survive_collisions_of_registers():
     """Registers of 16 bits collide; the estimate takes that off."""
     rng = np.random.default_rng(5)

@@ -162,6 +162,22 @@ def test_ann(spark):
     assert hits / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 12])
+def test_ann_of_small_tables_is_complete(spark, n):
+    """Three vectors close together and others opposite: every query gets all others, or the five nearest."""
+    rng = np.random.default_rng(n)
+    x = np.array([1.0] * 16) * np.where(np.arange(n) < 3, 1, -1)[:, None] + rng.normal(0, 1e-3, (n, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, "vec_id % 1 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(n):
+        near = y @ y[q]
+        want = [i for i in np.lexsort((np.arange(n), -near)).tolist() if i != q][:5]
+        assert got.get(q, []) == want
+
+
 def test_ann_of_nothing(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").count() == 0
 

@@ -9,7 +9,8 @@ A query descends every tree to its own string. Then it ascends all trees at once
 the string whose symbols cost least (the squared gap between the query's largest coordinate and the
 admitted one, added up over the symbols; a string that shares the first symbol costs only what the
 rest of it differs). It stops when every tree's own string is admitted and the admitted strings of all
-trees together hold ``wanted(n)`` rows, a number that grows as a power of the table (a row counts once for each tree). Counts by string are a table of fixed size for each tree,
+trees together hold ``wanted(n)`` rows, a number that grows as a power of the table (a row counts once for each tree), and
+so many that k + 1 of them must be different; a smaller table is admitted as a whole. Counts by string are a table of fixed size for each tree,
 so the ascent needs no look at the vectors. Candidates are compared by exact cosine in double
 precision where they lie, and only the nearest of each slot travel on.
 
@@ -102,7 +103,7 @@ def classes_of(vectors: DataFrame, k: int) -> DataFrame:
 class Forest:
     """What a query needs to know of the trees: rows by string, and the slots of each string."""
 
-    def __init__(self, counts: np.ndarray, dim: int, slot: int):
+    def __init__(self, counts: np.ndarray, dim: int, slot: int, k: int = K):
         self.counts, self.dim = counts, dim
         self.trees = len(counts)
         before = np.cumsum(counts, 1) - counts
@@ -111,7 +112,8 @@ class Forest:
         # a string that is spread over several slots has them for itself
         width = int(self.last.max()) + 1
         self.base = np.arange(self.trees)[:, None] * width
-        self.wanted = wanted(int(counts[0].sum()))
+        # a row lies once in each tree: more than k rows a tree, all trees together, are more than k distinct ones
+        self.wanted = max(wanted(int(counts[0].sum())), self.trees * k + 1)
 
     def slot_of(self, tree: np.ndarray, string: np.ndarray, salt: np.ndarray) -> np.ndarray:
         lo, hi = self.first[tree, string], self.last[tree, string]
@@ -241,7 +243,7 @@ def _search(classes: DataFrame, asked: DataFrame, dim: int, k: int, trees: int)
     got = classes.select("vec").mapInArrow(_count(trees, dim), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(trees * (2 * dim) ** SYMBOLS, np.int64)
     counts[got.cell.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(Forest(counts.reshape(trees, -1), dim, SLOT))
+    shared = spark.sparkContext.broadcast(Forest(counts.reshape(trees, -1), dim, SLOT, k))
     schema = "slot long, kind int, cid long, vec binary, strings binary"
     rows = classes.select("cid", "vec").mapInArrow(_index_rows(shared, dim), schema).unionByName(asked.select("cid", "vec").mapInArrow(_query_rows(shared, dim), schema))
     found = rows.repartition("slot").sortWithinPartitions("slot", "kind").mapInArrow(_scan(dim, k), "query long, cid long, score double")

@@ -13,7 +13,7 @@
 The splitter works on whole chunks of texts at once, by the classes of their characters. Texts that hold a special
 token, or a character whose class (letter, number, space, other) has changed since Unicode 3.2 or is open, are split by the
 library's own pre-tokenizer, as Unicode versions differ there; their words go through the same table. Broadcast words
-are found by a 64-bit hash that no other distinct word of the corpus has; words of equal hashes are joined by position.
+are found by a 64-bit hash that no other distinct word of the corpus has; words of equal hashes are joined by their bytes.
 
 Defined results: null and empty texts give no ids, the hash of the empty string and an empty decoded text. Repeated
 rows give repeated rows. Columns of the input of any name pass ``encode`` and ``decode``; the new column must have a
@@ -27,6 +27,7 @@ import hashlib
 import json
 import os
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -37,8 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string as parse
 
-from ._common import chunks, drop_stage, fresh, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
-from .near import word_hashes
+from ._common import chunks, drop_stage, fresh, mix64, release, small_batches, stage_table, staged, sweep, text_bytes, tidily, tidy
 
 #: Bytes of the broadcast part of the table.
 TABLE_BYTES = 32 << 20
@@ -156,6 +156,34 @@ def splitter(path: str) -> Splitter:
     return Splitter(path)
 
 
+_ODD = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3))
+#: Bytes of a word that are hashed in steps of eight; longer words go to another hash as a whole.
+STEPPED = 64
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word.
+
+    Words of equal hashes can be built, so none is told from another by it: the table has every distinct word, and
+    words that share a hash there are left out of what is looked up by hash (``_frequent``).
+    """
+    length = end - begin
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, np.uint64, padded.tobytes(), 0, (1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    h = mix64(length.astype(np.uint64) ^ _ODD[0])
+    at = np.flatnonzero(length <= STEPPED)
+    done = 0
+    while len(at):
+        chunk = eight[begin[at] + done] & masks[np.minimum(length[at] - done, 8)]
+        h[at] = mix64((h[at] ^ chunk) + _ODD[1])
+        done += 8
+        at = at[length[at] > done]
+    for k in np.flatnonzero(length > STEPPED).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def _gather(blob: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Pieces of ``blob``, one after another."""
     ends = np.cumsum(size)
@@ -178,16 +206,11 @@ def _slices(batches, path: str, text: int):
 
 
 def _distinct(batches, path: str):
-    """Distinct words of each slice, with counts."""
+    """Distinct words of each slice, with counts; words are compared byte by byte."""
     for _, _, _, data, _, (begin, end, _) in _slices(batches, path, 0):
-        h = word_hashes(data, begin, end)
-        by = np.argsort(h, kind="stable")
-        size = (end - begin)[by]
-        new = np.concatenate([[True], (h[by][1:] != h[by][:-1]) | (size[1:] != size[:-1])]) if len(by) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(by)))
-        pick = by[at]
-        yield pa.RecordBatch.from_arrays([_strings(_gather(data, begin[pick], size[at]), size[at]), pa.array(n.astype(np.int32))], names=["word", "n"])
+        raw = data.tobytes()
+        found = Counter([raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(found.values(), pa.int32())], names=["word", "n"])
 
 
 def _packed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

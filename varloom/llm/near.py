@@ -1,7 +1,7 @@
 """MinHash near-dedup with HyperMinHash registers.
 
-A document's set holds the hashes (64 bits) of its distinct shingles of ``shingle`` words (``SHINGLE`` unless given). Documents of equal sets
-form a class. A class of ``SMALL`` shingles or more has a sketch: the hashes are dealt to ``BUCKETS`` buckets, and a
+A document's set holds the hashes (64 bits) of its distinct shingles of ``shingle`` words (``SHINGLE`` unless given); words are hashed with a
+secret key of the run. Documents of equal sets (of equal size and two sums of 64 bits each) form a class. A class of ``SMALL`` shingles or more has a sketch: the hashes are dealt to ``BUCKETS`` buckets, and a
 bucket's register of 16 bits holds the number of leading zeros of its smallest hash and ``MANTISSA`` bits after the first one.
 
 1. Candidates: classes that agree in a band of ``BAND`` registers, empty ones filled by those of other buckets. Sets too small for a sketch use their smallest
@@ -27,6 +27,8 @@ not read, and pass ``drop_near`` as they are.
 from __future__ import annotations
 
 import hashlib
+import secrets
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,47 +43,40 @@ BUCKETS, MANTISSA, BAND = 128, 10, 4
 SMALL = 64
 #: Members that one task settles, and shingles of all of them; the share of both that is left to members that look up, in larger groups.
 GROUP, WEIGHT, ASKING = 8192, 1 << 22, 0.25
-#: Bytes of a word that are hashed in steps of eight; longer words go to a keyed hash as a whole.
-STEPPED = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in some bytes."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    return edge[::2], edge[1::2]
-
-
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word. It chains bijective mixes and is no polynomial, so no family of words collides for every seed."""
-    length = end - begin
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, np.uint64, padded.tobytes(), 0, (1,))
-    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    h = mix64(length.astype(np.uint64) ^ _ODD[6])
-    at = np.flatnonzero(length <= STEPPED)
-    done = 0
-    while len(at):
-        chunk = eight[begin[at] + done] & masks[np.minimum(length[at] - done, 8)]
-        h[at] = mix64((h[at] ^ chunk) + _ODD[7])
-        done += 8
-        at = at[length[at] > done]
-    for k in np.flatnonzero(length > STEPPED).tolist():
-        h[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]].tobytes(), digest_size=8, key=b"words").digest(), "little")
-    return h
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+#: Fixed rule: A to Z as small letters; words are parted by what ``bytes.split`` parts at, [\x20\x09-\x0D].
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+class WordHashes(dict):
+    """A keyed hash (64 bits) of each word, computed once for each distinct word.
+
+    Every run draws a key of its own on the driver, so nobody can build words, or texts of them, that collide.
+    """
+
+    KEPT = 1 << 19
+
+    def __init__(self, key: bytes = b"words"):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+        if len(self) < self.KEPT:
+            self[word] = h
+        return h
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, hashes: WordHashes | None = None) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    # a blank between texts keeps their words apart
-    n = np.diff(offsets)
-    gap = np.full(len(data) + len(n), 32, np.uint8)
-    gap[np.arange(len(data)) + np.repeat(np.arange(len(n)), n)] = data
-    begin, end = word_spans(gap)
-    words = word_hashes(gap, begin, end)
-    per = np.searchsorted(begin, offsets + np.arange(len(offsets)))
+    raw = data.tobytes().translate(_LOWER)
+    at = offsets.tolist()
+    texts = [raw[i:j].split() for i, j in zip(at[:-1], at[1:], strict=True)]
+    per = np.cumsum([0, *map(len, texts)])
+    words = np.fromiter(map((hashes if hashes is not None else WordHashes()).__getitem__, chain.from_iterable(texts)), np.uint64, int(per[-1]))
+    del texts
     h = np.zeros(max(len(words) - size + 1, 0), np.uint64)
     for k in range(size):
         h = mix64((h ^ words[k : k + len(h)]) + _ODD[k % 6])
@@ -147,12 +142,13 @@ def similarity(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return np.maximum(same - used * p, 0) / (1 - p) / np.maximum(used, 1), used
 
 
-def _summaries(batches, shingle: int):
+def _summaries(batches, shingle: int, key: bytes):
+    hashes = WordHashes(key)
     for b in tidily(batches):
         rid, doc_id = b.column(0), b.column(1)
         data, offsets = text_bytes(b.column(2))
         for i, j in chunks(offsets, 1 << 20):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, hashes)
             n = np.array([len(s) for s in sets])
             one = np.array([(s * _ODD[0]).sum() if len(s) else 0 for s in sets], np.uint64)
             two = np.array([mix64(s ^ _ODD[1]).sum() if len(s) else 0 for s in sets], np.uint64)
@@ -210,11 +206,12 @@ def _likely(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _sets(batches, shingle: int):
+def _sets(batches, shingle: int, key: bytes):
+    hashes = WordHashes(key)
     for b in tidily(batches):
         data, offsets = text_bytes(b.column(1))
         for i, j in chunks(offsets, 1 << 20):
-            sets = [s.view(np.int64) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)]
+            sets = [s.view(np.int64) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, hashes)]
             yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
 
 
@@ -386,9 +383,10 @@ def _split(members: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, keep_rid (the row of that id) of every row."""
     spark, mark = docs.sparkSession, staged()
+    key = secrets.token_bytes(16)  # travels with the tasks, so a task that runs again hashes alike
     small_batches(spark)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage_table(numbered.mapInArrow(lambda b: _summaries(b, shingle), "rid long, doc_id long, n long, f1 long, f2 long, low array<long>, regs binary"), "rows")
+    rows = stage_table(numbered.mapInArrow(lambda b: _summaries(b, shingle, key), "rid long, doc_id long, n long, f1 long, f2 long, low array<long>, regs binary"), "rows")
     best = F.min(F.struct("doc_id", "rid")).alias("best")
     classes = rows.where("n > 0").groupBy("f1", "f2").agg(best, F.max("n").alias("n"), F.max("low").alias("low"), F.max("regs").alias("regs"))
     classes = stage_table(classes.select("f1", "f2", "best", F.col("best.rid").alias("cid"), "n", "low", "regs"), "classes")
@@ -401,7 +399,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     hearts = stage_table(hearts.select("key", (-F.col("best.m")).alias("first")), "hearts")
     release(spark)
     texts = numbered.select(F.col("rid").alias("cid"), "text").join(members.select("cid").distinct(), "cid", "left_semi")
-    sets = stage_table(texts.mapInArrow(lambda b: _sets(b, shingle), "cid long, hashes array<long>"), "sets")
+    sets = stage_table(texts.mapInArrow(lambda b: _sets(b, shingle, key), "cid long, hashes array<long>"), "sets")
     release(spark)
     links = _Links(classes, sets)
     links.verify(members.join(hearts, "key").where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")))
