@@ -115,11 +115,18 @@ def size() -> Column:
     return F.col("n0") + F.col("n1") + F.col("n2")
 
 
-def frequency() -> Column:
-    """Frequency of the effect allele; null if no call counts."""
-    x = (allele_count(1) + allele_count(2)) / F.nullif(called(1) + 2 * called(2), F.lit(0))
-    y = allele_count(1) / F.nullif(called(1), F.lit(0))
-    return F.when(F.col("ploidy") == "XnonPAR", x).when(F.col("ploidy") == "YnonPAR", y).otherwise(allele_count() / F.nullif(2 * called(), F.lit(0)))
+def frequency_of(count) -> Column:
+    """Frequency of the effect allele by counts of a sex and genotype; null if no call counts."""
+    alleles = lambda s: count(s, 1) + 2 * count(s, 2)
+    calls = lambda s: count(s, 0) + count(s, 1) + count(s, 2)
+    x = (alleles(1) + alleles(2)) / F.nullif(calls(1) + 2 * calls(2), F.lit(0))
+    y = alleles(1) / F.nullif(calls(1), F.lit(0))
+    return F.when(F.col("ploidy") == "XnonPAR", x).when(F.col("ploidy") == "YnonPAR", y).otherwise(_sum(alleles) / F.nullif(2 * _sum(calls), F.lit(0)))
+
+
+def frequency(prefix: str = "k") -> Column:
+    """Frequency of the effect allele of the counts whose columns begin with ``prefix``."""
+    return frequency_of(lambda s, g: F.col(f"{prefix}{s}{g}"))
 
 
 def call_rate() -> Column:
@@ -151,27 +158,30 @@ def with_hwe(df: DataFrame) -> DataFrame:
     return df.withColumn("hweP", F.when(F.col("ploidy") == "YnonPAR", 1.0).otherwise(F.expr(chisq1_tail_sql("chi")))).drop("chi")
 
 
-def flip(df: DataFrame, flag: Column | None = None) -> DataFrame:
-    """Counts with the minor allele as effect allele; ``flipped`` tells which variants changed."""
+def flip(df: DataFrame, flag: Column | None = None, prefixes: tuple[str, ...] = ("k",)) -> DataFrame:
+    """Counts with the minor allele as effect allele; ``flipped`` tells which variants changed. Counts of other prefixes are flipped along."""
     df = barrier(df.withColumn("flipped", F.coalesce(flag if flag is not None else frequency() > 0.5, F.lit(False))))
     cols = {}
-    for s in SEXES:
-        one = haploid(F.col("ploidy"), s)
-        swap = {0: F.when(one, F.col(f"k{s}1")).otherwise(F.col(f"k{s}2")), 1: F.when(one, F.col(f"k{s}0")).otherwise(F.col(f"k{s}1")), 2: F.when(one, F.col(f"k{s}2")).otherwise(F.col(f"k{s}0"))}
-        cols |= {f"k{s}{g}": F.when(F.col("flipped"), swap[g]).otherwise(F.col(f"k{s}{g}")) for g in (0, 1, 2)}
+    for p in prefixes:
+        for s in SEXES:
+            one = haploid(F.col("ploidy"), s)
+            k = [F.col(f"{p}{s}{g}") for g in (0, 1, 2)]
+            swap = [F.when(one, k[1]).otherwise(k[2]), F.when(one, k[0]).otherwise(k[1]), F.when(one, k[2]).otherwise(k[0])]
+            cols |= {f"{p}{s}{g}": F.when(F.col("flipped"), swap[g]).otherwise(k[g]) for g in (0, 1, 2)}
     return barrier(df.withColumns(cols))
 
 
-def recode(df: DataFrame, model: str) -> DataFrame:
+def recode(df: DataFrame, model: str, prefixes: tuple[str, ...] = ("k",)) -> DataFrame:
     """Counts of flipped variants under a genetic model."""
     if model == "allelic":
         return df
-    cols = {}
-    for s in SEXES:
-        k = [F.col(f"k{s}{g}") for g in (0, 1, 2)]
-        cols |= {f"k{s}0": k[0], f"k{s}1": k[1] + k[2], f"k{s}2": F.lit(0)} if model == "dominant" else {f"k{s}0": k[0] + k[1], f"k{s}1": k[2], f"k{s}2": F.lit(0)}
     if model not in ("dominant", "recessive"):
         raise ValueError(f"no such genetic model: {model}")
+    cols = {}
+    for p in prefixes:
+        for s in SEXES:
+            k = [F.col(f"{p}{s}{g}") for g in (0, 1, 2)]
+            cols |= {f"{p}{s}0": k[0], f"{p}{s}1": k[1] + k[2], f"{p}{s}2": F.lit(0)} if model == "dominant" else {f"{p}{s}0": k[0] + k[1], f"{p}{s}1": k[2], f"{p}{s}2": F.lit(0)}
     return barrier(df.withColumns(cols))
 
 
@@ -232,10 +242,10 @@ def of_model(gt: Column, model: str) -> Column:
     return {"allelic": gt, "dominant": (gt > 0).cast("int"), "recessive": (gt == 2).cast("int")}[model]
 
 
-def baselines(counted: DataFrame, model: str = "allelic", impute: str = "meanImpute") -> DataFrame:
+def baselines(counted: DataFrame, model: str = "allelic", impute: str = "meanImpute", prefixes: tuple[str, ...] = ("k",)) -> DataFrame:
     """``counted`` (flipped, before the model) with b<sex>: the genotype of unstored cells under the model, missing ones imputed; and ``fill``."""
     fill = mean_genotype() if impute == "meanImpute" else F.lit(0.0)
-    out = recode(counted, model).withColumn("fill", fill.cast("double"))
+    out = recode(counted, model, prefixes).withColumn("fill", fill.cast("double"))
     for s in SEXES:
         raw = F.when(haploid(F.col("ploidy"), s), F.least("g0", F.lit(1))).otherwise(F.col("g0"))
         top = F.when(haploid(F.col("ploidy"), s), 1).otherwise(2)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import anno_queries, geno_queries, result_queries, set_queries, test_queries
+from . import anno_queries, geno_queries, result_queries, score_queries, set_queries, test_queries
 
-PARTS = (geno_queries, anno_queries, set_queries, result_queries, test_queries)
+PARTS = (geno_queries, anno_queries, set_queries, result_queries, test_queries, score_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -70,7 +70,7 @@ def varset_chunks(spark, sf_dir):
     return S.chunked(P.variants(spark, sf_dir), 64)
 
 
-def gene_sets(spark):
+def gene_sets(spark, sf_dir=None):
     i = spark.range(100).withColumnRenamed("id", "i")
     k = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")
     return i.select("i", k).where("i % (k + 2) = 0").select(F.concat(F.lit("S"), F.col("k").cast("string")).alias("geneSetName"), F.concat(F.lit("U"), F.col("i").cast("string")).alias("unit"), F.lit(1.0).alias("w"))

@@ -28,15 +28,6 @@ def five(df, *names):
     return df.withColumns({n: F.round(n, 5) + F.lit(0.0) for n in names})
 
 
-LM_SQL = """SELECT unit, round(regr_slope(qpheno, score), 3) + 0.0 AS effect, round(sqrt((regr_syy(qpheno, score) - regr_slope(qpheno, score) * regr_sxy(qpheno, score)) / (count(*) - 2) / regr_sxx(qpheno, score)), 3) + 0.0 AS "effectSE" FROM sc GROUP BY 1"""
-
-
-@query(P.sql() + BURDEN_SQL + LM_SQL)
-def lm_burden(spark, sf_dir):
-    df = A.rvb(P.geno(spark, sf_dir), members(spark, sf_dir), ["qpheno"], ["lm"], continuous=True)
-    return df.select("unit", (F.round("effect", 3) + F.lit(0.0)).alias("effect"), (F.round("effectSE", 3) + F.lit(0.0)).alias("effectSE"))
-
-
 @query(
     P.sql()
     + BURDEN_SQL
@@ -76,13 +67,6 @@ def gene_set_burden(spark, sf_dir):
     return A.gene_set_scores(s, gene_sets(spark)).withColumn("aggregate", F.round(F.col("aggregate") + NUDGE, 5) + F.lit(0.0))
 
 
-@query(P.sql() + BURDEN_SQL + ", " + GENE_SQL + ', a AS (SELECT "geneSetName", IID, any_value(qpheno) AS q, sum(score) AS s FROM gs JOIN sc USING (unit) GROUP BY 1, 2) SELECT "geneSetName", round(regr_slope(q, s), 4) + 0.0 AS effect, round(sqrt((regr_syy(q, s) - regr_slope(q, s) * regr_sxy(q, s)) / (count(*) - 2) / regr_sxx(q, s)), 4) + 0.0 AS "effectSE" FROM a GROUP BY 1')
-def gene_set_burden_lm(spark, sf_dir):
-    g, s = unit_scores(spark, sf_dir)
-    df = A.gene_set_burden(s, gene_sets(spark), g.samples, "qpheno", ["lm"], continuous=True)
-    return df.select("geneSetName", (F.round("effect", 4) + F.lit(0.0)).alias("effect"), (F.round("effectSE", 4) + F.lit(0.0)).alias("effectSE"))
-
-
 @query("SELECT p.i AS perm_id, 200 AS n, 20100::BIGINT AS total FROM range(0, 30) p(i)")
 def build_resampling(spark, sf_dir):
     t = A.resampling_table(spark, 200, 30)
