@@ -18,7 +18,7 @@ def test_normal_tails(spark):
 
 def test_student_tails(spark):
     pairs = [(t, n) for n in (1, 2, 3, 10, 19, 20, 41, 97, 150, 1498, 10**6) for t in (0.0, 0.01, 0.5, -1.96, 3.0, 5.0, -12.0, 40.0)]
-    rows = spark.createDataFrame(pairs, "t double, n long").withColumn("h", F.expr(T.hill_sql("t", "n"))).select("t", "n", T.t_two_sided("t", "n", "h").alias("p"), F.expr(T.t_975_sql("n")).alias("q")).collect()
+    rows = spark.createDataFrame(pairs, "t double, n long").withColumn("h", F.expr(T.hill_sql("t", "n"))).select("t", "n", T.t_two_sided("t", "n", "h").alias("p"), F.expr(T.t_quantile_sql("n")).alias("q")).collect()
     assert len(rows) == len(pairs)
     for r in rows:
         assert r.p == pytest.approx(2 * D.t_sf(abs(r.t), r.n), rel=3e-7 if r.n < 30 else 1e-8, abs=1e-290), (r.t, r.n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Cody's published rational approximations of erf and erfc (relative error about 1e-16), by range of the argument, in his order.
 CODY_A = (3.16112374387056560, 113.864154151050156, 377.485237685302021, 3209.37758913846947, 0.185777706184603153)
@@ -85,13 +85,29 @@ def t_two_sided(t: str, df: str, h: str) -> Column:
     return F.when(y >= n, far).when(n < 20, near).otherwise(F.expr(erfc_sql(h)))
 
 
-#: The normal deviate that 2.5 % exceed.
-Z975 = 1.959963984540054
+def with_t(df: DataFrame, effect: str, se: str, freedom: Column, upper: bool = False) -> DataFrame:
+    """``df`` with P of effect / se, two-sided or (``upper``) of a larger one; null without a positive se."""
+    gone = ["_t", "_df", "_h"]
+    df = barrier(df.withColumns({"_t": F.when(F.col(se) > 0, F.col(effect) / F.col(se)), "_df": freedom}))
+    df = barrier(df.withColumn("_h", F.expr(hill_sql("_t", "_df"))))
+    both = t_two_sided("_t", "_df", "_h")
+    if not upper:
+        return df.withColumn("P", both).drop(*gone)
+    df = barrier(df.withColumn("P", both))
+    return df.withColumn("P", F.when(F.col("_t") > 0, F.col("P") / 2).otherwise(1 - F.col("P") / 2)).drop(*gone)
 
 
-def t_975_sql(df: str) -> str:
-    """The t that 2.5 % exceed, by the Cornish-Fisher series; for checks with 90 degrees of freedom or more."""
-    z = Z975
+def barrier(df: DataFrame) -> DataFrame:
+    """``df`` behind a one-row generator, so that long expressions on its columns aren't inlined into each other."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+#: Normal deviates that 2.5 % and 5 % exceed.
+Z975, Z950 = 1.959963984540054, 1.6448536269514722
+
+
+def t_quantile_sql(df: str, z: float = Z975) -> str:
+    """The t that as much exceeds as exceeds the normal deviate ``z``, by the Cornish-Fisher series; for checks with 90 degrees of freedom or more."""
     terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
     out = _n(z)
     for k, c in enumerate(terms, 1):

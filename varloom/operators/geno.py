@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.functions.expr import chisq1_tail_sql
+from varloom.functions.tails import barrier
 
 SEXES = (0, 1, 2)
 
@@ -37,11 +38,6 @@ def reset(gt: Column, ploidy: Column, sex: Column) -> Column:
     return out.cast("int")
 
 
-def barrier(df: DataFrame) -> DataFrame:
-    """``df`` behind a one-row generator, through which the optimiser doesn't inline expressions: counts refer to counts many times over."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 @dataclass(frozen=True)
 class Geno:
     """variants (VAR_id, ploidy, g0, ...), samples (IID, sex, ...), stored (VAR_id, IID, gt)."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from varloom.functions.dist import t_quantile_sf
 from varloom.functions.expr import norm_tail_sql, qnorm_sql
+from varloom.functions.tails import with_t
 
 
 def prepare(stats: DataFrame, covar: list[str] = (), int_ranks: bool = False, cutoffs: tuple[float, float] | None = None) -> DataFrame:
@@ -53,8 +55,6 @@ def competitive_lm(stats: DataFrame, sets: DataFrame, covar: list[str] = (), one
     """
     import numpy as np
 
-    from varloom.functions.dist import t_interval_udf, t_tail_udf
-
     names, got, n = _totals(stats, list(covar))
     x = names[:-1]
     k = len(x)
@@ -68,11 +68,15 @@ def competitive_lm(stats: DataFrame, sets: DataFrame, covar: list[str] = (), one
     per = per.withColumn("ss", F.col("genesObs") - fitted).withColumn("sy", F.col("sz") - dot(inv @ xz)).where("ss > 1e-9")
     per = per.withColumn("effect", F.col("sy") / F.col("ss"))
     per = per.withColumn("effectSE", F.sqrt((F.lit(float(syy)) - F.col("effect") * F.col("effect") * F.col("ss")) / (n - k - 2) / F.col("ss")))
-    t = F.col("effect") / F.col("effectSE")
-    df = F.lit(float(n - k - 1))
-    p = t_tail_udf(t, df) if one_sided else 2 * t_tail_udf(F.abs(t), df)
-    half = t_interval_udf(df, F.lit(0.05 if one_sided else 0.025)) * F.col("effectSE")
-    return per.select("geneSetName", "geneSetSize", "genesObs", "effect", "effectSE", (F.col("effect") - half).alias("effectCIlower"), (F.lit(float("inf")) if one_sided else F.col("effect") + half).alias("effectCIupper"), p.alias("P"))
+    return _intervals(per, n - k - 1, one_sided).select("geneSetName", "geneSetSize", "genesObs", "effect", "effectSE", "effectCIlower", "effectCIupper", "P")
+
+
+def _intervals(per: DataFrame, freedom: int, one_sided: bool = True) -> DataFrame:
+    """``per`` (effect, effectSE) with P and the interval of a t of so many degrees of freedom; one-sided tests look for larger effects, to infinity."""
+    freedom = max(freedom, 1)
+    half = float(t_quantile_sf(0.05 if one_sided else 0.025, freedom)) * F.col("effectSE")
+    out = with_t(per, "effect", "effectSE", F.lit(freedom), one_sided)
+    return out.withColumns({"effectCIlower": F.col("effect") - half, "effectCIupper": F.lit(float("inf")) if one_sided else F.col("effect") + half})
 
 
 def z_test(stats: DataFrame, sets: DataFrame) -> DataFrame:
@@ -83,11 +87,10 @@ def z_test(stats: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def t_test(stats: DataFrame, sets: DataFrame) -> DataFrame:
-    from varloom.functions.dist import t_tail_udf
-
+    """Self-contained: mean Z over its standard error; upper tail. Sets of one unit have none."""
     per = sets.join(stats.select("unit", "Z"), "unit").groupBy("geneSetName").agg(F.avg("Z").alias("effect"), F.stddev_samp("Z").alias("sd"), F.count("*").alias("genesObs")).where("genesObs > 1")
     per = per.withColumn("effectSE", F.col("sd") / F.sqrt("genesObs"))
-    return per.select("geneSetName", "genesObs", "effect", "effectSE", t_tail_udf(F.col("effect") / F.col("effectSE"), (F.col("genesObs") - 1).cast("double")).alias("P"))
+    return with_t(per, "effect", "effectSE", F.col("genesObs") - 1, upper=True).select("geneSetName", "genesObs", "effect", "effectSE", "P")
 
 
 def fisher_counts(stats: DataFrame, sets: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
@@ -110,8 +113,8 @@ def fisher(stats: DataFrame, sets: DataFrame, thresholds: list[float] | None = N
     return got.withColumn("f", fisher_udf("sig_in", "sig_out", "rest_in", "rest_out")).select("geneSetName", "threshold", (F.col("sig_in") + F.col("rest_in")).alias("genesObs"), F.col("f.odds").alias("effect"), F.col("f.p").alias("P"))
 
 
-def conditional(stats: DataFrame, sets: DataFrame, condition: DataFrame) -> DataFrame:
-    """Effect of each set given each condition set, by ordinary least squares of Z on [1, condition, set]; pairs of equal membership are skipped."""
+def conditional(stats: DataFrame, sets: DataFrame, condition: DataFrame, one_sided: bool = True) -> DataFrame:
+    """Effect of each set given each condition set, by ordinary least squares of Z on [1, condition, set], with P and interval; pairs of equal membership are skipped."""
     names, got, n = _totals(stats, [])
     z = stats.select("unit", "Z")
     own = sets.select("geneSetName", "unit").join(z, "unit")
@@ -128,11 +131,12 @@ def conditional(stats: DataFrame, sets: DataFrame, condition: DataFrame) -> Data
     y = sy - sc * cy / cc
     syy = F.lit(zz - s * s / n) - cy * cy / cc
     out = pairs.where("mc < " + str(n) + " and mc > 0").withColumn("ss", ss).where("ss > 1e-9").withColumn("effect", y / F.col("ss"))
-    return out.select("geneSetName", "condition", F.col("m").alias("genesObs"), "effect", F.sqrt((syy - F.col("effect") * F.col("effect") * F.col("ss")) / (n - 4) / F.col("ss")).alias("effectSE"))
+    out = out.withColumn("effectSE", F.sqrt((syy - F.col("effect") * F.col("effect") * F.col("ss")) / (n - 4) / F.col("ss")))
+    return _intervals(out, n - 3, one_sided).select("geneSetName", "condition", F.col("m").alias("genesObs"), "effect", "effectSE", "effectCIlower", "effectCIupper", "P")
 
 
-def score_lm(stats: DataFrame, scores: DataFrame, limit: float | None = 3.0) -> DataFrame:
-    """Regression of Z on each column of a long score table (unit, column, score), winsorised to ``limit`` deviations from its mean."""
+def score_lm(stats: DataFrame, scores: DataFrame, limit: float | None = 3.0, one_sided: bool = True) -> DataFrame:
+    """Regression of Z on each column of a long score table (unit, column, score), winsorised to ``limit`` deviations from its mean, with P."""
     got = scores.join(stats.select("unit", "Z"), "unit")
     if limit:
         ends = got.groupBy("column").agg(F.avg("score").alias("mu"), F.stddev_samp("score").alias("sd"))
@@ -141,7 +145,8 @@ def score_lm(stats: DataFrame, scores: DataFrame, limit: float | None = 3.0) ->
     n = F.col("n")
     ss, sy, yy = F.col("xx") - F.col("sx") * F.col("sx") / n, F.col("xz") - F.col("sx") * F.col("sz") / n, F.col("zz") - F.col("sz") * F.col("sz") / n
     s = s.withColumn("ss", ss).where("ss > 0").withColumn("effect", sy / F.col("ss"))
-    return s.select("column", "n", "effect", F.sqrt((yy - F.col("effect") * F.col("effect") * F.col("ss")) / (n - 3) / F.col("ss")).alias("effectSE"))
+    s = s.withColumn("effectSE", F.when(n > 3, F.sqrt((yy - F.col("effect") * F.col("effect") * F.col("ss")) / (n - 3) / F.col("ss"))))
+    return with_t(s, "effect", "effectSE", F.greatest(n - 2, F.lit(1)), one_sided).select("column", "n", "effect", "effectSE", "P")
 
 
 def block_correlations(scores: DataFrame, blocks: DataFrame, n_samples: int, absolute: bool = True, min_r2: float = 1e-4) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varloom.functions import dist
-from varloom.functions.tails import hill_sql, norm_two_sided_sql, t_two_sided
+from varloom.functions.tails import norm_two_sided_sql, with_t
 
 from . import geno as G
 from .sets import union
@@ -230,10 +230,9 @@ def _tested(df: DataFrame, model: NullModel, able: Column, subtract: int | None
     residual = F.greatest(F.lit(model.rss) - F.col("U") * F.col("U") / F.col("D"), F.lit(0.0)) / max(left, 1)
     able = able & F.lit(left >= 1)
     df = G.barrier(df.withColumns({"effect": F.when(able, coefficient), "effectSE": F.when(able, F.sqrt(variance * residual))}))
-    df = G.barrier(df.withColumns({"_t": F.when(F.col("effectSE") > 0, F.col("effect") / F.col("effectSE")), "_df": F.lit(max(left, 1))}))
     reach = float(dist.t_quantile_sf(0.025, max(left, 1)))
-    found = {"effectCIlower": F.col("effect") - reach * F.col("effectSE"), "effectCIupper": F.col("effect") + reach * F.col("effectSE"), "OR": F.lit(None).cast("double"), "P": t_two_sided("_t", "_df", "_h")}
-    return G.barrier(df.withColumn("_h", F.expr(hill_sql("_t", "_df")))).withColumns(found).drop("_t", "_df", "_h")
+    df = with_t(df, "effect", "effectSE", F.lit(max(left, 1)))
+    return df.withColumns({"effectCIlower": F.col("effect") - reach * F.col("effectSE"), "effectCIupper": F.col("effect") + reach * F.col("effectSE"), "OR": F.lit(None).cast("double")})
 
 
 def _at(column: str, sex: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.functions.tails import erfc_sql, hill_sql, norm_two_sided_sql, t_975_sql
+from varloom.functions.tails import erfc_sql, hill_sql, norm_two_sided_sql, t_quantile_sql
 from varloom.operators import geno as G
 from varloom.operators import score as S
 
@@ -114,7 +114,7 @@ def sv_scores_dominant(spark, sf_dir):
     + score_sql()
     + f""", w AS (SELECT sum(r * r) AS rss, count(*) - 3 AS df FROM fit), e AS (SELECT VAR_id, mac, n, CASE WHEN mac >= 2 AND d > 1e-9 * a THEN u / d END AS effect, sqrt((rss - u * u / d) / df / d) AS se, df FROM st, w),
 t0 AS (SELECT *, effect / se AS t FROM e), t AS (SELECT *, {hill_sql('t', 'df')} AS h FROM t0)
-SELECT VAR_id, mac AS "caseMAC", n AS "caseN", round(effect, 4) + 0.0 AS effect, round(CASE WHEN effect IS NOT NULL THEN se END, 4) + 0.0 AS "effectSE", round(effect - {t_975_sql('df')} * se, 4) + 0.0 AS "effectCIlower", round(effect + {t_975_sql('df')} * se, 4) + 0.0 AS "effectCIupper", round({erfc_sql('h')}, 7) + 0.0 AS "P" FROM t"""
+SELECT VAR_id, mac AS "caseMAC", n AS "caseN", round(effect, 4) + 0.0 AS effect, round(CASE WHEN effect IS NOT NULL THEN se END, 4) + 0.0 AS "effectSE", round(effect - {t_quantile_sql('df')} * se, 4) + 0.0 AS "effectCIlower", round(effect + {t_quantile_sql('df')} * se, 4) + 0.0 AS "effectCIupper", round({erfc_sql('h')}, 7) + 0.0 AS "P" FROM t"""
 )
 def sv_lm(spark, sf_dir):
     g = P.geno(spark, sf_dir, "rare")
@@ -134,7 +134,7 @@ lmt AS (SELECT *, effect / se AS t FROM lm0){result_sql(key, cut)}"""
 def result_sql(key: str, cut: int) -> str:
     """The result of ``lmt`` (effect, se, t, df)."""
     return f""", lm AS (SELECT *, {hill_sql('t', 'df')} AS h FROM lmt)
-SELECT {key}, round(effect, {cut}) + 0.0 AS effect, round(se, {cut}) + 0.0 AS "effectSE", round(effect - {t_975_sql('df')} * se, {cut}) + 0.0 AS "effectCIlower", round(effect + {t_975_sql('df')} * se, {cut}) + 0.0 AS "effectCIupper", round({erfc_sql('h')}, 7) + 0.0 AS "P" FROM lm"""
+SELECT {key}, round(effect, {cut}) + 0.0 AS effect, round(se, {cut}) + 0.0 AS "effectSE", round(effect - {t_quantile_sql('df')} * se, {cut}) + 0.0 AS "effectCIlower", round(effect + {t_quantile_sql('df')} * se, {cut}) + 0.0 AS "effectCIupper", round({erfc_sql('h')}, 7) + 0.0 AS "P" FROM lm"""
 
 
 @query(P.sql() + BURDEN_SQL + ", qs AS (SELECT unit, qpheno AS q, score AS s FROM sc)" + lm_sql("unit", "qs"))

@@ -70,46 +70,54 @@ def varset_chunks(spark, sf_dir):
     return S.chunked(P.variants(spark, sf_dir), 64)
 
 
-def gene_sets(spark, sf_dir=None):
-    i = spark.range(100).withColumnRenamed("id", "i")
-    k = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")
-    return i.select("i", k).where("i % (k + 2) = 0").select(F.concat(F.lit("S"), F.col("k").cast("string")).alias("geneSetName"), F.concat(F.lit("U"), F.col("i").cast("string")).alias("unit"), F.lit(1.0).alias("w"))
+#: Units of 20 parts each, so there are more with more parts; a set for every last digit of small sizes.
+UNIT = "floor(p_partkey / 20)"
 
 
-GENE_SQL = "gs AS (SELECT 'S' || cast(k AS VARCHAR) AS \"geneSetName\", 'U' || cast(i AS VARCHAR) AS unit, i, 1.0::DOUBLE AS w FROM range(0, 100) a(i), range(0, 10) b(k) WHERE i % (k + 2) = 0)\n"
+def units(spark, sf_dir):
+    """unit, i of all parts."""
+    i = P.table(spark, sf_dir, "part").select(F.expr(UNIT).cast("long").alias("i")).distinct()
+    return i.select(F.concat(F.lit("U"), F.col("i").cast("string")).alias("unit"), "i")
+
+
+def gene_sets(spark, sf_dir):
+    p = P.table(spark, sf_dir, "part").where("p_size <= 10")
+    name, i = F.concat(F.lit("S"), (F.col("p_size") % 10).cast("string")), F.expr(UNIT).cast("long").cast("string")
+    return p.select(name.alias("geneSetName"), F.concat(F.lit("U"), i).alias("unit"), F.lit(1.0).alias("w")).distinct()
+
+
+GENE_SQL = "gs AS (SELECT DISTINCT 'S' || cast(p_size % 10 AS VARCHAR) AS \"geneSetName\", 'U' || cast(p_partkey // 20 AS VARCHAR) AS unit, p_partkey // 20 AS i, 1.0::DOUBLE AS w FROM part WHERE p_size <= 10)\n"
 
 
 @query("WITH " + GENE_SQL + "SELECT \"geneSetName\", unit FROM gs WHERE i % 3 <> 0")
 def drop_units(spark, sf_dir):
-    i = F.substring("unit", 2, 9).cast("int")
-    g = gene_sets(spark)
-    return S.drop_units(g, g.where(i % 3 == 0)).select("geneSetName", "unit")
+    return S.drop_units(gene_sets(spark, sf_dir), units(spark, sf_dir).where("i % 3 = 0")).select("geneSetName", "unit")
 
 
-@query("WITH " + GENE_SQL + "SELECT \"geneSetName\", unit FROM gs WHERE \"geneSetName\" IN (SELECT \"geneSetName\" FROM gs WHERE unit IN ('U35', 'U22'))")
+@query("WITH " + GENE_SQL + "SELECT \"geneSetName\", unit FROM gs WHERE \"geneSetName\" IN (SELECT \"geneSetName\" FROM gs WHERE i % 40 = 7)")
 def get_gene_set(spark, sf_dir):
-    return S.sets_with(gene_sets(spark), units=spark.createDataFrame([("U35",), ("U22",)], "unit string")).select("geneSetName", "unit")
+    return S.sets_with(gene_sets(spark, sf_dir), units=units(spark, sf_dir).where("i % 40 = 7")).select("geneSetName", "unit")
 
 
 @query("WITH " + GENE_SQL + "SELECT DISTINCT \"geneSetName\", 'N' || cast(i // 2 + d AS VARCHAR) AS unit FROM gs, (SELECT unnest([0, 1]) AS d) WHERE i % 5 <> 0")
 def remap_ids_keep_all(spark, sf_dir):
-    return S.remap_ids(gene_sets(spark), dictionary(spark)).select("geneSetName", "unit")
+    return S.remap_ids(gene_sets(spark, sf_dir), dictionary(spark, sf_dir)).select("geneSetName", "unit")
 
 
 @query("WITH " + GENE_SQL + "SELECT DISTINCT \"geneSetName\", 'N' || CASE WHEN (i // 2 + 1) % 2 = 0 THEN cast(i // 2 + 1 AS VARCHAR) WHEN (i // 2) % 2 = 0 THEN cast(i // 2 AS VARCHAR) END AS unit FROM gs WHERE i % 5 <> 0")
 def remap_ids_keep_first(spark, sf_dir):
-    even = spark.range(0, 101, 2).select(F.concat(F.lit("N"), F.col("id").cast("string")).alias("unit"))
-    return S.remap_ids(gene_sets(spark), dictionary(spark), "keep_first", even).select("geneSetName", "unit")
+    even = units(spark, sf_dir).where("i % 2 = 0").select(F.concat(F.lit("N"), F.col("i").cast("string")).alias("unit"))
+    return S.remap_ids(gene_sets(spark, sf_dir), dictionary(spark, sf_dir), "keep_first", even).select("geneSetName", "unit")
 
 
-def dictionary(spark):
-    i = spark.range(100).where("id % 5 <> 0").select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
-    return i.select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("unit"), F.concat(F.lit("N"), (F.floor(F.col("id") / 2) + F.col("d")).cast("string")).alias("new_unit"))
+def dictionary(spark, sf_dir):
+    i = units(spark, sf_dir).where("i % 5 <> 0").select("unit", "i", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
+    return i.select("unit", F.concat(F.lit("N"), (F.floor(F.col("i") / 2) + F.col("d")).cast("string")).alias("new_unit"))
 
 
-@query("WITH " + GENE_SQL + "SELECT \"geneSetName\", unit FROM gs WHERE i < 50")
+@query("WITH " + GENE_SQL + "SELECT \"geneSetName\", unit FROM gs WHERE i % 2 = 0")
 def map_to_matrix(spark, sf_dir):
-    return S.incidence(gene_sets(spark), spark.range(50).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("unit"))).select("geneSetName", "unit")
+    return S.incidence(gene_sets(spark, sf_dir), units(spark, sf_dir).where("i % 2 = 0")).select("geneSetName", "unit")
 
 
 @query(VAR_SQL + "SELECT unit, count(*) AS n FROM var GROUP BY 1")

@@ -64,12 +64,12 @@ def rvb_resampled(spark, sf_dir):
 @query(P.sql() + BURDEN_SQL + ", " + GENE_SQL + 'SELECT "geneSetName", IID, round(sum(score) + 1.3e-8, 5) + 0.0 AS aggregate, count(DISTINCT unit) AS "genesObs" FROM gs JOIN sc USING (unit) GROUP BY 1, 2')
 def gene_set_burden(spark, sf_dir):
     _, s = unit_scores(spark, sf_dir)
-    return A.gene_set_scores(s, gene_sets(spark)).withColumn("aggregate", F.round(F.col("aggregate") + NUDGE, 5) + F.lit(0.0))
+    return A.gene_set_scores(s, gene_sets(spark, sf_dir)).withColumn("aggregate", F.round(F.col("aggregate") + NUDGE, 5) + F.lit(0.0))
 
 
-@query("SELECT p.i AS perm_id, 200 AS n, 20100::BIGINT AS total FROM range(0, 30) p(i)")
+@query("SELECT p.i AS perm_id, (SELECT count(*) FROM customer)::INT AS n, (SELECT count(*) * (count(*) + 1) // 2 FROM customer)::BIGINT AS total FROM range(0, 30) p(i)")
 def build_resampling(spark, sf_dir):
-    t = A.resampling_table(spark, 200, 30)
+    t = A.resampling_table(spark, P.samples(spark, sf_dir, "rare").count(), 30)
     return t.groupBy("perm_id").agg(F.count_distinct("position").cast("int").alias("n"), F.sum("sample").alias("total"))
 
 
