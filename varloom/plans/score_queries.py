@@ -9,7 +9,7 @@ from varloom.operators import geno as G
 from varloom.operators import score as S
 
 from . import projection as P
-from .geno_queries import BURDEN_SQL, members
+from .geno_queries import BURDEN_SQL, NUDGE, members
 from .set_queries import GENE_SQL, gene_sets
 
 QUERIES: dict[str, tuple] = {}
@@ -187,3 +187,62 @@ def gene_set_burden_subtract(spark, sf_dir):
     model = S.fit_null(own.withColumn("load", at + F.coalesce("d", F.lit(0.0))), "qpheno", ["load"])
     df = S.score_gene_sets(per, dev, gene_sets(spark, sf_dir), model, subtract="load")
     return places(places(df.select("geneSetName", *FULL, "P"), 4, *FULL), 7, "P")
+
+
+def stores(spark, sf_dir):
+    """Two aggregate stores, of the units before and after U50."""
+    from varloom.operators.aggstore import AggStore
+
+    g, m = P.geno(spark, sf_dir), members(spark, sf_dir)
+    low = F.substring("unit", 2, 9).cast("int") < 50
+    return [AggStore.create(g, m.where(part), {"id": "study", "genomeBuild": "synthetic"}, impute="meanImpute") for part in (low, ~low)]
+
+
+@query(P.sql() + BURDEN_SQL + "SELECT unit, IID, round(score + 1.3e-8, 6) + 0.0 AS score FROM sc WHERE unit IN ('U7', 'U48', 'U63')")
+def get_unit(spark, sf_dir):
+    from varloom.operators import aggstore
+
+    return aggstore.merge(stores(spark, sf_dir)).get_unit(["U7", "U48", "U63"], digits=None).withColumn("score", F.round(F.col("score") + NUDGE, 6) + F.lit(0.0))
+
+
+@query(P.sql() + BURDEN_SQL + "SELECT IID, round(sum(score) + 1.3e-8, 5) + 0.0 AS aggregate FROM sc GROUP BY IID")
+def collapse_stores(spark, sf_dir):
+    from varloom.operators import aggstore
+
+    return aggstore.collapse(stores(spark, sf_dir)).withColumn("aggregate", F.round(F.col("aggregate") + NUDGE, 5) + F.lit(0.0))
+
+
+def shifts(samples, times: int):
+    """Permutations that move all samples on by 7 k + 1 places."""
+    from varloom.operators.store import number_rows
+
+    n = samples.count()
+    at = number_rows(samples.select("IID"), ["IID"], "position").select("position", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("perm_id"))
+    return at.select("perm_id", "position", ((F.col("position") + 7 * F.col("perm_id")) % n + 1).alias("sample"))
+
+
+PERMUTED_SQL = (
+    P.sql()
+    + BURDEN_SQL
+    + """, re AS (SELECT IID, qpheno - avg(qpheno) OVER () AS r, row_number() OVER (ORDER BY IID) AS pos, count(*) OVER () AS n FROM samples),
+ob AS (SELECT unit, sum(score * r) AS u FROM sc JOIN re USING (IID) GROUP BY 1),
+pe AS (SELECT unit, k AS perm_id, sum(score * b.r) AS u FROM sc JOIN re a USING (IID), range(0, 40) p(k) JOIN re b ON b.pos = (a.pos + 7 * p.k) % a.n + 1 GROUP BY 1, 2)
+"""
+)
+
+
+@query(PERMUTED_SQL + 'SELECT ob.unit, 40 AS "nResampling", round(any_value(ob.u), 4) + 0.0 AS "U", round((count(*) FILTER (WHERE abs(pe.u) > abs(ob.u) * (1 + 1e-9)) + 1) / 41.0::DOUBLE, 8) + 0.0 AS "P" FROM ob JOIN pe USING (unit) GROUP BY ob.unit')
+def permutation_tests(spark, sf_dir):
+    from varloom.operators import resample
+
+    g, per, dev = sparse_scores(spark, sf_dir)
+    df = resample.permutation_tests(per, dev, S.fit_null(g.samples, "qpheno"), shifts(g.samples, 40))
+    return places(places(df, 4, "U"), 8, "P")
+
+
+@query(PERMUTED_SQL + 'SELECT unit, perm_id, round(u, 4) + 0.0 AS "U" FROM pe')
+def permutation_results(spark, sf_dir):
+    from varloom.operators import resample
+
+    g, per, dev = sparse_scores(spark, sf_dir)
+    return places(resample.permutation_results(per, dev, S.fit_null(g.samples, "qpheno"), shifts(g.samples, 40)), 4, "U")
