@@ -87,3 +87,33 @@ def test_cli_builds_and_summarises(spark, tmp_path, monkeypatch):
     assert spark.read.text(str(tmp_path / "vcf/records")).first().value.endswith("0/1\t0/0")
     with pytest.raises(SystemExit):
         cli.run(["no-such-command"])
+
+
+def test_cli_tests_burdens_natively(spark, tmp_path, monkeypatch):
+    """Aggregate, merge, gene sets, units, single variants and a resampling file through the command line."""
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    at = lambda n: str(tmp_path / n)
+    gt = lambda v, i: ("0/1", "1/1", "0/0", "0/0", "./.")[(v * 7 + i * i + i * v) % 5]
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"s{i:02d}" for i in range(30))
+    rows = [f"1\t{5 + v}\t.\tA\tG\t.\t.\t.\tGT\t" + "\t".join(gt(v, i) for i in range(30)) for v in range(6)]
+    (tmp_path / "a.vcf").write_text("\n".join([head, *rows]) + "\n")
+    (tmp_path / "c.tsv").write_text("IID\tsex\tq\tage\n" + "".join(f"s{i:02d}\t{1 + i % 2}\t{(i * 37 % 11) / 3}\t{i % 7}\n" for i in range(30)))
+    (tmp_path / "v.txt").write_text("u1|1,2,3|1,1,1|all\nu2|4,5,6|1,2,1|all\n")
+    (tmp_path / "w.txt").write_text("u3|2,5|1,1|all\n")
+    (tmp_path / "g.txt").write_text("set|u1,u3|1,1|\n")
+    cli.run(["build-gdb", "--vcf", at("a.vcf"), "--output", at("s0")])
+    cli.run(["upload-cohort", "--gdb", at("s0"), "--name", "pheno", "--value", at("c.tsv"), "--output", at("s")])
+    gdb = ["--gdb", at("s"), "--cohort", "pheno"]
+    for sets, out in (("v.txt", "a1"), ("w.txt", "a2")):
+        cli.run(["aggregate", *gdb, "--varset", at(sets), "--output", at(out)])
+    cli.run(["merge-aggs", "--targets", at("a1"), at("a2"), "--output", at("agg")])
+    test = ["--pheno", "q", "--test", "lm", "--continuous", "--covar", "age"]
+    cli.run(["assoc-aggs", *gdb, "--aggdb", at("agg"), "--geneset", at("g.txt"), "--output", at("o1"), *test])
+    cli.run(["assoc", *gdb, "--varset", at("v.txt"), "--output", at("o2"), *test, "--offset", "age"])
+    cli.run(["assoc", *gdb, "--singlevar", "--output", at("o3"), *test])
+    cli.run(["build-resampling", "--n", "30", "--resampling", "20", "--output", at("perm")])
+    cli.run(["assoc", *gdb, "--varset", at("v.txt"), "--output", at("o4"), *test, "--resampling-file", at("perm")])
+    read = lambda n: spark.read.option("sep", "\t").option("header", True).csv(at(n))
+    assert [(r.geneSetName, r.genesObs) for r in read("o1").collect()] == [("set", "2")]
+    assert sorted(r.unit for r in read("o2").where("P is not null").collect()) == ["u1", "u2"] and read("o3").count() == 6
+    assert all(0 < float(r.P) <= 1 and r.test == "lm_resampled" for r in read("o4").collect()) and read("o4").count() == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Cody's published rational approximations of erf and erfc (relative error about 1e-16), by range of the argument, in his order.
@@ -85,6 +87,28 @@ def t_two_sided(t: str, df: str, h: str) -> Column:
     return F.when(y >= n, far).when(n < 20, near).otherwise(F.expr(erfc_sql(h)))
 
 
+def lgamma(x: Column) -> Column:
+    """ln Gamma of a number of 1 or more: eight steps of recursion, then Stirling's series."""
+    x = x.cast("double")
+    z = x + 8
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7)) + 1 / (1188 * F.pow(z, 9))
+    steps = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (z - 0.5) * F.log(z) - z + math.log(2 * math.pi) / 2 + series - steps
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+
+def hypergeometric_upper(a: Column, drawn: Column, marked: Column, n: Column) -> Column:
+    """P that at least ``a`` of ``drawn`` of n are marked, where ``marked`` are; terms are added one by one."""
+    last = F.least(drawn, marked)
+    none = log_choose(n, drawn)
+    term = lambda k: F.exp(log_choose(marked, k) + log_choose(n - marked, drawn - k) - none)
+    first = F.greatest(a, drawn + marked - n, F.lit(0))
+    return F.when(a <= F.greatest(drawn + marked - n, F.lit(0)), 1.0).when(first > last, 0.0).otherwise(F.aggregate(F.sequence(first, last), F.lit(0.0), lambda acc, k: acc + term(k)))
+
+
 def with_t(df: DataFrame, effect: str, se: str, freedom: Column, upper: bool = False) -> DataFrame:
     """``df`` with P of effect / se, two-sided or (``upper``) of a larger one; null without a positive se."""
     gone = ["_t", "_df", "_h"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from varloom.functions.dist import t_quantile_sf
 from varloom.functions.expr import norm_tail_sql, qnorm_sql
-from varloom.functions.tails import with_t
+from varloom.functions.tails import hypergeometric_upper, with_t
 
 
 def prepare(stats: DataFrame, covar: list[str] = (), int_ranks: bool = False, cutoffs: tuple[float, float] | None = None) -> DataFrame:
@@ -113,6 +113,13 @@ def fisher(stats: DataFrame, sets: DataFrame, thresholds: list[float] | None = N
     return got.withColumn("f", fisher_udf("sig_in", "sig_out", "rest_in", "rest_out")).select("geneSetName", "threshold", (F.col("sig_in") + F.col("rest_in")).alias("genesObs"), F.col("f.odds").alias("effect"), F.col("f.p").alias("P"))
 
 
+def fisher_p(counts: DataFrame) -> DataFrame:
+    """``fisher_counts`` with the upper-tail P of the table, without Python workers."""
+    c = {k: F.col(k).cast("long") for k in ("sig_in", "sig_out", "rest_in", "rest_out")}
+    n = c["sig_in"] + c["sig_out"] + c["rest_in"] + c["rest_out"]
+    return counts.withColumn("P", hypergeometric_upper(c["sig_in"], c["sig_in"] + c["rest_in"], c["sig_in"] + c["sig_out"], n))
+
+
 def conditional(stats: DataFrame, sets: DataFrame, condition: DataFrame, one_sided: bool = True) -> DataFrame:
     """Effect of each set given each condition set, by ordinary least squares of Z on [1, condition, set], with P and interval; pairs of equal membership are skipped."""
     names, got, n = _totals(stats, [])
@@ -171,47 +178,6 @@ def block_correlations(scores: DataFrame, blocks: DataFrame, n_samples: int, abs
     return pairs.select("block", "unit_a", "unit_b", F.when(F.abs("r") < min_r2**0.5, 0.0).otherwise(F.col("r")).alias("r"))
 
 
-MAX_UNITS = 30_000
-
-
-def mixed(stats: DataFrame, sets: DataFrame, correlations: DataFrame, covar: list[str] = (), make_pd: bool = True) -> DataFrame:
-    """Competitive test given correlated units: score test of membership in a mixed model of Z, always two-sided.
-
-    The null model is fitted once, on the driver, from one row for each unit and their correlations (up to ``MAX_UNITS`` units,
-    as the model needs the inverse of their covariance); sets are tested in parallel.
-    """
-    import numpy as np
-    import pandas as pd
-
-    from varloom.functions import models as M
-
-    rows = stats.select("unit", "Z", *covar).limit(MAX_UNITS + 1).toPandas().sort_values("unit", ignore_index=True)
-    if len(rows) > MAX_UNITS:
-        raise ValueError(f"mixed models take up to {MAX_UNITS} units")
-    place = {u: i for i, u in enumerate(rows["unit"])}
-    units = stats.select("unit")
-    pairs = correlations.join(units.withColumnRenamed("unit", "unit_a"), "unit_a", "left_semi").join(units.withColumnRenamed("unit", "unit_b"), "unit_b", "left_semi").where("r <> 0").select("block", "unit_a", "unit_b", "r").toPandas()
-    r = np.eye(len(rows))
-    for _, block in pairs.groupby("block"):
-        i, j = block["unit_a"].map(place).to_numpy(), block["unit_b"].map(place).to_numpy()
-        r[i, j] = r[j, i] = block["r"]
-        own = np.unique(np.concatenate([i, j]))
-        if make_pd:
-            r[np.ix_(own, own)] = near_pd(r[np.ix_(own, own)])
-    x = np.column_stack([np.ones(len(rows)), *(rows[c].to_numpy(float) for c in covar)])
-    shared = stats.sparkSession.sparkContext.broadcast((M.mixed_null(rows["Z"].to_numpy(float), x, r), place))
-    keys = ("effect", "effectSE", "effectCIlower", "effectCIupper", "P")
-
-    def test(key, frame: pd.DataFrame) -> pd.DataFrame:
-        null, at = shared.value
-        s = np.zeros(len(at))
-        s[[at[u] for u in frame["unit"] if u in at]] = 1.0
-        got = M.mixed_score(null, s)
-        return pd.DataFrame([(key[0], len(frame), *(None if np.isnan(got[k]) else float(got[k]) for k in keys))], columns=["geneSetName", "genesObs", *keys])
-
-    return sets.select("geneSetName", "unit").groupBy("geneSetName").applyInPandas(test, "geneSetName string, genesObs int, " + ", ".join(f"{k} double" for k in keys))
-
-
 def near_pd(r):
     """The nearest correlation matrix (alternating projections of Higham, 2002). numpy in, numpy out: one block at a time."""
     import numpy as np

@@ -19,6 +19,28 @@ LENGTHS_38 = (248956422, 242193529, 198295559, 190214555, 181538259, 170805979,
 LENGTHS = {"hg19": LENGTHS_37, "GRCh37": LENGTHS_37, "hg38": LENGTHS_38, "GRCh38": LENGTHS_38}
 
 
+#: Columns of results that hold text, and whole numbers; all others hold numbers.
+TEXT = {"unit", "cohort", "varSetName", "name", "pheno", "covar", "geneticModel", "MAFweight", "test", "effectAllele", "otherAllele", "geneSetName"}
+WHOLE = {"VAR_id", "nvar", "caseCarriers", "ctrlCarriers", "caseN", "ctrlN", "geneSetSize", "genesObs"}
+
+
+def column_type(name: str) -> str:
+    return "string" if name in TEXT else "long" if name in WHOLE else "double"
+
+
+def as_result(df: DataFrame, kind: str | None = None, **values: str) -> DataFrame:
+    """``df`` as a result: the columns of its kind first and in order, with their types, then all others.
+
+    The kind is that of its key (unit, VAR_id or geneSetName) unless it is named. Columns that it lacks are null, or have the given values.
+    """
+    keys = {"geneSetName": "gsaResult", "VAR_id": "singlevarResult", "unit": "rvbResult"}
+    kind = kind or next((k for c, k in keys.items() if c in df.columns), None)
+    if kind not in KINDS:
+        raise ValueError(f"no kind of result has these columns: {df.columns}")
+    first = [(F.lit(values[c]) if c in values else F.col(c) if c in df.columns else F.lit(None)).cast(column_type(c)).alias(c) for c in KINDS[kind]]
+    return df.select(*first, *(F.col(c) for c in df.columns if c not in KINDS[kind]))
+
+
 def kind_of(columns: list[str]) -> str:
     """The kind of result that has these columns."""
     found = [k for k, c in KINDS.items() if set(c) <= set(columns)]

@@ -239,16 +239,37 @@ def _at(column: str, sex: Column) -> Column:
     return F.when(sex == 1, F.col(f"{column}1")).when(sex == 2, F.col(f"{column}2")).otherwise(F.col(f"{column}0"))
 
 
-def class_sums(geno: G.Geno, model: NullModel) -> DataFrame:
+def cell_sums(geno: G.Geno, models: list[NullModel]) -> DataFrame:
+    """VAR_id, sex, gt, and for model t the sums n<t>, y<t>, r<t> and v<t>_<j> (v times term j) of the stored cells of its samples.
+
+    Models of other phenotypes and covariates have other samples: a sample carries its part in each model, or null where it is left
+    out, so the genotypes are read once for all models.
+    """
+    part = F.struct("y", "r", "v", "x")
+    if len(models) == 1:
+        own = models[0].samples.select("IID", "sex", part.alias("m0"))
+    else:
+        rows = union([m.samples.select("IID", "sex", F.lit(t).alias("t"), part.alias("m")) for t, m in enumerate(models)])
+        own = rows.groupBy("IID", "sex").agg(*(F.first(F.when(F.col("t") == t, F.col("m")), ignorenulls=True).alias(f"m{t}") for t in range(len(models))))
+    sums = []
+    for t, m in enumerate(models):
+        at = lambda f, t=t: F.col(f"m{t}.{f}")
+        sums += [F.count(f"m{t}").alias(f"n{t}"), F.sum(at("y")).alias(f"y{t}"), F.sum(at("r")).alias(f"r{t}")]
+        sums += [F.sum(at("v") * at("x")[j] if j else at("v")).alias(f"v{t}_{j}") for j in range(len(m.terms))]
+    return geno.stored.select("VAR_id", "IID", F.col("gt").cast("int").alias("gt")).join(own, "IID").groupBy("VAR_id", "sex", "gt").agg(*sums)
+
+
+def class_sums(geno: G.Geno, model: NullModel, sums: DataFrame | None = None, task: int = 0) -> DataFrame:
     """One row for each variant: ploidy, g0, counts of all samples (k<sex><g>, n<sex>) and of cases (c<sex><g>), and ``cells``.
 
     ``cells`` has the sums (n, y, r, v and v times each term) of the stored cells of each sex and genotype, so at most twelve
-    entries. They are added up before the shuffle; after it, every genetic model is a closed form of them.
+    entries. They are added up before the shuffle; after it, every genetic model is a closed form of them. ``sums``: those of
+    ``cell_sums``, if they have been made, where the model has the number ``task``.
     """
     k = len(model.terms)
-    own = model.samples.select("IID", "sex", "y", "r", "v", *(F.col("x")[j].alias(f"x{j}") for j in range(1, k)))
-    products = [F.sum(F.col("v") * F.col(f"x{j}")).alias(f"vx{j}") for j in range(1, k)]
-    sums = geno.stored.select("VAR_id", "IID", F.col("gt").cast("int").alias("gt")).join(own, "IID").groupBy("VAR_id", "sex", "gt").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("r").alias("r"), F.sum("v").alias("vx0"), *products)
+    sums = cell_sums(geno, [model]) if sums is None else sums
+    own = [F.col(f"{c}{task}").alias(c) for c in "nyr"] + [F.col(f"v{task}_{j}").alias(f"vx{j}") for j in range(k)]
+    sums = sums.where(F.col(f"n{task}") > 0).select("VAR_id", "sex", "gt", *own)
     sums = sums.join(geno.variants.select("VAR_id", "ploidy"), "VAR_id").withColumn("gt", G.reset(F.col("gt"), F.col("ploidy"), F.col("sex")))
     aggs = [F.collect_list(F.struct("sex", "gt", "n", "y", "r", F.array(*(f"vx{j}" for j in range(k))).alias("vx"))).alias("cells")]
     for prefix, what in (("k", "n"), ("c", "y")):
@@ -272,7 +293,7 @@ def sums_type(k: int) -> str:
     return "array<struct<sex:int,gt:int,n:bigint,y:double,r:double,vx:array<double>>>"
 
 
-def score_variants(geno: G.Geno, model: NullModel, genetic_model: str = "allelic", impute: str = "meanImpute", cohort: str = "SM", var_set: str = "none", name: str = "none", **bounds) -> DataFrame:
+def score_variants(geno: G.Geno, model: NullModel, genetic_model: str = "allelic", impute: str = "meanImpute", cohort: str = "SM", var_set: str = "none", name: str = "none", sums: DataFrame | None = None, task: int = 0, **bounds) -> DataFrame:
     """A single-variant result of all variants: ``lm`` of a linear model, the score test (``score``) of a logistic one; also U and D.
 
     Alleles are flipped to the rarer one first (in the model's samples). Missing genotypes count as the variant's mean (``meanImpute``) or as
@@ -280,7 +301,7 @@ def score_variants(geno: G.Geno, model: NullModel, genetic_model: str = "allelic
     A linear model has no controls: ctrlN is 0, other control columns are null.
     """
     k = len(model.terms)
-    counted = G.filter_variants(G.flip(class_sums(geno, model), prefixes=("k", "c")), **bounds)
+    counted = G.filter_variants(G.flip(class_sums(geno, model, sums, task), prefixes=("k", "c")), **bounds)
     based = G.baselines(counted, genetic_model, impute, prefixes=("k", "c"))
     turned = lambda c: F.when(F.col("flipped"), F.when((c["sex"] == 1) & F.col("ploidy").isin("XnonPAR", "YnonPAR"), 1 - c["gt"]).otherwise(2 - c["gt"])).otherwise(c["gt"])
     value = lambda c: F.coalesce(G.of_model(turned(c), genetic_model).cast("double"), F.col("fill"))
@@ -373,6 +394,10 @@ def score_gene_sets(per: DataFrame, dev: DataFrame, gene_sets: DataFrame, model:
 
 
 def score_grid(geno: G.Geno, tasks: list[tuple[str, list[str], str]], genetic_models: list[str] = ("allelic",), **options) -> DataFrame:
-    """``score_variants`` of every task (phenotype, covariates, kind) and genetic model."""
-    models = [fit_null(geno.samples, pheno, covar, kind) for pheno, covar, kind in tasks]
-    return union([score_variants(geno, m, g, **options) for m in models for g in genetic_models])
+    """``score_variants`` of every task (phenotype, covariates, kind) and genetic model, with one pass over the genotypes for all of them.
+
+    The sums, at most twelve rows for each variant, are kept in the executors' memory and disk while the results are made of them.
+    """
+    models = [fit_null(geno.samples, pheno, list(covar), kind) for pheno, covar, kind in tasks]
+    sums = cell_sums(geno, models).persist(StorageLevel.MEMORY_AND_DISK)
+    return union([score_variants(geno, m, g, sums=sums, task=t, **options) for t, m in enumerate(models) for g in genetic_models])

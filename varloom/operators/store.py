@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import secrets
+import warnings
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .geno import Geno
 from .ranges import NONPAR, assign_ploidy, extract_ranges, norm_chrom
 
+#: Variants of a range on disk, and ranges that a look-up names one by one; more are read as a whole.
+SPAN, MOST_PARTS = 1 << 16, 4096
+#: Fixed value: table names that uploads can't take.
 PROTECTED = ("var", "var_ranges", "SM", "dosage", "anno", "cohort", "meta", "tmp")
 
 
@@ -91,6 +95,8 @@ class Store:
     annos: dict[str, DataFrame] = field(default_factory=dict)
     cohorts: dict[str, DataFrame] = field(default_factory=dict)
     meta: dict[str, str] = field(default_factory=dict)
+    #: ``stored`` as it lies on disk, with the number of its range of variants (``part``), if this store was opened.
+    ranged: DataFrame | None = None
 
     @staticmethod
     def create(var: DataFrame, samples: DataFrame, stored: DataFrame, build: str = "GRCh38") -> Store:
@@ -147,21 +153,51 @@ class Store:
         if "ploidy" not in var.columns:
             regions = spark.createDataFrame(list(NONPAR.get(build, ())), "CHROM string, start int, end int")
             var = assign_ploidy(var, regions)
-        return Geno(var, own, self.stored.join(var.select("VAR_id"), "VAR_id", "left_semi").join(own.select("IID"), "IID", "left_semi"))
+        return Geno(var, own, self._stored(var, var_ids is not None).join(var.select("VAR_id"), "VAR_id", "left_semi").join(own.select("IID"), "IID", "left_semi"))
+
+    def _stored(self, var: DataFrame, some: bool) -> DataFrame:
+        """Stored genotypes; of ``some`` variants, only the ranges on disk that hold any of them."""
+        if not some or self.ranged is None:
+            return self.stored
+        span = int(self.meta["span"])
+        parts = [r[0] for r in var.select(F.floor(F.col("VAR_id") / span).cast("int").alias("p")).distinct().limit(MOST_PARTS + 1).collect()]
+        return (self.ranged.where(F.col("part").isin(sorted(parts))) if len(parts) <= MOST_PARTS else self.ranged).select("VAR_id", "IID", "gt")
+
+    def get_gt(self, var_set: DataFrame | None = None, var_ids: DataFrame | None = None, ranges: DataFrame | None = None, cohort: str | DataFrame = "SM", anno: DataFrame | None = None) -> Geno:
+        """Genotypes of the variants of a set (VAR_id, w), of ids, or in ranges: exactly one of them. Warns of variants that the store lacks.
+
+        A set's weights come along; sets of several units or names may name a variant more than once only with the same weight.
+        """
+        if sum(x is not None for x in (var_set, var_ids, ranges)) != 1:
+            raise StoreError("name exactly one of var_set, var_ids and ranges")
+        weights = None
+        if var_set is not None:
+            weights = var_set.select("VAR_id", "w").distinct()
+            if weights.groupBy("VAR_id").count().where("count > 1").limit(1).count():
+                raise StoreError("the set has a variant with several weights")
+        ids = (extract_ranges(self.var, ranges) if ranges is not None else var_set if var_set is not None else var_ids).select("VAR_id").distinct()
+        if ranges is None and (gone := ids.join(self.var, "VAR_id", "left_anti").count()):
+            warnings.warn(f"{gone} variants are not in the store", stacklevel=2)
+        return self.geno(ids, cohort, weights, anno)
 
     def save(self, path: str) -> None:
         self.var.write.partitionBy("CHROM").parquet(f"{path}/var")
-        for name, t in {"SM": self.samples, "dosage": self.stored, **{f"anno/{k}": v for k, v in self.annos.items()}, **{f"cohort/{k}": v for k, v in self.cohorts.items()}}.items():
+        part = F.floor(F.col("VAR_id") / SPAN).cast("int")
+        # sorted, so that the statistics of files tell which variants they hold; a range of variants is a folder
+        ranged = self.stored.select("VAR_id", "IID", "gt").withColumn("part", part).repartitionByRange("VAR_id", "IID").sortWithinPartitions("VAR_id", "IID")
+        ranged.write.partitionBy("part").parquet(f"{path}/dosage")
+        for name, t in {"SM": self.samples, **{f"anno/{k}": v for k, v in self.annos.items()}, **{f"cohort/{k}": v for k, v in self.cohorts.items()}}.items():
             t.write.parquet(f"{path}/{name}")
         spark = self.var.sparkSession
         names = [("anno", n) for n in self.annos] + [("cohort", n) for n in self.cohorts]
-        spark.createDataFrame([("meta", k, v) for k, v in self.meta.items()] + [(k, n, "") for k, n in names], "kind string, name string, value string").coalesce(1).write.parquet(f"{path}/catalog")
+        spark.createDataFrame([("meta", k, v) for k, v in {**self.meta, "span": str(SPAN)}.items()] + [(k, n, "") for k, n in names], "kind string, name string, value string").coalesce(1).write.parquet(f"{path}/catalog")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Store:
         rows = spark.read.parquet(f"{path}/catalog").collect()
         read = lambda p: spark.read.parquet(f"{path}/{p}")
-        return Store(read("var").withColumn("CHROM", F.col("CHROM").cast("string")), read("SM"), read("dosage"), {r.name: read(f"anno/{r.name}") for r in rows if r.kind == "anno"}, {r.name: read(f"cohort/{r.name}") for r in rows if r.kind == "cohort"}, {r.name: r.value for r in rows if r.kind == "meta"})
+        dosage = read("dosage")
+        return Store(read("var").withColumn("CHROM", F.col("CHROM").cast("string")), read("SM"), dosage.drop("part"), {r.name: read(f"anno/{r.name}") for r in rows if r.kind == "anno"}, {r.name: read(f"cohort/{r.name}") for r in rows if r.kind == "cohort"}, {r.name: r.value for r in rows if r.kind == "meta"}, dosage if "part" in dosage.columns else None)
 
 
 def subset(store: Store, var_ids: DataFrame | None = None, inner=(), where: str | None = None, tables: list[str] | None = None) -> Store:
@@ -169,7 +205,7 @@ def subset(store: Store, var_ids: DataFrame | None = None, inner=(), where: str
     ids = get_anno(store.tables(), "var", inner=inner, var_ids=var_ids, where=where).select("VAR_id").distinct()
     keep = lambda t: t.join(ids, "VAR_id", "left_semi")
     chosen = {k: v for k, v in store.annos.items() if tables is None or k in tables}
-    return replace(store, var=keep(store.var), stored=keep(store.stored), annos={k: keep(v) for k, v in chosen.items()}, cohorts={k: v for k, v in store.cohorts.items() if tables is None or k in tables})
+    return replace(store, var=keep(store.var), stored=keep(store.stored), annos={k: keep(v) for k, v in chosen.items()}, ranged=None, cohorts={k: v for k, v in store.cohorts.items() if tables is None or k in tables})
 
 
 def concat(stores: list[Store]) -> Store:

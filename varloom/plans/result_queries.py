@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varloom.functions.expr import acat_term_sql, cauchy_tail_sql, norm_tail_sql, qnorm_sql, r6
-from varloom.functions.tails import Z950, erfc_sql, hill_sql, t_quantile_sql
+from varloom.functions.tails import Z950, erfc_sql, hill_sql, norm_two_sided_sql, t_quantile_sql
 from varloom.operators import gsa as A
+from varloom.operators import gsa_null as N
 from varloom.operators import results as R
 
 from . import projection as P
@@ -240,6 +241,22 @@ def block_corr(spark, sf_dir):
     return A.block_correlations(s, blocks, 150).withColumn("r", F.round("r", 5) + F.lit(0.0))
 
 
+CHOOSE = "(lgamma(({n}) + 1.0::DOUBLE) - lgamma(({k}) + 1.0::DOUBLE) - lgamma(({n}) - ({k}) + 1.0::DOUBLE))"
+
+
+@query(
+    STATS_SQL
+    + f""", th AS (SELECT unnest([0.05, 0.2]) AS threshold), tot AS (SELECT threshold::DOUBLE AS threshold, count(*) AS n, count(*) FILTER (WHERE "P" < threshold) AS sig FROM st, th GROUP BY 1),
+i AS (SELECT "geneSetName", threshold, count(*) FILTER (WHERE "P" < threshold) AS a, count(*) AS m FROM mem, tot GROUP BY 1, 2), e AS (SELECT * FROM i JOIN tot USING (threshold)),
+k AS (SELECT *, unnest(range(a, least(m, sig) + 1)) AS k FROM e)
+SELECT "geneSetName", threshold, any_value(a) AS sig_in, round(sum(exp({CHOOSE.format(n='sig', k='k')} + {CHOOSE.format(n='n - sig', k='m - k')} - {CHOOSE.format(n='n', k='m')})), 7) + 0.0 AS "P" FROM k WHERE m - k <= n - sig GROUP BY 1, 2"""
+)
+def gsa_fisher_p(spark, sf_dir):
+    s = stats(spark, sf_dir)
+    df = A.fisher_p(A.fisher_counts(s, A.observed(s, gene_sets(spark, sf_dir)), [0.05, 0.2]))
+    return df.select("geneSetName", "threshold", "sig_in", (F.round("P", 7) + F.lit(0.0)).alias("P"))
+
+
 @query(None)
 def gsa_fisher(spark, sf_dir):
     s = stats(spark, sf_dir)
@@ -256,4 +273,22 @@ def gsa_ttest(spark, sf_dir):
 def gsa_mlm(spark, sf_dir):
     s = stats(spark, sf_dir)
     scores, blocks = unit_block_scores(spark, sf_dir)
-    return A.mixed(s, A.observed(s, gene_sets(spark, sf_dir)), A.block_correlations(scores, blocks, 150), ["size"])
+    model = N.fit(s, blocks, A.block_correlations(scores, blocks, 150), ["size"])
+    return N.test_sets(model, A.observed(s, gene_sets(spark, sf_dir)))
+
+
+@query(
+    STATS_SQL
+    + f""", x AS (SELECT "geneSetName", size, "Z", CASE WHEN EXISTS (SELECT 1 FROM mem m WHERE m."geneSetName" = g."geneSetName" AND m.unit = st.unit) THEN 1.0 ELSE 0.0 END AS s FROM st, (SELECT DISTINCT "geneSetName" FROM mem) g),
+a AS (SELECT "geneSetName", regr_slope(s, size) AS bs, regr_intercept(s, size) AS is_, regr_slope("Z", size) AS bz, regr_intercept("Z", size) AS iz FROM x GROUP BY 1),
+r AS (SELECT x."geneSetName", s - is_ - bs * size AS sr, "Z" - iz - bz * size AS zr, s FROM x JOIN a USING ("geneSetName")),
+e AS (SELECT "geneSetName", sum(sr * zr) / sum(sr * sr) AS effect, sqrt(sum(zr * zr) / (count(*) - 2) / sum(sr * sr)) AS se, sum(s)::BIGINT AS m FROM r GROUP BY 1), z AS (SELECT *, effect / se AS z FROM e)
+SELECT "geneSetName", m AS "genesObs", round(effect, 5) + 0.0 AS effect, round(se, 5) + 0.0 AS "effectSE", round({norm_two_sided_sql('z')}, 7) + 0.0 AS "P" FROM z"""
+)
+def gsa_mlm_unrelated(spark, sf_dir):
+    """Of units that are blocks of one, the mixed model is an ordinary one."""
+    s = stats(spark, sf_dir)
+    alone = s.select("unit", F.col("unit").alias("block"))
+    none = alone.select("block", F.col("unit").alias("unit_a"), F.col("unit").alias("unit_b"), F.lit(0.0).alias("r")).where("false")
+    df = N.test_sets(N.fit(s, alone, none, ["size"]), A.observed(s, gene_sets(spark, sf_dir)))
+    return df.select("geneSetName", "genesObs", *((F.round(c, 7 if c == "P" else 5) + F.lit(0.0)).alias(c) for c in ("effect", "effectSE", "P")))

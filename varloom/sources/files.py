@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varloom.operators.results import KINDS, kind_of
+from varloom.operators.results import KINDS, as_result, column_type, kind_of
 from varloom.operators.sets import num_text, packed, unpack
 
 
@@ -60,7 +60,11 @@ def read_gmt(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 
 def write_result(df: DataFrame, path: str, metadata: dict[str, str] | None = None, kind: str | None = None) -> None:
-    """A tab-separated result with a header of metadata in a part of its own. Text columns are written as they are, null as NA."""
+    """A tab-separated result with a header of metadata in a part of its own. Text columns are written as they are, null as NA, empty text quoted.
+
+    What ``rvb``, ``singlevar``, ``score_variants`` and the gene-set tests return gets the columns of its kind that it lacks (``results.as_result``).
+    """
+    df = as_result(df, kind)
     kind = kind or kind_of(df.columns)
     spark = df.sparkSession
     head = [f"# type: {kind}", *(f"# {k}: {v}" for k, v in (metadata or {}).items())]
@@ -75,7 +79,7 @@ def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, str, dict[st
     kind = head.pop("type", None) or kind_of(df.columns)
     if kind not in KINDS:
         raise ValueError(f"no such kind of result: {kind}")
-    return df, kind, head
+    return df.withColumns({c: F.col(c).cast(column_type(c)) for c in KINDS[kind] if c in df.columns}), kind, head
 
 
 def write_permutations(perms: DataFrame, path: str, n: int, times: int) -> None:
