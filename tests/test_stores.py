@@ -150,3 +150,35 @@ def test_sets_by_unit(spark, tmp_path):
     with pytest.raises(ValueError):
         s.get()
     assert s.list_units().count() == 9 and s.list_names().count() == 2 and s.sizes().agg(F.sum("n")).first()[0] == 60
+
+
+def test_small_operators(study, spark, tmp_path):
+    from varloom.operators import sets as Se
+
+    g, m = study
+    var = spark.createDataFrame([(1, "1", 5), (2, "1", 9), (3, "2", 4)], "VAR_id long, CHROM string, POS int")
+    own = spark.createDataFrame([("a", "n", 1), ("a", "n", 2), ("b", "n", 3), ("c", "n", 77)], "unit string, varSetName string, VAR_id long")
+    assert {(r.unit, r.CHROM, r.start, r.end) for r in Se.set_ranges(own, var, keep_missing=True).collect()} == {("a", "1", 5, 9), ("b", "2", 4, 4), ("c", None, None, None)}
+    with pytest.raises(ValueError):
+        Se.set_ranges(own, var.union(var), keep_missing=True)
+    made = Se.build_gene_set({"s": ["x", "y", "x"], "t": []}, spark)
+    assert sorted(map(tuple, made.collect())) == [("s", "x", 1.0, ""), ("s", "y", 1.0, "")]
+    assert [tuple(r) for r in Se.build_gene_set(spark.createDataFrame([("s", "u", 2)], "a string, b string, c int")).collect()] == [("s", "u", 2.0, "")]
+    with pytest.raises(ValueError):
+        Se.build_gene_set(var.select("VAR_id"))
+    (tmp_path / "r.tsv").write_text("CHROM\tstart\tend\tgene\n1\t5\t9\tG\n")
+    assert tuple(files.read_ranges(spark, str(tmp_path / "r.tsv")).first()) == ("1", 5, 9, "G")
+    left, counted = G.filtered(g, complete=["q"], MAF=(0.05, 0.5))
+    assert {r.VAR_id for r in counted.collect()} == {r.VAR_id for r in left.variants.collect()} and left.stored.count() <= g.stored.count()
+    grouped = G.Geno(g.variants, g.samples.withColumn("pop", F.when(F.col("IID") % 4 > 0, F.col("IID") % 4)), g.stored)
+    per, dev = G.burden(grouped, m)
+    dense = scores(G.scores(grouped, per, dev))
+    for r in G.mean_burden(grouped, per, dev, "pop").collect():
+        assert r.meanBurden == pytest.approx(np.mean([v for (u, i), v in dense.items() if u == r.unit and i % 4 == r.pop]))
+    apart = {(r.VAR_id, r.pop): r for r in G.summarise_by(grouped, "pop").collect()}
+    flags = {r.VAR_id: r.flipped for r in G.flip(G.counts(grouped)).collect()}
+    for pop in (1, 2, 3):
+        one = G.Geno(grouped.variants, grouped.samples.where(f"pop = {pop}"), grouped.stored)
+        for r in G.summarise(G.flip(G.counts(one), F.col("VAR_id").isin([v for v, f in flags.items() if f]))).collect():
+            assert tuple(apart[r.VAR_id, pop])[2:] == pytest.approx(tuple(r)[1:], nan_ok=True)
+    assert G.summarise_by(grouped, "pop", MAF=(0.2, 0.5)).count() < len(apart)

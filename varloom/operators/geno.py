@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from varloom.functions.expr import chisq1_tail_sql
 from varloom.functions.tails import barrier
@@ -293,3 +293,45 @@ def carrier_rows(geno: Geno, counted: DataFrame | None = None) -> DataFrame:
     implied = high.crossJoin(geno.samples.select("IID", "sex")).join(geno.stored.select("VAR_id", "IID"), ["VAR_id", "IID"], "left_anti")
     implied = implied.select("VAR_id", "IID", reset(F.col("g0"), F.col("ploidy"), F.col("sex")).alias("genotype")).where("genotype >= 1")
     return got.unionByName(implied)
+
+
+def summarise_by(geno: Geno, by: str, allelic: bool = True, **bounds) -> DataFrame:
+    """``summarise`` of flipped variants in each group of a sample column, of one pass: the flip is that of all samples, also of those without a group."""
+    key = F.when(F.col(by).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(by).cast("string")))
+    named = replace(geno, samples=geno.samples.withColumn("_group", key))
+    names = named.samples.groupBy("_group").agg(F.first(by).alias(by))
+    every = counts(named, "_group")
+    whole = Window.partitionBy("VAR_id")
+    keys = [f"k{s}{g}" for s in SEXES for g in (0, 1, 2)]
+    sums = barrier(every.withColumns({f"all_{k}": F.sum(k).over(whole) for k in keys}))
+    turn = frequency("all_k") > 0.5
+    if bounds:
+        own = every.groupBy("VAR_id", "ploidy").agg(*(F.sum(k).alias(k) for k in keys), *(F.sum(f"n{s}").alias(f"n{s}") for s in SEXES))
+        sums = sums.join(filter_variants(flip(own), **bounds).select("VAR_id"), "VAR_id", "left_semi")
+    flipped = flip(sums.where(F.col("_group") != "0"), turn)
+    return summarise(flipped.join(names, "_group"), by, allelic=allelic)
+
+
+def carrier_frequency(geno: Geno, by: str) -> DataFrame:
+    """VAR_id, the group, carrierN, carrierFreq (of called genotypes) and carrierFreqSE (its deviation over the root of all samples); genotypes as stored."""
+    df = counts(geno, by)
+    n, m = called().cast("double"), carriers().cast("double")
+    sd = F.sqrt(F.greatest(F.lit(0.0), m - m * m / n) / F.nullif(n - 1, F.lit(0.0)))
+    return df.select("VAR_id", by, carriers().alias("carrierN"), (m / F.nullif(n, F.lit(0.0))).alias("carrierFreq"), F.when(n > 1, sd / F.sqrt(size())).alias("carrierFreqSE"))
+
+
+def mean_burden(geno: Geno, per: DataFrame, dev: DataFrame, by: str) -> DataFrame:
+    """unit, the group, meanBurden: from the baselines and the groups' sizes by sex, plus what stored cells add; no row for each unit and sample."""
+    own = geno.samples.where(F.col(by).isNotNull())
+    sizes = own.groupBy(by).agg(*(F.count_if(F.col("sex") == s).alias(f"n{s}") for s in SEXES))
+    added = dev.select("unit", "IID", "dev").join(own.select("IID", by), "IID").groupBy("unit", by).agg(F.sum("dev").alias("dev"))
+    every = per.crossJoin(sizes).join(added, ["unit", by], "left")  # a row of the result each
+    total = _sum(lambda s: F.col(f"b{s}") * F.col(f"n{s}")) + F.coalesce("dev", F.lit(0.0))
+    return every.select("unit", by, (total / size()).alias("meanBurden"))
+
+
+def filtered(geno: Geno, keep: DataFrame | None = None, complete: list[str] = (), call_rate_bounds: tuple[float, float] = (0.0, 1.0), **bounds) -> tuple[Geno, DataFrame]:
+    """Samples filtered, alleles flipped to the rarer one, variants filtered, in this order: the genotypes that are left, and their flipped counts."""
+    own = filter_samples(geno, call_rate_bounds, keep, complete)
+    counted = filter_variants(flip(counts(own)), **bounds)
+    return own.keep_variants(counted.select("VAR_id")), counted

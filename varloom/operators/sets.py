@@ -60,13 +60,34 @@ def collapse(sets: DataFrame) -> DataFrame:
     return sets.select("unit", "VAR_id").distinct().withColumn("w", F.lit(1.0))
 
 
-def set_ranges(sets: DataFrame, var: DataFrame, where: str | None = None) -> DataFrame:
-    """CHROM, start and end of each set; sets on several chromosomes have a row for each."""
+def set_ranges(sets: DataFrame, var: DataFrame, where: str | None = None, keep_missing: bool = False) -> DataFrame:
+    """CHROM, start and end of each set; sets on several chromosomes have a row for each. ``keep_missing``: sets none of whose variants is there have nulls.
+
+    A table that has a variant of the sets more than once is an error with ``keep_missing``.
+    """
     v = var.where(where) if where else var
-    got = sets.select("unit", "varSetName", "VAR_id").distinct().join(v.select("VAR_id", "CHROM", "POS"), "VAR_id")
+    own = sets.select("unit", "varSetName", "VAR_id").distinct()
+    if keep_missing and v.join(own, "VAR_id", "left_semi").groupBy("VAR_id").count().where("count > 1").limit(1).count():
+        raise ValueError("the table has a variant more than once")
+    got = own.join(v.select("VAR_id", "CHROM", "POS"), "VAR_id")
+    if keep_missing:
+        got = got.unionByName(own.select("unit", "varSetName").distinct().join(got, ["unit", "varSetName"], "left_anti"), allowMissingColumns=True)
     return got.groupBy("unit", "varSetName", "CHROM").agg(F.min("POS").alias("start"), F.max("POS").alias("end"))
 
 
+def build_gene_set(source: DataFrame | dict[str, list[str]], spark=None) -> DataFrame:
+    """geneSetName, unit, w, metadata of a mapping of names to units, or of a table whose 2 to 4 columns are these in order; weights are 1 unless given."""
+    if isinstance(source, dict):
+        rows = [(name, u) for name, own in source.items() for u in dict.fromkeys(own)]
+        source = spark.createDataFrame(rows, "geneSetName string, unit string")
+    if not 2 <= len(source.columns) <= 4:
+        raise ValueError("gene sets have 2 to 4 columns: name, unit, weight, metadata")
+    names = [F.col(f"`{c}`") for c in source.columns]
+    weight = names[2].cast("double") if len(names) > 2 else F.lit(1.0)
+    note = names[3].cast("string") if len(names) > 3 else F.lit("")
+    return source.select(names[0].cast("string").alias("geneSetName"), names[1].cast("string").alias("unit"), weight.alias("w"), note.alias("metadata")).where("unit <> ''")
+
+
 def drop_units(gene_sets: DataFrame, units: DataFrame) -> DataFrame:
     return gene_sets.join(units.select("unit").distinct(), "unit", "left_anti")
 

@@ -61,10 +61,7 @@ def flip_to_minor_stats(spark, sf_dir):
 
 @query(P.sql() + hwe_cte("fcells WHERE \"superPop\" IS NOT NULL", 'VAR_id, "superPop"') + f'SELECT VAR_id, "superPop", {SUMMARY} FROM hw')
 def summarise_splitby(spark, sf_dir):
-    g = P.geno(spark, sf_dir)
-    flags = G.flip(G.counts(g)).select("VAR_id", "flipped")
-    by_group = G.counts(g, "superPop").join(flags.withColumnRenamed("flipped", "turn"), "VAR_id")
-    return rounded(G.summarise(G.flip(by_group, F.col("turn")), "superPop"), *SUMMARY_COLS)
+    return rounded(G.summarise_by(P.geno(spark, sf_dir), "superPop"), *SUMMARY_COLS)
 
 
 @query(
@@ -136,10 +133,7 @@ def carriers(spark, sf_dir):
 FROM (SELECT *, CASE WHEN g >= 1 THEN 1.0 WHEN g = 0 THEN 0.0 END AS c FROM cells) GROUP BY 1, 2"""
 )
 def carrier_freq_by_group(spark, sf_dir):
-    df = G.counts(P.geno(spark, sf_dir), "superPop")
-    n, m = G.called().cast("double"), G.carriers().cast("double")
-    sd = F.sqrt(F.greatest(F.lit(0.0), m - m * m / n) / F.nullif(n - 1, F.lit(0.0)))
-    return df.select("VAR_id", "superPop", G.carriers().alias("carrierN"), r6(m / F.nullif(n, F.lit(0.0))).alias("carrierFreq"), r6(F.when(n > 1, sd / F.sqrt(G.size()))).alias("carrierFreqSE"))
+    return rounded(G.carrier_frequency(P.geno(spark, sf_dir), "superPop"), "carrierFreq", "carrierFreqSE")
 
 
 BURDEN_SQL = """, im AS (SELECT *, coalesce(g, avg(g) OVER (PARTITION BY VAR_id)) AS d FROM fcells)
@@ -172,8 +166,9 @@ def aggregate_units_dominant_mb(spark, sf_dir):
 
 @query(P.sql() + BURDEN_SQL + 'SELECT unit, "superPop", round(avg(score) + 1.3e-8, 6) + 0.0 AS "meanBurden" FROM sc GROUP BY 1, 2')
 def burden_by_group(spark, sf_dir):
-    g, s = unit_scores(spark, sf_dir)
-    return s.join(g.samples.select("IID", "superPop"), "IID").groupBy("unit", "superPop").agg((F.round(F.avg("score") + NUDGE, 6) + F.lit(0.0)).alias("meanBurden"))
+    g = P.geno(spark, sf_dir)
+    df = G.mean_burden(g, *G.burden(g, members(spark, sf_dir)), "superPop")
+    return df.withColumn("meanBurden", F.round(F.col("meanBurden") + NUDGE, 6) + F.lit(0.0))
 
 
 @query(P.sql() + BURDEN_SQL + "SELECT IID, round(sum(score) + 1.3e-8, 5) + 0.0 AS aggregate FROM sc GROUP BY IID")

@@ -16,6 +16,14 @@ def read_table(spark: SparkSession, path: str, sep: str = "\t", schema: str | No
     return r.schema(schema).csv(path) if schema else r.option("inferSchema", True).csv(path)
 
 
+def read_ranges(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """Closed intervals of a delimited table with CHROM, start and end, and whatever other columns it has."""
+    df = read_table(spark, path, sep)
+    if gone := {"CHROM", "start", "end"} - set(df.columns):
+        raise ValueError(f"ranges need CHROM, start and end; missing: {sorted(gone)}")
+    return df.withColumns({"CHROM": F.col("CHROM").cast("string"), "start": F.col("start").cast("int"), "end": F.col("end").cast("int")})
+
+
 def read_bed(spark: SparkSession, path: str, extra: list[str] = ()) -> DataFrame:
     """BED intervals as closed 1-based ones; further columns by name, as text."""
     f = spark.read.text(path).where(~F.col("value").rlike("^(#|track|browser)") & (F.length("value") > 0)).select(F.split("value", "\t").alias("f"))
