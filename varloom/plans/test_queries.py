@@ -135,3 +135,15 @@ def write_vcf_lines(spark, sf_dir):
     g = P.geno(spark, sf_dir)
     g = G.Geno(g.variants.withColumns({c: F.lit(None).cast("string") for c in ("ID", "QUAL", "FILTER")}), g.samples.where("IID < 12").withColumn("sample_idx", F.col("IID")), g.stored.where("IID < 12"))
     return V.lines_of(g, use_var_id=True).select("VAR_id", "value")
+
+
+@query(
+    P.sql()
+    + """, c AS (SELECT v.VAR_id, s.IID, CASE WHEN d.VAR_id IS NULL THEN v.g0 ELSE d.gt END AS g FROM var v CROSS JOIN samples s LEFT JOIN dosage d ON d.VAR_id = v.VAR_id AND d.IID = s.IID)
+SELECT c.VAR_id, concat_ws(chr(9), any_value("CHROM"), any_value("POS"), c.VAR_id, any_value("REF"), any_value("ALT"), '.', '.', '.', 'GT') || chr(9) || string_agg(CASE WHEN g IS NULL THEN './.' WHEN g = 0 THEN '0/0' WHEN g = 1 THEN '0/1' ELSE '1/1' END, chr(9) ORDER BY c.IID) AS value FROM c JOIN var USING (VAR_id) GROUP BY 1"""
+)
+def write_vcf_all(spark, sf_dir):
+    """Lines of all samples of the panel."""
+    g = P.geno(spark, sf_dir)
+    g = G.Geno(g.variants.withColumns({c: F.lit(None).cast("string") for c in ("ID", "QUAL", "FILTER")}), g.samples.withColumn("sample_idx", F.col("IID")), g.stored)
+    return V.lines_of(g, use_var_id=True).select("VAR_id", "value")

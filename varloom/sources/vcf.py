@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from varloom.operators.store import number_rows
 
 FIXED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 #: Genotype codes and what they count; N is missing.
@@ -113,13 +115,16 @@ def lines_of(geno, site_only: bool = False, use_var_id: bool = False) -> DataFra
     fixed = ["CHROM", "POS", ids, "REF", "ALT", F.coalesce("QUAL", F.lit(".")), F.coalesce("FILTER", F.lit(".")), F.lit(".")]
     if site_only:
         return v.select("CHROM", "POS", "VAR_id", F.concat_ws("\t", *fixed).alias("value"))
-    order = geno.samples.select("IID", F.row_number().over(Window.orderBy("sample_idx")).alias("place"))  # one number a sample
+    order = number_rows(geno.samples.select("sample_idx", "IID"), ["sample_idx", "IID"], "place").select("IID", F.col("place").cast("int").alias("place"))
     n = geno.samples.count()
-    cells = geno.stored.join(order, "IID").groupBy("VAR_id").agg(F.map_from_entries(F.collect_list(F.struct("place", F.coalesce("gt", F.lit(-1)).cast("int").alias("gt")))).alias("m"))
-    got = v.join(cells, "VAR_id", "left")
-    gt = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda p: F.coalesce(F.try_element_at(F.coalesce("m", F.create_map().cast("map<int,int>")), p), F.col("g0")))
-    text = F.transform(gt, lambda g: F.when(g == -1, "./.").when(g == 0, "0/0").when(g == 1, "0/1").otherwise("1/1"))
-    return got.select("CHROM", "POS", "VAR_id", F.concat_ws("\t", *fixed, F.lit("GT"), F.array_join(text, "\t")).alias("value"))
+    text = lambda g: F.when(g.isNull(), "./.").when(g == 0, "0/0").when(g == 1, "0/1").otherwise("1/1")
+    cells = geno.stored.join(order, "IID").groupBy("VAR_id").agg(F.sort_array(F.collect_list(F.struct("place", F.concat(F.lit("\t"), text(F.col("gt"))).alias("t")))).alias("cells"))
+    got = v.join(cells, "VAR_id", "left").withColumns({"cells": F.coalesce("cells", F.array().cast("array<struct<place:int,t:string>>")), "base": F.concat(F.lit("\t"), text(F.col("g0")))})
+    # runs of the baseline's text between one stored cell and the next, so the work is that of writing the line
+    before = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at("cells", i)["place"])
+    runs = F.transform("cells", lambda c, i: F.concat(F.repeat("base", c["place"] - before(i) - 1), c["t"]))
+    last = F.when(F.size("cells") == 0, 0).otherwise(F.try_element_at("cells", F.lit(-1))["place"])
+    return got.select("CHROM", "POS", "VAR_id", F.concat(F.concat_ws("\t", *fixed, F.lit("GT")), F.array_join(runs, ""), F.repeat("base", F.lit(n) - last)).alias("value"))
 
 
 def header_lines(geno, site_only: bool = False) -> list[str]:
