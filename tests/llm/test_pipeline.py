@@ -115,3 +115,30 @@ def test_near_stage_goes_once_through_groups_too_large_for_a_task(spark, tmp_pat
     assert len(rounds) == 2 and len(dealt) == 1
     members, rows, most = dealt[0]
     assert members > 0 and rows < 40 * members and most <= 2 * 50
+
+
+def test_threads_keep_their_own_stage_tables(spark):
+    """A query that cleans up leaves the tables of one in another thread alone."""
+    import threading
+
+    from varloom.llm import _common
+
+    made, other, go = {}, {}, threading.Event()
+
+    def query():
+        other["mark"] = _common.staged()
+        other["table"] = _common.stage_table(spark.range(5), "other")
+        go.wait(60)
+        other["rows"] = other["table"].count()
+        _common.sweep(spark, other["mark"])
+
+    t = threading.Thread(target=query)
+    mark = _common.staged()
+    made["table"] = _common.stage_table(spark.range(3), "own")
+    t.start()
+    while "table" not in other and t.is_alive():
+        t.join(0.1)
+    _common.sweep(spark, mark)
+    go.set()
+    t.join(60)
+    assert other["rows"] == 5 and _common.staged() == mark

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -12,8 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the tables of ``stage_table`` that are still there, oldest first.
-_LIVE: list[str] = []
+class _Live(threading.local):
+    """Paths of the tables of ``stage_table`` that are still there, oldest first; each thread has its own, as a query runs in one."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_LIVE = _Live()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,15 +60,15 @@ def stage_table(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
         spark.conf.set(TIDY_SHUFFLES, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.stage_path = path
-    _LIVE.append(path)
+    _LIVE.paths.append(path)
     return back
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _LIVE:
-        _LIVE.remove(path)
+    if path in _LIVE.paths:
+        _LIVE.paths.remove(path)
 
 
 def drop_stage(df: DataFrame) -> None:
@@ -71,14 +78,14 @@ def drop_stage(df: DataFrame) -> None:
 
 
 def staged() -> int:
-    """A mark for ``sweep``: how many stage tables there are."""
-    return len(_LIVE)
+    """A mark for ``sweep``: how many stage tables this thread has."""
+    return len(_LIVE.paths)
 
 
 def sweep(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
-    """Delete the stage tables made since ``mark``, but for those that a result still reads."""
+    """Delete the stage tables that this thread made since ``mark``, but for those that a result still reads."""
     kept = {k.stage_path for k in keep}
-    for path in [p for p in _LIVE[mark:] if p not in kept]:
+    for path in [p for p in _LIVE.paths[mark:] if p not in kept]:
         _delete(spark, path)
 
 

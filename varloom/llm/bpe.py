@@ -42,8 +42,8 @@ from ._common import chunks, drop_stage, fresh, mix64, release, small_batches, s
 
 #: Bytes of the broadcast part of the table.
 TABLE_BYTES = 32 << 20
-#: Bytes of texts that are split at once.
-SLICE = 8 << 20
+#: Bytes of texts that are split at once; a task holds about thirty times as much.
+SLICE = 2 << 20
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 
 
@@ -209,7 +209,9 @@ def _distinct(batches, path: str):
     """Distinct words of each slice, with counts; words are compared byte by byte."""
     for _, _, _, data, _, (begin, end, _) in _slices(batches, path, 0):
         raw = data.tobytes()
-        found = Counter([raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)])
+        found = Counter()
+        for k in range(0, len(begin), 1 << 15):  # few words as objects at a time
+            found.update([raw[i:j] for i, j in zip(begin[k : k + (1 << 15)].tolist(), end[k : k + (1 << 15)].tolist(), strict=True)])
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(found.values(), pa.int32())], names=["word", "n"])
 
 
@@ -345,7 +347,7 @@ def _assembled(batches, shared, make, schema: pa.Schema):
     unpack = zstandard.ZstdDecompressor().decompress
     for b in tidily(batches):
         size = np.array([zstandard.frame_content_size(c) for c in b.column(1).to_pylist()], np.int64) // 3
-        for i, j in chunks(np.concatenate([[0], np.cumsum(size)]), SLICE // 8):
+        for i, j in chunks(np.concatenate([[0], np.cumsum(size)]), SLICE // 2):
             planes = [np.frombuffer(unpack(c), np.uint8).reshape(3, -1).astype(np.int64) for c in b.column(1)[i:j].to_pylist()]
             at = np.concatenate([p[0] | (p[1] << 8) | (p[2] << 16) for p in planes])
             first = np.concatenate([[0], np.cumsum(size[i:j])])

@@ -56,7 +56,8 @@ class WordHashes(dict):
     Every run draws a key of its own on the driver, so nobody can build words, or texts of them, that collide.
     """
 
-    KEPT = 1 << 19
+    #: Words whose hashes are kept; others are hashed again.
+    KEPT = 1 << 16
 
     def __init__(self, key: bytes = b"words"):
         super().__init__()
