@@ -42,7 +42,7 @@ from ._common import chunks, drop_stage, fresh, mix64, release, small_batches, s
 
 #: Bytes of the broadcast part of the table.
 TABLE_BYTES = 32 << 20
-#: Bytes of texts that are split at once; a task holds about thirty times as much.
+#: Bytes of texts that are split at once; a task holds several arrays of up to eight bytes a character of them.
 SLICE = 2 << 20
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 
