@@ -14,7 +14,10 @@ gives the same ids in every run.
 Defined results: a null url is the empty target, null html an empty payload
 with the digest of no bytes and an empty conversion. Repeated rows give
 repeated records with equal ids. Columns beyond page_id, url and html are not
-read. Bytes that are no UTF-8 become U+FFFD in conversions. Time grows with a page's
+read. Bytes that are no UTF-8 become U+FFFD in conversions. Blanks and control characters
+in a url are percent-encoded, so that no url adds a header. Tags are what browsers
+read as tags: ``<`` and a letter up to the next ``>`` outside of quoted values, or to the end of the page
+(``a <b and c> d`` holds a tag, ``a < b`` none). Time grows with a page's
 length, whatever is left open in it; tags in comments and scripts don't count as links.
 """
 
@@ -26,11 +29,14 @@ import html as entities
 import re
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from ._common import small_batches
+
 #: Namespace of the name-based record ids.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:varloom:warc")
 CRAWLED = "2024-01-01T00:00:00Z"
@@ -45,12 +51,17 @@ DERIVED = StructType(
     + [StructField(c, StringType()) for c in ("warc_type", "record_id", "refers_to", "refers_to_uri", "refers_to_date", "target_uri", "warc_date", "content_type", "source_head", "source_payload_digest", "source_block_digest", "block_digest")]
     + [StructField("content_length", LongType()), StructField("block", StringType())]
 )
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)")
-_TAG = re.compile(r"(?s)<[/!?A-Za-z][^>]*(?:>|$)")
-_BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b")
-_NAMED = re.compile(r"(?i)<(a|html|title)\b")
-_HEAD, _HEAD_END, _TITLE_END = re.compile(r"(?i)<head\b"), re.compile(r"(?i)</head\s*>"), re.compile(r"(?i)</title")
-_LANG, _HREF = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z-]+)"), re.compile(r"(?i)\bhref\s*=")
+#: A tag as the HTML standard reads it: a ``>`` within a quoted value doesn't end it. Every alternative can end with the page, so no character is read twice.
+_TAG_REST = r"""(?:[^>=]|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*+(?:>|\Z)"""
+_TOKEN = re.compile(
+    r"(?is)(?P<hidden><!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<element>script|style|noscript|template)(?=[\s/>])" + _TAG_REST + r".*?(?:</(?P=element)\s*>|\Z))"
+    r"|(?P<tag><(?P<name>/?[a-z][^\s/>]*|[!?/])" + _TAG_REST + ")"
+)
+_ATTRIBUTE = re.compile(r"""(?s)([^\s/>=][^\s/>=]*+)\s*+(?:=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
+_CONTROL = re.compile("[\x00-\x20\x7f]")
+#: Elements that break a line.
+_BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_TITLE_END, _LANGUAGE = re.compile(r"(?i)</title(?=[\s/>]|\Z)"), re.compile(r"[A-Za-z-]*")
 _NUMBER = re.compile(r"&#([0-9]{8,});?")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
@@ -75,57 +86,90 @@ def _unescape(text: str) -> str:
     return entities.unescape(_NUMBER.sub(short, text))
 
 
-def _headless(page: str) -> str:
-    """Without its heads that end; both marks are looked for from where the last was found, so each character is read once."""
-    out, at = [], 0
-    while (start := _HEAD.search(page, at)) and (end := _HEAD_END.search(page, start.end())):
-        out += [page[at : start.start()], " "]
-        at = end.end()
-    return "".join(out) + page[at:]
+def _tokens(page: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, name, whole) of every tag, its name in lower case, and of every hidden part, whose name is empty; ``whole``: it ends before the page does."""
+    return [(m.start(), m.end(), (m["name"] or "").lower(), m[0][-1] == ">") for m in _TOKEN.finditer(page)]
 
 
 def plain_text(page: str) -> str:
-    """The visible text: hidden elements and the head go, block elements break lines, entities are read once. One pass over tags."""
-    page = _TAG.sub(lambda m: "\n" if _BLOCK.match(m[0]) and m[0][-1] == ">" else "", _headless(_HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _BLANKS.sub(" ", _unescape(page))).strip()
+    """The visible text: hidden elements and heads that end go, block elements break lines, entities are read once. One pass over tags."""
+    tokens = _tokens(page)
+    ends = [i for i, t in enumerate(tokens) if t[2] == "/head" and t[3]]
+    out, at, i, next_end = [], 0, 0, 0
+    while i < len(tokens):
+        start, end, name, whole = tokens[i]
+        out.append(page[at:start])
+        gap = " " if not name else "\n" if whole and name.removeprefix("/") in _BLOCKS else ""
+        if name == "head":
+            while next_end < len(ends) and ends[next_end] < i:
+                next_end += 1
+            if next_end < len(ends):
+                i, gap = ends[next_end], " "
+                end = tokens[i][1]
+        out.append(gap)
+        at, i = end, i + 1
+    text = "".join(out) + page[at:]
+    return _LINES.sub("\n", _BLANKS.sub(" ", _unescape(text))).strip()
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    """Attributes of a start tag, names in lower case, the first of equal names."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag.removesuffix(">"), re.match(r"<[^\s/>]*", tag).end()):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def facts(page: str) -> list[tuple[str, str]]:
     """Title, language, number of links and charset, of the tags outside of hidden elements."""
-    page = _HIDDEN.sub(" ", page)
     title, lang, links = None, "", 0
-    for tag in _TAG.finditer(page):
-        if not (named := _NAMED.match(tag[0])):
-            continue
-        name = named[1].lower()
+    for start, end, name, whole in _tokens(page):
         if name == "a":
-            links += _HREF.search(tag[0]) is not None
+            links += "href" in _attributes(page[start:end])
         elif name == "html" and not lang:
-            lang = found[1].lower() if (found := _LANG.search(tag[0])) else ""
-        elif name == "title" and title is None and tag[0][-1] == ">":
-            end = _TITLE_END.search(page, tag.end())
-            title = " ".join(_unescape(page[tag.end() : end.start()]).split()) if end else ""
+            lang = _LANGUAGE.match(_attributes(page[start:end]).get("lang", ""))[0].lower()
+        elif name == "title" and title is None and whole:
+            close = _TITLE_END.search(page, end)
+            title = " ".join(_unescape(page[end : close.start()]).split()) if close else ""
     return [(k, v) for k, v in [("title", title), ("language", lang), ("outlinks", str(links)), ("charset", "utf-8")] if v]
 
 
+def one_line(text: str) -> str:
+    """A URI with blanks and control characters as their %XX, so that none ends its header's line."""
+    return _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", text)
+
+
 def http_head(payload: bytes) -> str:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
 
 
+#: Ids pass through pandas as text, which turns whole numbers beside nulls into fractions.
+_ID = "cast(cast(page_id as long) as string) as page_id"
+
+
+def _with_text_id(schema: StructType) -> StructType:
+    return StructType([StructField("page_id", StringType()), *schema.fields[1:]])
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.withColumn("page_id", F.col("page_id").cast("long"))
+
+
 def _response(frame: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for page_id, url, page in zip(frame.page_id, frame.url, frame.html, strict=True):
-        url, page = url or "", page or ""
+        url, page = one_line(url or ""), page or ""
         body = page.encode("utf-8", "replace")
         head, of_body = http_head(body), digest(body)
-        rows.append((None if pd.isna(page_id) else int(page_id), urn("response", page_id, url, of_body), url, CRAWLED, head, of_body, digest(head.encode() + body), page))
+        rows.append((page_id, urn("response", page_id, url, of_body), url, CRAWLED, head, of_body, digest(head.encode() + body), page))
     return pd.DataFrame(rows, columns=RESPONSE.names)
 
 
 def responses(pages: DataFrame) -> DataFrame:
     """Response records of a table (page_id, url, html)."""
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return pages.mapInPandas(lambda frames: map(_response, _parts(frames)), RESPONSE)
+    small_batches(pages.sparkSession)
+    pages = pages.select(F.expr(_ID), F.col("url").cast("string"), F.col("html").cast("string"))
+    return _whole(pages.mapInPandas(lambda frames: map(_response, _parts(frames)), _with_text_id(RESPONSE)))
 
 
 def _parts(frames, most: int = 500):
@@ -137,8 +181,8 @@ def _parts(frames, most: int = 500):
 def _derive(frame: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for r in frame.itertuples(index=False):
-        page, page_id = r.payload or "", None if pd.isna(r.page_id) else int(r.page_id)
-        fields = "".join(f"{k}: {v}\r\n" for k, v in [("via", r.target_uri or ""), ("source-payload-digest", r.payload_digest or ""), *facts(page)])
+        page, page_id = r.payload or "", r.page_id
+        fields = "".join(f"{k}: {v}\r\n" for k, v in [("via", one_line(r.target_uri or "")), ("source-payload-digest", r.payload_digest or ""), *facts(page)])
         for kind, content_type, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
             data = block.encode("utf-8", "replace")
             rows.append((page_id, kind, urn(kind, r.record_id), r.record_id, r.target_uri, r.warc_date, r.target_uri, r.warc_date, content_type, r.http_head, r.payload_digest, r.block_digest, digest(data), len(data), block))
@@ -147,29 +191,41 @@ def _derive(frame: pd.DataFrame) -> pd.DataFrame:
 
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for every response record."""
-    return records.select(*RESPONSE.names).mapInPandas(lambda frames: map(_derive, _parts(frames)), DERIVED)
+    small_batches(records.sparkSession)
+    return _whole(records.select(F.expr(_ID), *RESPONSE.names[1:]).mapInPandas(lambda frames: map(_derive, _parts(frames)), _with_text_id(DERIVED)))
 
 
-def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    """One record as a gzip member of its own."""
+def record_bytes(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
+    """One record as a gzip member of its own; headers without a value are left out, and a control character in one raises ValueError."""
+    headers = [(k, v) for k, v in headers if v]
+    if bad := next((k for k, v in headers if re.search("[\x00-\x1f\x7f]", v)), None):
+        raise ValueError(f"{bad} holds a control character")
     lines = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
 def serialise(derived: DataFrame) -> DataFrame:
-    """(record_id, data): each derivative in the WARC format, to be written one after another."""
+    """(record_id, data): each derivative in the WARC format, to be written one after another.
+
+    The source's own header lines stand in ``WARC-Source-Head``, percent-encoded to one line; ``source_head_of`` reads them.
+    """
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for r in frame.itertuples(index=False):
-            headers = [("WARC-Type", r.warc_type), ("WARC-Record-ID", r.record_id), ("WARC-Refers-To", r.refers_to), ("WARC-Refers-To-Target-URI", r.refers_to_uri), ("WARC-Refers-To-Date", r.refers_to_date), ("WARC-Target-URI", r.target_uri), ("WARC-Date", r.warc_date), ("WARC-Block-Digest", r.block_digest), ("WARC-Source-Payload-Digest", r.source_payload_digest), ("Content-Type", r.content_type)]
+            headers = [("WARC-Type", r.warc_type), ("WARC-Record-ID", r.record_id), ("WARC-Refers-To", r.refers_to), ("WARC-Refers-To-Target-URI", one_line(r.refers_to_uri or "")), ("WARC-Refers-To-Date", r.refers_to_date), ("WARC-Target-URI", one_line(r.target_uri or "")), ("WARC-Date", r.warc_date), ("WARC-Block-Digest", r.block_digest), ("WARC-Source-Payload-Digest", r.source_payload_digest), ("WARC-Source-Block-Digest", r.source_block_digest), ("WARC-Source-Head", quote(r.source_head or "", safe=" :;/=,()\"")), ("Content-Type", r.content_type)]
             rows.append((r.record_id, record_bytes(headers, (r.block or "").encode("utf-8", "replace"))))
         return pd.DataFrame(rows, columns=["record_id", "data"])
 
     return derived.mapInPandas(lambda frames: map(of, _parts(frames)), StructType([StructField("record_id", StringType()), StructField("data", BinaryType())]))
 
 
+def source_head_of(headers: dict[str, str]) -> str:
+    """The source's header lines, of the headers that ``parse`` gives."""
+    return unquote(headers.get("WARC-Source-Head", ""))
+
+
 def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """The records of a file's bytes: headers and block. A damaged record raises ValueError."""
     out = []
