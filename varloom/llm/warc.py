@@ -52,10 +52,10 @@ DERIVED = StructType(
     + [StructField("content_length", LongType()), StructField("block", StringType())]
 )
 #: A tag as the HTML standard reads it: a ``>`` within a quoted value doesn't end it. Every alternative can end with the page, so no character is read twice.
-_TAG_REST = r"""(?:[^>=]|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*+(?:>|\Z)"""
+_TAG_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*+(?:>|\Z)"""
 _TOKEN = re.compile(
-    r"(?is)(?P<hidden><!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<element>script|style|noscript|template)(?=[\s/>])" + _TAG_REST + r".*?(?:</(?P=element)\s*>|\Z))"
-    r"|(?P<tag><(?P<name>/?[a-z][^\s/>]*|[!?/])" + _TAG_REST + ")"
+    r"(?is)<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|(?P<element>script|style|noscript|template)(?=[\s/>])" + _TAG_REST + r".*?(?:</(?P=element)\s*>|\Z)"
+    r"|(?P<name>/?[a-z][^\s/>]*+|[!?/])" + _TAG_REST + ")"
 )
 _ATTRIBUTE = re.compile(r"""(?s)([^\s/>=][^\s/>=]*+)\s*+(?:=\s*+(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
 _CONTROL = re.compile("[\x00-\x20\x7f]")
@@ -63,7 +63,7 @@ _CONTROL = re.compile("[\x00-\x20\x7f]")
 _BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 _TITLE_END, _LANGUAGE = re.compile(r"(?i)</title(?=[\s/>]|\Z)"), re.compile(r"[A-Za-z-]*")
 _NUMBER = re.compile(r"&#([0-9]{8,});?")
-_BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+_BLANKS = re.compile(r" *+[\t\r\f\v\xa0][ \t\r\f\v\xa0]*+|  +")
 _LINES = re.compile(r" ?\n[ \n]*")
 
 
@@ -91,9 +91,9 @@ def _tokens(page: str) -> list[tuple[int, int, str, bool]]:
     return [(m.start(), m.end(), (m["name"] or "").lower(), m[0][-1] == ">") for m in _TOKEN.finditer(page)]
 
 
-def plain_text(page: str) -> str:
+def plain_text(page: str, tokens: list | None = None) -> str:
     """The visible text: hidden elements and heads that end go, block elements break lines, entities are read once. One pass over tags."""
-    tokens = _tokens(page)
+    tokens = _tokens(page) if tokens is None else tokens
     ends = [i for i, t in enumerate(tokens) if t[2] == "/head" and t[3]]
     out, at, i, next_end = [], 0, 0, 0
     while i < len(tokens):
@@ -120,10 +120,10 @@ def _attributes(tag: str) -> dict[str, str]:
     return out
 
 
-def facts(page: str) -> list[tuple[str, str]]:
+def facts(page: str, tokens: list | None = None) -> list[tuple[str, str]]:
     """Title, language, number of links and charset, of the tags outside of hidden elements."""
     title, lang, links = None, "", 0
-    for start, end, name, whole in _tokens(page):
+    for start, end, name, whole in _tokens(page) if tokens is None else tokens:
         if name == "a":
             links += "href" in _attributes(page[start:end])
         elif name == "html" and not lang:
@@ -182,8 +182,9 @@ def _derive(frame: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for r in frame.itertuples(index=False):
         page, page_id = r.payload or "", r.page_id
-        fields = "".join(f"{k}: {v}\r\n" for k, v in [("via", one_line(r.target_uri or "")), ("source-payload-digest", r.payload_digest or ""), *facts(page)])
-        for kind, content_type, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+        tokens = _tokens(page)
+        fields = "".join(f"{k}: {v}\r\n" for k, v in [("via", one_line(r.target_uri or "")), ("source-payload-digest", r.payload_digest or ""), *facts(page, tokens)])
+        for kind, content_type, block in (("metadata", "application/warc-fields", fields), ("conversion", "text/plain; charset=utf-8", plain_text(page, tokens))):
             data = block.encode("utf-8", "replace")
             rows.append((page_id, kind, urn(kind, r.record_id), r.record_id, r.target_uri, r.warc_date, r.target_uri, r.warc_date, content_type, r.http_head, r.payload_digest, r.block_digest, digest(data), len(data), block))
     return pd.DataFrame(rows, columns=DERIVED.names)
