@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.functions.tails import erfc_sql, hill_sql, norm_two_sided_sql, t_quantile_sql
+from varloom.functions.tails import Z975, erfc_sql, hill_sql, norm_two_sided_sql, t_quantile_sql
 from varloom.operators import geno as G
 from varloom.operators import score as S
+from varloom.operators import wald as W
 
 from . import projection as P
 from .geno_queries import BURDEN_SQL, NUDGE, members
@@ -246,3 +247,28 @@ def permutation_results(spark, sf_dir):
 
     g, per, dev = sparse_scores(spark, sf_dir)
     return places(resample.permutation_results(per, dev, S.fit_null(g.samples, "qpheno"), shifts(g.samples, 40)), 4, "U")
+
+
+def newton_by_unit_sql(source: str, steps: int = 12) -> str:
+    """Logistic coefficients of y on 1, x and s for every unit of ``source`` (unit, y, x, s) as CTEs; the last is ``fitted`` (unit, b2, v2)."""
+    sums = f"""(SELECT unit, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(w) AS h00, sum(w * x) AS h01, sum(w * s) AS h02, sum(w * x * x) AS h11, sum(w * x * s) AS h12, sum(w * s * s) AS h22, sum(y - m) AS g0, sum((y - m) * x) AS g1, sum((y - m) * s) AS g2
+   FROM (SELECT *, m * (1 - m) AS w FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x + b2 * s))) AS m FROM {source} JOIN step{{k}} USING (unit))) GROUP BY unit)"""
+    minors = "(SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02, h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM {s})"
+    out = f", step0 AS (SELECT DISTINCT unit, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM {source})\n"
+    for k in range(steps):
+        out += f", step{k + 1} AS MATERIALIZED (SELECT unit, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det AS b0, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det AS b1, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det AS b2 FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM {minors.format(s=sums.format(k=k))}))\n"
+    return out + f", fitted AS (SELECT unit, b2, c22 / (h00 * c00 + h01 * c01 + h02 * c02) AS v2 FROM {minors.format(s=sums.format(k=steps))})\n"
+
+
+@query(
+    P.sql("rare")
+    + BURDEN_SQL
+    + ", us AS MATERIALIZED (SELECT unit, pheno::DOUBLE AS y, sex::DOUBLE AS x, score AS s FROM sc JOIN (SELECT IID, sex FROM samples) USING (IID))\n"
+    + newton_by_unit_sql("us")
+    + f""", t AS (SELECT *, sqrt(v2) AS se, b2 / sqrt(v2) AS z FROM fitted), m AS (SELECT unit, avg(s) FILTER (y = 1) AS mc, avg(s) FILTER (y = 0) AS mn FROM us GROUP BY 1)
+SELECT unit, round(mc, 6) + 0.0 AS "meanCaseScore", round(mn, 6) + 0.0 AS "meanCtrlScore", round(b2, 6) + 0.0 AS effect, round(se, 6) + 0.0 AS "effectSE", round(b2 - {Z975!r} * se, 6) + 0.0 AS "effectCIlower", round(b2 + {Z975!r} * se, 6) + 0.0 AS "effectCIupper", round(exp(b2), 6) + 0.0 AS "OR", round({norm_two_sided_sql('z')}, 7) + 0.0 AS "P" FROM t JOIN m USING (unit)"""
+)
+def glm_burden(spark, sf_dir):
+    g = P.geno(spark, sf_dir, "rare")
+    df = W.glm_units(g, members(spark, sf_dir), S.fit_null(g.samples, "pheno", ["sex"], "logistic"))
+    return places(places(df.select("unit", "meanCaseScore", "meanCtrlScore", *FULL, "OR", "P"), 6, "meanCaseScore", "meanCtrlScore", *FULL, "OR"), 7, "P")
