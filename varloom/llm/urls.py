@@ -7,7 +7,7 @@ log-likelihoods per character reaches a threshold calibrated on labelled urls
 that the models haven't seen.
 
 The n-gram counts come from every labelled url: Spark adds them up by n-gram
-hash bucket, so what reaches the driver is at most ``2 * ORDERS * BUCKETS``
+hash bucket, so what reaches the driver is at most ``4 * ORDERS * BUCKETS``
 numbers however many urls there are. Counts are pre-aggregated before they are
 shuffled, so common n-grams don't gather in one task. The calibration uses a
 score histogram of ``BINS`` bins for each label, also added up in Spark.
@@ -125,7 +125,7 @@ def ratios(url: Column, shared) -> Column:
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The threshold on (label, ratio) with the largest sum of both labels' accuracies; the lowest of equals; 0 without both labels."""
+    """The threshold on (label, ratio) with the largest sum of both labels' accuracies; the middle one of equals; 0 without both labels."""
     place = F.least(F.greatest(F.floor((F.col("ratio") + SPAN) / (2 * SPAN) * BINS), F.lit(0)), F.lit(BINS - 1))
     got = scored.groupBy("label", place.alias("bin")).agg(F.count("*").alias("n")).collect()
     n = np.zeros((2, BINS + 1))
