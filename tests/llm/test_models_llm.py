@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,25 @@ def test_samples_are_drawn_from_labels_that_have_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append(labels))
     toxicity.train(docs, marks, 7)
     assert sorted(seen[0]) == [0] * 7 + [1] * 6
+
+
+def test_long_urls_are_scored_whole_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("abc/-.é"), n)) for n in (0, 1, 5, 6, 7, 40, 900, 30_000)]
+    made = ["http://x.com/" + u for u in made] + ["", "http://x.com/" + "a" * 70_000, "b"]
+    df = spark.createDataFrame([(u, i % 2) for i, u in enumerate(made)], "url string, label int")
+    whole = urls.fit(df)
+    want = whole.ratio(made)
+    one = urls.Models(whole.counts)
+    i = 5
+    row, context, seen = urls._grams([(0, made[i] + "\x03", 0)])
+    assert len(row) == len(made[i]) + 1
+    for size in (7, 64, 1 << 22):
+        monkeypatch.setattr(urls, "SLICE", size)
+        assert np.allclose(one.ratio(made), want, rtol=0, atol=1e-9)
+        again = [urls._grams(p) for p in urls._slices([made[i]])]
+        assert np.array_equal(np.concatenate([g[1] for g in again]), context) and np.array_equal(np.concatenate([g[2] for g in again]), seen)
+        total = np.zeros_like(whole.counts).ravel()
+        for f in urls._count([pd.DataFrame({"url": made, "label": [k % 2 for k in range(len(made))]})]):
+            np.add.at(total, f.cell.to_numpy(), f.n.to_numpy())
+        assert np.array_equal(total.reshape(whole.counts.shape), whole.counts)

@@ -15,11 +15,12 @@ score histogram of ``BINS`` bins for each label, also added up in Spark.
 Defined results: a null url, or one without ``://``, has an empty host and
 path and no rule; an empty text has ratio 0. Without labelled urls of both
 kinds every ratio is 0 and the threshold 0, so the method accepts. Repeated rows
-give repeated rows; other columns are not read.
+give repeated rows; other columns are not read. Urls of any length are scored whole, in pieces that share their contexts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: The rules of the query, as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 ORDERS = 6
+#: Characters that are scored or counted at once; longer urls are cut without loss.
+SLICE = 1 << 16
 BUCKETS = 1 << 16
 BINS = 2001
 SPAN = 5.0
@@ -52,13 +55,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, and bucket of context and of context with character (positions x orders), for every character and the end."""
-    codes = np.frombuffer("".join(f"{u}\x03" for u in urls).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(u) + 1 for u in urls])
+def _slices(urls: list[str]) -> Iterator[list[tuple[int, str, int]]]:
+    """(number of the url, text, lead) in slices of at most twice ``SLICE`` characters. Texts end with a mark; a longer one is cut,
+    and each later piece starts with the ``lead`` characters before it, the longest context there is."""
+    own, size = [], 0
+    for i, url in enumerate(urls):
+        text = f"{url}\x03"
+        for at in range(0, len(text), SLICE):
+            lead = min(at, ORDERS - 1)
+            own.append((i, text[at - lead : at + SLICE], lead))
+            size += len(own[-1][1])
+            if size >= SLICE:
+                yield own
+                own, size = [], 0
+    if own:
+        yield own
+
+
+def _grams(pieces: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Url, and bucket of context and of context with character (positions x orders), for every character and the end, but for leads."""
+    codes = np.frombuffer("".join(t for _, t, _ in pieces).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for _, t, _ in pieces])
     starts = np.cumsum(lengths) - lengths
-    row = np.repeat(np.arange(len(urls)), lengths)
-    place = np.arange(len(codes)) - starts[row]
+    piece = np.repeat(np.arange(len(pieces)), lengths)
+    place = np.arange(len(codes)) - starts[piece]
     context = np.zeros((len(codes), ORDERS), np.uint64)
     h = np.full(len(codes), 17, np.uint64)
     for n in range(1, ORDERS):
@@ -70,16 +90,18 @@ def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seen = (context ^ (codes[:, None] + np.uint64(977))) * np.uint64(0xBF58476D1CE4E5B9)
     order = np.arange(ORDERS, dtype=np.int64) * BUCKETS
     pick = lambda x: ((x ^ (x >> np.uint64(31))) % np.uint64(BUCKETS)).astype(np.int64) + order
-    return row, pick(context * np.uint64(0x94D049BB133111EB)), pick(seen)
+    own = place >= np.array([lead for *_, lead in pieces])[piece]
+    return np.array([i for i, *_ in pieces])[piece][own], pick(context * np.uint64(0x94D049BB133111EB))[own], pick(seen)[own]
 
 
 def _count(frames, spark_label: str = "label"):
     for f in frames:
         for label, own in f.groupby(spark_label):
-            _, context, seen = _grams(own.url.tolist())
-            for kind, x in enumerate((context, seen)):
-                cells, n = np.unique(x, return_counts=True)
-                yield pd.DataFrame({"cell": cells + (2 * int(label) + kind) * ORDERS * BUCKETS, "n": n})
+            for pieces in _slices(own.url.tolist()):
+                _, context, seen = _grams(pieces)
+                for kind, x in enumerate((context, seen)):
+                    cells, n = np.unique(x, return_counts=True)
+                    yield pd.DataFrame({"cell": cells + (2 * int(label) + kind) * ORDERS * BUCKETS, "n": n})
 
 
 class Models:
@@ -90,14 +112,17 @@ class Models:
 
     def ratio(self, urls: list[str]) -> np.ndarray:
         """log p(accepted model) - log p(rejected model), per character."""
-        row, context, seen = _grams(urls)
-        logs = []
-        for c in self.counts:
-            p = np.full(len(row), 1 / 256)
-            for n in range(ORDERS):
-                p = (c[1][seen[:, n]] + BACKOFF * p) / (np.maximum(c[0][context[:, n]], c[1][seen[:, n]]) + BACKOFF)
-            logs.append(np.bincount(row, np.log(p), len(urls)))
-        return (logs[1] - logs[0]) / np.bincount(row, minlength=len(urls))
+        out = np.zeros(len(urls))
+        for pieces in _slices(urls):
+            row, context, seen = _grams(pieces)
+            logs = []
+            for c in self.counts:
+                p = np.full(len(row), 1 / 256)
+                for n in range(ORDERS):
+                    p = (c[1][seen[:, n]] + BACKOFF * p) / (np.maximum(c[0][context[:, n]], c[1][seen[:, n]]) + BACKOFF)
+                logs.append(np.bincount(row, np.log(p), len(urls)))
+            out += logs[1] - logs[0]
+        return out / np.array([len(u) + 1 for u in urls])
 
 
 def fit(labelled: DataFrame) -> Models | None:
@@ -115,11 +140,7 @@ def ratios(url: Column, shared) -> Column:
     def of(urls: pd.Series) -> pd.Series:
         models: Models | None = shared.value
         texts = [u or "" for u in urls]
-        out = np.zeros(len(texts))
-        if models is not None:
-            for i in range(0, len(texts), 2000):
-                out[i : i + 2000] = models.ratio(texts[i : i + 2000])
-        return pd.Series(out)
+        return pd.Series(models.ratio(texts) if models is not None and texts else np.zeros(len(texts)))
 
     return of(url)
 
