@@ -50,6 +50,13 @@ def test_units_equal_dense_tests(binary, n, m):
             assert a[k] == pytest.approx(d[k], rel=1e-4 if t == "nbinom" else 2e-6, abs=2e-6, nan_ok=True), (t, k)
 
 
+def test_least_squares_of_cases_and_controls():
+    sex, x, w, b, i, j, value, g, y, _ = unit()
+    null, one, rows = counted(sex, x, w, b, i, j, value, y, True)
+    got, want = A.unit_tests(["lm"], null, w, rows, one)[0][1], M.lm(y, x, g @ w)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6, nan_ok=True) for k in want)
+
+
 def test_memory_of_a_unit_grows_with_its_cells():
     """A dense matrix of this unit takes 480 MB, and each test copies of it."""
     rng = np.random.default_rng(2)

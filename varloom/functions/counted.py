@@ -342,7 +342,8 @@ class Null:
     def tests(self, test: str, cls, s, n, y, maxit: int = 1000) -> dict[str, np.ndarray]:
         """A test of scores (scores x rows)."""
         if test == "lm":
-            return self.lm(cls, s, n, y)
+            own = Null(self.sex, self.x, self.n, self.y, False, float((self.y - self.y**2 / self.n).sum())) if self.binary else self
+            return own.lm(cls, s, n, y)
         if not self.binary:
             raise ValueError(f"{test} needs cases and controls")
         if test == "glm":
