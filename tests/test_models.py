@@ -1,6 +1,7 @@
 """Kernels against textbook identities."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -104,3 +105,22 @@ def test_clusters():
     assert list(distance_clusters(np.array([1, 2, 3]), 5, 2)) == [0, 0, 0]
     parts = distance_clusters(np.array([1, 2, 3, 4, 5, 1000, 1001, 1002, 1003, 1004]), 9, 1)
     assert len(set(parts[:5])) == 1 and len(set(parts[5:])) == 1 and parts[0] != parts[-1]
+
+
+@pytest.mark.parametrize("m,top", [(12, 30.0), (90, 3.0), (2000, 0.4), (5, 1e5)])
+def test_sums_of_the_mixture_integral(m, top):
+    u, lam = np.linspace(top / 50, top, 50), np.random.default_rng(m).gamma(1, 1, m)
+    turn, damp = M._phases(u, lam)
+    part = u[:, None] * lam
+    assert np.allclose(turn, np.arctan(part).sum(1), rtol=1e-12, atol=0) and np.allclose(damp, np.log1p(part**2).sum(1), rtol=1e-12, atol=0)
+
+
+def test_mixture_tail_of_many_eigenvalues_takes_little_memory():
+    """Blocks of 20,000 points times all eigenvalues took 577 MB here, in each of an executor's workers."""
+    lam = 0.001 * np.random.default_rng(0).gamma(4, 1, 1200)
+    lam[0] = 4800
+    tracemalloc.start()
+    p = M.mixture_sf(lam.sum() * 1.05, lam)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and 0.2 < p < 0.4
