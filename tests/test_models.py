@@ -124,3 +124,13 @@ def test_mixture_tail_of_many_eigenvalues_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30e6 and 0.2 < p < 0.4
+
+
+def test_optimal_test_of_a_unit_takes_memory_of_its_covariance():
+    """Before the integral went in blocks: over 250 MB for 600 variants, whose covariance has 3 MB."""
+    g = np.random.default_rng(1).binomial(2, 0.02, (900, 600)).astype(float)
+    tracemalloc.start()
+    p = M.skato_of(np.random.default_rng(2).normal(size=600) * 6, np.cov(g.T) * 900)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and 0 <= p <= 1
