@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from varloom.functions import models as M
 from varloom.operators import geno as G
 from varloom.operators import score as S
@@ -81,3 +82,10 @@ def test_a_unit_that_all_samples_carry(study, spark):
     rows = study.samples.where("pheno is not null").collect()
     want = M.glm(np.array([float(r.pheno) for r in rows]), np.ones((N, 1)), np.array([abs(r.age) + 0.1 for r in rows]))
     assert got.effect == pytest.approx(want["effect"], rel=1e-7) and math.isclose(got.P, want["P"], rel_tol=1e-7)
+
+
+@pytest.mark.parametrize("name", ["glm_burden"])
+def test_results_read_scores_that_are_made_once(spark, name):
+    """Each reader of the scores used to derive all genotypes from the line items again."""
+    files = queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not any("lineitem" in f for f in files)

@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import geno as G
+
 
 def folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir`` or checkpoint directory; a local session without one gets a temporary folder, any other ValueError."""
@@ -37,3 +43,22 @@ def drop(df: DataFrame | None) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def staged(geno: G.Geno) -> Iterator[G.Geno]:
+    """``geno`` with its stored cells as a table, so that what is counted and what is summed don't derive them again; deleted at the end."""
+    cells = handed(geno.stored, "cells")
+    try:
+        yield replace(geno, stored=cells)
+    finally:
+        drop(cells)
+
+
+def burden(geno: G.Geno, members: DataFrame, model: str = "allelic", impute: str = "meanImpute", maf_weights: str = "none", **bounds) -> tuple[DataFrame, DataFrame]:
+    """``geno.burden`` for results that read the scores several times: both its tables, made once, of variants counted once."""
+    based = handed(G.burden_variants(geno, members, model, impute, maf_weights, **bounds), "variants")
+    try:
+        return tuple(handed(t, name) for t, name in zip(G.burden_sums(geno, members, based, model, maf_weights), ("units", "deviations"), strict=True))
+    finally:
+        drop(based)

@@ -24,7 +24,7 @@ from varloom.functions.tails import Z975, norm_two_sided_sql
 
 from . import geno as G
 from . import score as S
-from .shared import drop, handed
+from .shared import burden, drop, handed, staged
 
 CLASSES = 1024
 #: Newton steps at most, as usual for such models, and the step that counts as rest.
@@ -137,5 +137,6 @@ def glm_units(geno: G.Geno, members: DataFrame, model: S.NullModel, genetic_mode
     """``wald`` of the burden scores of units (unit, VAR_id, w), with their ``nvar``; a unit of one variant of weight 1 is a single-variant test."""
     ids = model.samples.select("IID")
     own = G.Geno(geno.variants, geno.samples.join(ids, "IID", "left_semi"), geno.stored.join(ids, "IID", "left_semi"))
-    per, dev = G.burden(own, members, genetic_model, impute, maf_weights, **bounds)
+    with staged(own) as cells:
+        per, dev = burden(cells, members, genetic_model, impute, maf_weights, **bounds)
     return wald(per, dev, model).select("unit", "pheno", "covar", "test", "nvar", "caseN", "ctrlN", "meanCaseScore", "meanCtrlScore", "effect", "effectSE", "effectCIlower", "effectCIupper", "OR", "P")
