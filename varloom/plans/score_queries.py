@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varloom.functions.tails import Z975, erfc_sql, hill_sql, norm_two_sided_sql, t_quantile_sql
 from varloom.operators import geno as G
 from varloom.operators import score as S
+from varloom.operators import shared
 from varloom.operators import wald as W
 
 from . import projection as P
@@ -181,7 +182,9 @@ def gene_set_burden_lm(spark, sf_dir):
 @query(SETS_SQL + ', qs AS (SELECT "geneSetName", q, s, t - s AS x FROM agg JOIN tot USING (IID))' + partial_sql('"geneSetName"', 4))
 def gene_set_burden_subtract(spark, sf_dir):
     """With the scores of all other units as a covariate: all units' less the set's own."""
-    g, per, dev = sparse_scores(spark, sf_dir)
+    g = P.geno(spark, sf_dir)
+    with shared.staged(g) as cells:
+        per, dev = shared.burden(cells, members(spark, sf_dir))
     base = per.agg(*(F.sum(f"b{s}").alias(f"b{s}") for s in G.SEXES))  # one row
     own = g.samples.join(dev.groupBy("IID").agg(F.sum("dev").alias("d")), "IID", "left").crossJoin(base)
     at = F.when(F.col("sex") == 1, F.col("b1")).when(F.col("sex") == 2, F.col("b2")).otherwise(F.col("b0"))
