@@ -84,7 +84,7 @@ def test_a_unit_that_all_samples_carry(study, spark):
     assert got.effect == pytest.approx(want["effect"], rel=1e-7) and math.isclose(got.P, want["P"], rel_tol=1e-7)
 
 
-@pytest.mark.parametrize("name", ["glm_burden", "gene_set_burden_subtract"])
+@pytest.mark.parametrize("name", ["glm_burden", "gene_set_burden_subtract", "get_unit"])
 def test_results_read_scores_that_are_made_once(spark, name):
     """Each reader of the scores used to derive all genotypes from the line items again."""
     files = queries()[name](spark, "/root/testdata/sf0.001").inputFiles()

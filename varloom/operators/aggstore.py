@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from varloom.functions.expr import signif
 
 from . import geno as G
+from . import shared
 from .sets import union
 
 BUCKETS, DIGITS, VERSION = 64, 6, "0.1"
@@ -50,7 +51,7 @@ class AggStore:
         """Aggregate genotypes to the units of ``members`` (unit, VAR_id, w); ``options`` are those of ``geno.burden`` and are kept as parameters."""
         from .store import number_rows
 
-        per, dev = G.burden(geno, members, **options)
+        per, dev = shared.burden(geno, members, **options)
         order = ["sample_idx", "IID"] if "sample_idx" in geno.samples.columns else ["IID"]
         samples = geno.samples.select(*dict.fromkeys(["IID", "sex", *order])).join(number_rows(geno.samples, order, "position"), order).select("IID", "sex", "position")
         source = store_meta or {}

@@ -199,7 +199,8 @@ def stores(spark, sf_dir):
 
     g, m = P.geno(spark, sf_dir), members(spark, sf_dir)
     low = F.substring("unit", 2, 9).cast("int") < 50
-    return [AggStore.create(g, m.where(part), {"id": "study", "genomeBuild": "synthetic"}, impute="meanImpute") for part in (low, ~low)]
+    with shared.staged(g) as cells:
+        return [AggStore.create(cells, m.where(part), {"id": "study", "genomeBuild": "synthetic"}, impute="meanImpute") for part in (low, ~low)]
 
 
 @query(P.sql() + BURDEN_SQL + "SELECT unit, IID, round(score + 1.3e-8, 6) + 0.0 AS score FROM sc WHERE unit IN ('U7', 'U48', 'U63')")
