@@ -13,9 +13,10 @@ import numpy as np
 
 from .dist import chi2_1_sf, norm_sf, t_quantile_sf, t_sf
 from .models import NONE, cauchy
+from .spectrum import CELLS, Spectrum, add_products
 
-#: Numbers that a batch of scores holds at most, beside those of a single score.
-CELLS = 1_000_000
+#: Variants of a unit whose covariance is one matrix.
+FEW = 256
 CRITICAL = 3.841458820694124 / 2
 
 
@@ -392,29 +393,30 @@ class Cells:
             k += cross
             k += cross.T
             del cross
-            order = np.argsort(self.sample, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(self.sample[order]) != 0]) if len(order) else order
-            sizes = np.diff(np.r_[cuts, len(order)])
-            j, dev, v = self.variant[order], self.dev[order], null.v[self.cls[order]]
-            heavy = np.minimum(sizes, m) * 16 > m  # their pairs cost more than a dense row
-            for group in np.array_split(np.flatnonzero(heavy), -(-int(heavy.sum()) * m // CELLS) or 1):
-                at, row = _spread(cuts[group], sizes[group])
-                dense = np.zeros((len(group), m))
-                dense[row, j[at]] = dev[at]
-                weight = v[cuts[group]]
-                k += (dense * weight[:, None]).T @ dense
-            few = np.flatnonzero(~heavy)
-            for size in np.unique(sizes[few]):
-                own = few[sizes[few] == size]
-                for group in np.array_split(own, -(-len(own) * int(size) ** 2 // CELLS) or 1):
-                    at = cuts[group][:, None] + np.arange(size)
-                    product = dev[at][:, :, None] * (dev[at] * v[at])[:, None, :]
-                    np.add.at(k, (np.repeat(j[at], size, 1).ravel(), np.tile(j[at], (1, size)).ravel()), product.ravel())
+            add_products(k, self.variant, self.sample, self.dev, null.v[self.cls])
             k -= (self.h @ null.inverse) @ self.h.T
             k[np.diag_indices(m)] = self.variance
             self._kernel = k
         return self._kernel
 
+    def covariance(self, weight, kept) -> np.ndarray | Spectrum:
+        """Covariance of the weighted scores of variants: a matrix of few, by its parts of over ``FEW``."""
+        if len(kept) <= FEW:
+            k = self.kernel()
+            return (k[np.ix_(kept, kept)] if len(kept) < len(self.w) else k) * np.outer(weight, weight)
+        null, place = self.null, np.full(len(self.w), -1)
+        place[kept] = np.arange(len(kept))
+        own = np.flatnonzero((place[self.variant] >= 0) & (self.dev != 0))
+        variant = place[self.variant[own]]
+        on = np.flatnonzero(self.b[kept].any(0))
+        low = np.column_stack([self.b[kept][:, on], self.by_sex[kept][:, on], self.h[kept]]) * weight[:, None]
+        s, p = len(on), self.h.shape[1]
+        middle = np.zeros((2 * s + p, 2 * s + p))
+        middle[:s, :s] = np.diag((null.of_sex @ (null.n * null.v))[on])
+        middle[:s, s : 2 * s] = middle[s : 2 * s, :s] = np.eye(s)
+        middle[2 * s :, 2 * s :] = -null.inverse
+        return Spectrum.of_cells(variant, self.sample[own], self.dev[own] * weight[variant], null.v[self.cls[own]], low, middle)
+
     def rows(self, weight) -> tuple[np.ndarray, ...]:
         """class, score, n, y of the variants' weighted sum: a row for each sample with cells, and one for the rest of each class."""
         null = self.null
@@ -493,12 +495,6 @@ class Cells:
         return cauchy(ps, ws)
 
 
-def _spread(cuts, sizes):
-    """Places of runs (start, size), one after the other, and the number of each one's run."""
-    row = np.repeat(np.arange(len(cuts)), sizes)
-    return np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(cuts, sizes), row
-
-
 def held_rows(null: Null, base, cls, dev, y) -> tuple[np.ndarray, ...]:
     """class, score, n, y: samples with stored cells (class, what cells add, phenotype), and the rest of each class; ``base`` by sex."""
     k = len(null.n)
