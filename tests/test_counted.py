@@ -87,3 +87,20 @@ def test_many_variants_in_a_batch():
     odds = np.log(a / b * (n - cases - b) / (cases - a))
     assert np.allclose(got["glm"]["effect"][both], odds[both], atol=1e-8)
     assert (got["firth"]["effectCIlower"] < got["firth"]["effect"]).all() and (got["firth"]["effect"] < got["firth"]["effectCIupper"]).all()
+
+
+def test_burden_of_many_variants_takes_a_row_for_each_sample():
+    """As ``rvb_counts`` at 6 GB: 72,000 variants of 149 samples; their covariance would take 41 GB, their genotypes 86 MB."""
+    rng = np.random.default_rng(4)
+    sex = rng.integers(0, 3, 149)
+    null = C.Null(np.arange(3), np.ones((3, 1)), np.bincount(sex, minlength=3).astype(float), np.array([20.0, 25, 22]), True)
+    w, s, y = rng.uniform(1, 2, 72_000), rng.normal(40, 5, 149), np.zeros(149)
+    for k, cases in enumerate((20, 25, 22)):
+        y[np.flatnonzero(sex == k)[:cases]] = 1
+    tracemalloc.start()
+    got = A.unit_tests(["skat_burden"], null, w, C.held_rows(null, np.zeros(3), sex, s, y), None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+    dense = M.Null(y, np.ones((149, 1)), True)
+    assert got[0][1]["P"] == pytest.approx(float(M.chi2_1_sf((dense.res @ s) ** 2 / dense.covariance(s[:, None])[0, 0])), rel=1e-9)

@@ -318,6 +318,9 @@ class Null:
 
     def clean(self, cls, s, n):
         """Scores (scores x rows) without what the covariates explain."""
+        if len(s) == 1:  # of many rows: sums by class instead of a design of all rows
+            of_class = np.bincount(cls[0], n[0] * self.v[cls[0]] * s[0], len(self.n))
+            return s - (self.x @ (self.inverse @ (self.x.T @ of_class)))[cls]
         x = self.x[cls]
         h = (x * (n * self.v[cls] * s)[..., None]).sum(1)
         return s - (x @ (h @ self.inverse)[..., None])[..., 0]
