@@ -4,6 +4,7 @@ import time
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from varloom.functions import counted as C
@@ -104,3 +105,34 @@ def test_burden_of_many_variants_takes_a_row_for_each_sample():
     assert peak < 2e6
     dense = M.Null(y, np.ones((149, 1)), True)
     assert got[0][1]["P"] == pytest.approx(float(M.chi2_1_sf((dense.res @ s) ** 2 / dense.covariance(s[:, None])[0, 0])), rel=1e-9)
+
+
+def test_few_fits_for_intervals(monkeypatch):
+    """Halving took about 50 fits; the ends are those that halving finds, also where all carriers are cases or have no cases."""
+    a, b, n, cases = np.array([2.0, 0, 14, 1, 30]), np.array([0.0, 2, 15, 9, 0]), 90_000, 45_000
+    x, s = np.ones((5, 2, 1)), np.tile([0.0, 1.0], (5, 1))
+    rows, held = np.column_stack([n - a - b, a + b]), np.column_stack([cases - a, a])
+    calls, fit = [], C._Penalised.fit
+    monkeypatch.setattr(C._Penalised, "fit", lambda self, *args: calls.append(1) or fit(self, *args))
+    got = C.firth(x, s, rows, held)
+    assert len(calls) <= 20
+    model, every = C._Penalised(np.concatenate([x, s[..., None]], 2), rows, held), np.arange(5)
+    best, ll, _ = model.fit(every, np.zeros((5, 2)), None, 1000)
+    for side, name in ((-1, "effectCIlower"), (1, "effectCIupper")):
+        inner, outer = np.zeros(5), np.full(5, 25.0)
+        for _ in range(50):
+            mid = (inner + outer) / 2
+            out = ll - model.fit(every, best.copy(), best[:, -1] + side * mid, 1000)[1] >= C.CRITICAL
+            inner, outer = np.where(out, inner, mid), np.where(out, mid, outer)
+        assert np.allclose(got[name], best[:, -1] + side * inner, atol=2e-6, rtol=0)
+
+
+def test_variants_of_equal_counts_are_tested_once(monkeypatch):
+    null = C.Null(np.arange(3), np.ones((3, 1)), np.full(3, 100.0), np.full(3, 40.0), True)
+    one = {"w": 1.0, "ploidy": "diploid", "fill": 0.02, "b0": 0.0, "b1": 0.0, "b2": 0.0, "cls": [0, 1, 2], "code": [1, 1, 3], "n": [3.0, 2.0, 1.0]}
+    f = pd.DataFrame([{"VAR_id": i, **one, "y": [float(i % 2), 1.0, 0.0]} for i in range(400)])
+    sizes, tests = [], C.Null.tests
+    monkeypatch.setattr(C.Null, "tests", lambda self, t, cls, *rest: sizes.append(len(cls)) or tests(self, t, cls, *rest))
+    got = A._batch(f, null, np.zeros(1, int), np.zeros(3, int), ("pheno", "", "allelic", "1"), ["glm", "firth"], 1000)
+    assert sizes == [2, 2] and len(got) == 800
+    assert got.groupby(["test", got.VAR_id % 2])["P"].nunique().tolist() == [1] * 4 and got.P.nunique() == 4

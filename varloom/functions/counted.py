@@ -101,6 +101,14 @@ class _Penalised:
         info = _gram(d, n * w)
         return p, w, info, (y * eta - n * np.log1p(np.exp(eta))).sum(1) + 0.5 * np.linalg.slogdet(info)[1]
 
+    def last_score(self, live, beta):
+        """Slope of the penalised log-likelihood along the last coefficient."""
+        p, w, info, _ = self.at(live, beta)
+        d, n, y = self.d[live], self.n[live], self.y[live]
+        inverse, bad = _each(np.linalg.inv, info)
+        h = w * ((d @ inverse) * d).sum(2)
+        return np.where(bad, 0.0, (d[..., -1] * (y - n * p + n * h * (0.5 - p))).sum(1))
+
     def fit(self, live, start, fixed, maxit: int):
         """Coefficients, log-likelihoods and convergence; with ``fixed``, the last coefficient is held."""
         size, q = len(live), start.shape[1]
@@ -156,35 +164,44 @@ def firth(x, s, n, y, maxit: int = 1000, interval: bool = True) -> dict[str, np.
     p = 1 / (1 + np.exp(-_fitted(d[own], full[own])))
     se = np.sqrt(np.maximum(_covariance(d[own], n[own], p), 0))
     found = {"effect": b, "effectSE": se, "OR": np.exp(np.minimum(b, 700)), "P": chi2_1_sf(np.maximum(0, 2 * (ll[own] - null[own])))}
-    for sign, name in ((-1, "effectCIlower"), (1, "effectCIupper")) if interval else ():
-        far, at, start = sign * np.maximum(se, 1e-3), np.zeros(len(own)), full[own].copy()
-
-        def beyond(k, move, start=start):
-            got, value, fine = model.fit(own[k], start[k], b[k] + move, maxit)
-            start[k[fine]] = got[fine]
-            return ~fine | (ll[own[k]] - value >= CRITICAL), fine
-
-        k = np.arange(len(own))
-        for _ in range(40):
-            out_of, _ = beyond(k, far[k])
-            k = k[~out_of]
-            if not len(k):
-                break
-            at[k], far[k] = far[k], far[k] * 2
-        k = np.arange(len(own))
-        for _ in range(50):
-            mid = (at[k] + far[k]) / 2
-            out_of, _ = beyond(k, mid)
-            at[k], far[k] = np.where(out_of, at[k], mid), np.where(out_of, mid, far[k])
-            k = k[np.abs(far[k] - at[k]) >= 1e-6 * np.maximum(1, np.abs(b[k]))]
-            if not len(k):
-                break
-        found[name] = b + (at + far) / 2
+    if interval:
+        found["effectCIlower"], found["effectCIupper"] = b + _reach(model, own, full[own], ll[own], se, maxit)
     for name, v in found.items():
         out[name][own] = v
     return out
 
 
+def _reach(model: _Penalised, own, full, ll, se, maxit: int) -> np.ndarray:
+    """How far down and up (2 x scores) from the fits ``full`` profiles of the likelihoods ``ll`` fall by ``CRITICAL``.
+
+    The root of twice the fall is nearly straight and its slope is the score of the held coefficient: Newton steps within a bracket, halving it where they leave it or don't settle.
+    """
+    size = len(own)
+    sign, of = np.repeat([-1.0, 1.0], size), np.tile(np.arange(size), 2)
+    b, start = full[of, -1], full[of]
+    near = 1e-7 * np.maximum(1, np.abs(b))
+    inner, outer = np.zeros(2 * size), np.full(2 * size, np.inf)  # lengths
+    at = 1.96 * np.maximum(se, 1e-3)[of]
+    k, target = np.arange(2 * size), math.sqrt(2 * CRITICAL)
+    for turn in range(100):
+        got, value, fine = model.fit(own[of[k]], start[k], b[k] + sign[k] * at[k], maxit)
+        start[k[fine]] = got[fine]
+        root = np.sqrt(np.maximum(2 * (ll[of[k]] - value), 0))
+        out_of = ~fine | (root >= target)
+        inner[k], outer[k] = np.where(out_of, inner[k], at[k]), np.where(out_of, at[k], outer[k])
+        slope = -sign[k] * model.last_score(own[of[k]], got) / np.where(root > 0, root, 1)
+        good = fine & (root > 0) & (slope > 0)
+        new = at[k] + np.where(good, target - root, 0) / np.where(good, slope, 1)
+        good &= (new >= inner[k]) & (new <= np.minimum(outer[k], 4 * at[k])) & ((turn < 12) | np.isinf(outer[k]))
+        new = np.where(good, new, np.where(np.isinf(outer[k]), 2 * at[k], (inner[k] + outer[k]) / 2))
+        done = (good & (np.abs(new - at[k]) <= near[k])) | (outer[k] - inner[k] <= near[k])
+        at[k] = new
+        k = k[~done]
+        if not len(k):
+            break
+    return (sign * at).reshape(2, size)
+
+
 def lgamma(z: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function of numbers above 0: Stirling's series after ten steps of recursion."""
     product = z.copy()
