@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from varloom.functions import counted as C
+from varloom.functions import spectrum as S
 from varloom.operators import assoc as A
 from varloom.operators.assoc import KERNEL
 
@@ -57,3 +58,29 @@ def test_memory_of_a_unit_of_many_variants():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 250e6 and all(0 <= r["P"] <= 1 for _, r in got)
+
+
+@pytest.mark.parametrize("binary", [True, False])
+@pytest.mark.parametrize("m,groups,samples,cells,common", [(300, 1, 480, 20, False), (600, 3, 4800, 8, False), (600, 1, 6000, 5, True), (390, 130, 48, 3, True)])
+def test_linked_variants_without_a_matrix(binary, m, groups, samples, cells, common, monkeypatch):
+    """Of many and of few pairs, also with groups that are decomposed beside them."""
+    monkeypatch.setattr(S, "LINKED", 2 if groups == 130 else 20)
+    null, one = unit(m, groups, samples, cells, m, binary, common)
+    kept = np.flatnonzero(np.arange(m) % 7 > 0)
+    for k, w in ((np.arange(m), one.w), (kept, one.w[kept] * 1.3)):
+        parts, matrix = one.covariance(w, k), one.kernel()[np.ix_(k, k)] * np.outer(w, w)
+        assert parts.groups and sum(g.m for g in parts.groups) + len(parts.known) == len(k)
+        for u in (one.u[k] * w, one.u[k] * w * 1.5):
+            for t in ("skat", "skat_burden", "skato"):
+                assert getattr(parts, t)(u) == pytest.approx(KERNEL[t](u, matrix), rel=1e-6, abs=1e-10), t
+
+
+def test_memory_of_linked_variants():
+    """A group of linked variants was a matrix: 128 MB for these 4,000, and copies of it; 1.2 GB at 1 GB."""
+    null, one = unit(4000, 1, 300_000, 30, 1, False)
+    tracemalloc.start()
+    parts = one.covariance(one.w, np.arange(4000))
+    got = [parts.skat(one.u * one.w), parts.skato(one.u * one.w)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110e6 and len(parts.groups) == 1 and all(0 <= p <= 1 for p in got)
