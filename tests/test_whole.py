@@ -59,3 +59,18 @@ def test_singlevar_equals_units_of_one_variant(spark, covar, models, weights, co
             assert np.allclose(one[c], units[c].astype(float), rtol=2e-6, atol=2e-6, equal_nan=True), c
         else:
             assert one[c].astype(object).where(one[c].notna(), None).tolist() == units[c].astype(object).where(units[c].notna(), None).tolist(), c
+
+
+@pytest.mark.parametrize("times", [40])
+def test_residuals_of_many_samples_are_not_broadcast(spark, monkeypatch, times):
+    """More than MAX_SAMPLES samples were refused, as at 6 GB; the orders are the same."""
+    g = P.geno(spark, DIR, "rare")
+    members = g.variants.select("unit", "VAR_id", "w")
+    options = {"covar": [["superPop"]], "n_resampling": times, "seed": 3}
+    tests = ["skat", "skat_burden", "acatv"]
+    want = A.rvb(g, members, ["pheno"], tests, **options).toPandas().sort_values(["unit", "test"], ignore_index=True)
+    monkeypatch.setattr(A, "MAX_SAMPLES", 40)
+    got = A.rvb(g, members, ["pheno"], tests, **options).toPandas().sort_values(["unit", "test"], ignore_index=True)
+    assert len(got) == len(want) > 100 and got[["unit", "test", "nvar"]].equals(want[["unit", "test", "nvar"]])
+    assert np.allclose(got["P"].astype(float), want["P"].astype(float), rtol=1e-9, atol=0, equal_nan=True)
+    assert want["P"][want["test"] == "skat_resampled"].nunique() > 5

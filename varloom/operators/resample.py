@@ -9,10 +9,13 @@ permutations, never once for each permutation.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import geno as G
 from .score import NullModel, _score_sums, _statistics
+from .shared import handed
 from .store import number_rows
 
 #: Permutations that a row carries.
@@ -39,7 +42,12 @@ def check_permutations(perms: DataFrame, n: int) -> int:
 
 def permuted_residuals(model: NullModel, perms: DataFrame) -> DataFrame:
     """IID, sex, block, perm (ids of its permutations), rp (their residuals at this sample)."""
-    own = model.samples.select("IID", "sex", "r").join(number_rows(model.samples.select("IID"), ["IID"], "position"), "IID")
+    return moved_residuals(model.samples, perms)
+
+
+def moved_residuals(samples: DataFrame, perms: DataFrame) -> DataFrame:
+    """``permuted_residuals`` of samples (IID, sex, r)."""
+    own = samples.select("IID", "sex", "r").join(number_rows(samples.select("IID"), ["IID"], "position"), "IID")
     numbers = number_rows(perms.select("perm_id").distinct(), ["perm_id"], "k")
     moved = perms.select("perm_id", "position", "sample").join(own.select(F.col("position").alias("sample"), "r"), "sample").join(own.select("position", "IID", "sex"), "position").join(numbers, "perm_id")
     rows = F.sort_array(F.collect_list(F.struct("k", "perm_id", "r")))  # at most WIDTH
@@ -47,6 +55,43 @@ def permuted_residuals(model: NullModel, perms: DataFrame) -> DataFrame:
     return blocks.select("IID", "sex", "block", F.transform("rows", lambda x: x["perm_id"]).alias("perm"), F.transform("rows", lambda x: x["r"]).alias("rp"))
 
 
+def drawn(spark: SparkSession, n: int, times: int, seed: int) -> DataFrame:
+    """perm_id, position, sample: the orders of ``assoc.permutations``, by sorting the same random numbers, each drawn where it is needed."""
+
+    def draw(frames):
+        for f in frames:
+            ids = f["id"].to_numpy()
+            cuts = np.flatnonzero(np.r_[True, np.diff(ids) != 1, True])
+            value = np.empty(len(ids))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # a batch is one run of numbers, or few
+                rng = np.random.default_rng(seed)
+                rng.bit_generator.advance(int(ids[a]))
+                value[a:b] = rng.random(b - a)
+            yield pd.DataFrame({"perm_id": ids // n + 1, "value": value, "sample": ids % n + 1})
+
+    rows = spark.range(n * times).mapInPandas(draw, "perm_id long, value double, sample long")
+    placed = number_rows(rows, ["perm_id", "value", "sample"], "place")
+    return placed.select("perm_id", (F.col("place") - (F.col("perm_id") - 1) * n).alias("position"), "sample")
+
+
+def variant_scores(variants: DataFrame, cells: DataFrame, samples: DataFrame, times: int, seed: int) -> DataFrame:
+    """VAR_id, permuted: each variant's scores of residuals in the orders of ``drawn``.
+
+    ``variants``: VAR_id, fill, b0, b1, b2; ``cells``: VAR_id, IID, sex, gt; ``samples``: IID, sex, r. Nothing of the samples' number is in one task.
+    """
+    spark = samples.sparkSession
+    blocks = handed(moved_residuals(samples, drawn(spark, samples.count(), times, seed)), "residuals")
+    at = lambda k: F.coalesce(F.try_element_at("rp", F.lit(k + 1)), F.lit(0.0))
+    totals = blocks.groupBy("block").agg(F.max(F.size("rp")).alias("size"), *(F.array(*(F.sum(F.when(F.col("sex") == s, at(k)).otherwise(0.0)) for k in range(WIDTH))).alias(f"t{s}") for s in G.SEXES))
+    base = F.when(F.col("sex") == 1, F.col("b1")).when(F.col("sex") == 2, F.col("b2")).otherwise(F.col("b0"))
+    dev = cells.join(variants, "VAR_id").select("VAR_id", "IID", (F.coalesce(F.col("gt").cast("double"), "fill") - base).alias("dev"))
+    added = dev.join(blocks.select("IID", "block", "rp"), "IID").groupBy("VAR_id", "block").agg(F.array(*(F.sum(F.col("dev") * at(k)) for k in range(WIDTH))).alias("added"))
+    every = variants.crossJoin(F.broadcast(totals)).join(added, ["VAR_id", "block"], "left")
+    one = lambda k: F.col("b0") * F.element_at("t0", k) + F.col("b1") * F.element_at("t1", k) + F.col("b2") * F.element_at("t2", k) + F.coalesce(F.try_element_at("added", k), F.lit(0.0))
+    each = every.select("VAR_id", "block", F.transform(F.sequence(F.lit(1), F.col("size")), one).alias("permuted"))
+    return each.groupBy("VAR_id").agg(F.sort_array(F.collect_list(F.struct("block", "permuted"))).alias("_b")).select("VAR_id", F.flatten("_b.permuted").alias("permuted"))
+
+
 def statistics(per: DataFrame, dev: DataFrame, model: NullModel, perms: DataFrame, key: str = "unit") -> DataFrame:
     """key, U and D (observed), block, perm, permuted (array of the permutations' U) of every unit that has stored cells.
 
